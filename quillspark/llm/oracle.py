@@ -1 +1,58 @@
-ORACLES: dict = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+WORD = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x{7F}]+"
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight
+  FROM docs GROUP BY source),
+filled AS (
+  SELECT *, row_number() OVER o AS k, sum(2 * source_size) OVER o AS upto, sum(weight) OVER o AS weight_upto,
+         sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+  FROM sources WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+levels AS (
+  SELECT (total * 1.5::DOUBLE - (upto - 2 * source_size)) / (weights - (weight_upto - weight)) AS level,
+         2 * source_size / weight AS own, k FROM filled),
+level AS (SELECT min_by(level, k) AS level FROM levels WHERE own >= level),
+targets AS (
+  SELECT source, source_size, least(source_size * 2.0::DOUBLE, weight * level) AS target,
+         CASE WHEN source_size > 0 THEN floor(least(source_size * 2.0::DOUBLE, weight * level) / source_size) ELSE 0 END::BIGINT AS whole
+  FROM sources, level),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target::DOUBLE AS target,
+       (whole * size + CASE WHEN rest > 0 AND start * 2 + size <= rest * 2 THEN size ELSE 0 END)::BIGINT AS taken
+FROM placed
+"""
+
+OP3 = rf"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, list_slice(w, i, i + 12) AS win, len(list_slice(w, i, i + 12)) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWERED}, '{ALNUM}'), []) AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT r, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS i FROM docs, lengths)),
+found AS (SELECT g.r, g.i, g.n, x.item FROM grams g JOIN windows x ON g.n = x.n AND g.win = x.win),
+hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3}
