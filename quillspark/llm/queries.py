@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, langid, mixing, sharding, simhash
+from quillspark.functions import html, urls
+from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, url_filter, warc
 from quillspark.llm.common import word_count
 from quillspark.session import table
 
@@ -17,6 +18,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+#: Listed rules of the URL filter: host, beginning of the path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; pages whose label is low quality or toxic teach the rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    mined = url_filter.mine_rules(pages.join(labels, "page_id").select(url_filter.tokens(F.col("url")).alias("tokens"), "block"))
+    judged = url_filter.judge(pages, F.col("url"), URL_RULES, mined)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents to the target weights of their sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -50,6 +64,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    small_batches(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    found = embed_dedup.near_duplicates(vectors, F.col("vec_id"), F.col("embedding"), F.col("label"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every page without the boilerplate of its site."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cleaned = line_dedup.drop_boilerplate(pages, urls.host(F.col("url")), html.html_lines(F.col("html")))
+    text = F.array_join("kept", "\n")
+    return cleaned.select("row.page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four of five folds."""
     small_batches(spark)
@@ -60,4 +96,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op8_embedding_dedup, op9_line_dedup, op10_language_id)}
