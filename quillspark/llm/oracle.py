@@ -55,4 +55,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
-ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3}
+OP6 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.r)::BIGINT AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN least ON least.a = v.r
+"""
+
+BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul"
+DECODED = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', chr(10), 'g'), '(?i)</?(?:" + BLOCKS + ")\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+    DECODED = f"replace({DECODED}, '{_entity}', '{_char}')"
+OP9 = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         list_filter(list_transform(string_split({DECODED}, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), lambda x: x <> '') AS lines
+  FROM pages),
+sites AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
+seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL),
+common AS (SELECT host, list(line) AS common FROM seen JOIN sites USING (host) WHERE pages >= 3 AND n > 0.5 * pages GROUP BY 1),
+cut AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)) AS kept FROM p LEFT JOIN common USING (host))
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, len(kept)::BIGINT AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut
+"""
+
+ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3, "op6_warc": OP6, "op8_embedding_dedup": OP8, "op9_line_dedup": OP9}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, urls
-from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, url_filter, warc
+from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity, url_filter, warc
 from quillspark.llm.common import word_count
 from quillspark.session import table
 
@@ -71,6 +71,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four of five folds."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(~out & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("row_id")).agg(F.max("toxic").cast("int").alias("label"))
+    net = toxicity.fit(docs, F.col("doc_id"), F.col("text"), labels)
+    rated = docs.select("doc_id", out.alias("held_out"), toxicity.predict(spark, F.col("text"), net).alias("score"))
+    return rated.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -96,4 +107,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op8_embedding_dedup, op9_line_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op7_toxicity, op8_embedding_dedup, op9_line_dedup, op10_language_id)}
