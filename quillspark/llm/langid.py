@@ -31,10 +31,11 @@ PIECE_CHARS = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(points: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams over lower-cased code points (0: not a letter), and where each begins.
 
-    n-grams that hold nothing but gaps are left out.
+    n-grams that hold nothing but gaps are left out, and so are those that reach
+    beyond the end of the text that they begin in, if `ends` tells it for each place.
     """
     places, found = [], []
     for n in ORDERS:
@@ -48,6 +49,8 @@ def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ own) * np.uint32(16777619)
             h ^= h >> np.uint32(15)
             some |= own != 0
+        if ends is not None:
+            some &= np.arange(n, n + m) <= ends[:m]
         at = np.flatnonzero(some)
         places.append(at)
         found.append((h[at] * np.uint32(2654435761)) >> np.uint32(17))
@@ -70,39 +73,40 @@ def code_points(text: str) -> np.ndarray:
 
 
 def pieces(texts: list[str]):
-    """(code points, number of text of each, starts that count) in pieces of bounded size."""
+    """(n-gram buckets, number of the text of each) in pieces of bounded size."""
     reach = max(ORDERS) - 1
-    gap = np.zeros(reach, np.uint32)
     held: list[np.ndarray] = []
-    owners: list[tuple[int, int]] = []
+    owners: list[int] = []
     size = 0
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) for p in held])
+        found, places = grams(np.concatenate(held), np.repeat(np.cumsum(sizes), sizes))
+        return found, np.repeat(owners, sizes)[places]
+
     for i, text in enumerate(texts):
         points = code_points(text)
         if len(points) > PIECE_CHARS:  # by itself, cut so that an n-gram counts where it begins
             for a in range(0, len(points), PIECE_CHARS):
-                own = points[a : a + PIECE_CHARS + reach]
-                yield own, np.full(len(own), i), min(PIECE_CHARS, len(own))
+                found, places = grams(points[a : a + PIECE_CHARS + reach])
+                yield found[places < PIECE_CHARS], np.full(int((places < PIECE_CHARS).sum()), i)
             continue
-        held += [points, gap]
-        owners.append((i, len(points) + reach))
+        held.append(points)
+        owners.append(i)
         size += len(points)
         if size >= PIECE_CHARS:
-            yield np.concatenate(held), np.repeat(*zip(*owners)), size + reach * len(owners)
+            yield together()
             held, owners, size = [], [], 0
     if held:
-        yield np.concatenate(held), np.repeat(*zip(*owners)), size + reach * len(owners)
+        yield together()
 
 
 def sum_by_text(texts: list[str], table: np.ndarray) -> np.ndarray:
     """For each text, the sum of `table`'s rows over its n-grams."""
     out = np.zeros((len(texts), table.shape[1]))
-    for points, owner, upto in pieces(texts):
-        found, places = grams(points)
-        if len(found) and len(points) > upto:
-            found, places = found[places < upto], places[places < upto]
-        whose = owner[places]
+    for found, owner in pieces(texts):
         for c in range(table.shape[1]):
-            out[:, c] += np.bincount(whose, table[found, c], len(texts))
+            out[:, c] += np.bincount(owner, table[found, c], len(texts))
     return out
 
 
@@ -112,9 +116,8 @@ def count_grams(batches, langs: list[str]):
     number = {lang: i for i, lang in enumerate(langs)}
     for batch in batches:
         for lang, group in batch.groupby("lang"):
-            for points, _, upto in pieces(list(group["text"])):
-                found, places = grams(points)
-                counts[number[lang]] += np.bincount(found[places < upto], minlength=BUCKETS)
+            for found, _ in pieces(list(group["text"])):
+                counts[number[lang]] += np.bincount(found, minlength=BUCKETS)
     of, bucket = np.nonzero(counts)
     yield pd.DataFrame({"lang": [langs[i] for i in of], "bucket": bucket.astype("int32"), "n": counts[of, bucket]})
 

@@ -199,7 +199,8 @@ def near_duplicates(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
 def keep_first(df: DataFrame, row_id: Column, text: Column, budget: int = BUDGET) -> DataFrame:
     """The rows of `df` that stay: of each group the one with the smallest id.
 
-    Null ids come last; of rows with equal ids, or equal in id and text, one stays.
+    Null ids come last; of rows that are equal in id and text, one stays. An id
+    that stands in two groups may stay in both.
     """
     prints = fingerprints(df, row_id, text)
     groups = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("row_id").isNull().alias("no"), "row_id", "k1", "k2")).alias("first")), "distinct-fingerprints")

@@ -97,7 +97,8 @@ class Archive:
         raw = build_dictionary(self.held)
         system, path = fs.FileSystem.from_uri(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(path)
+        # The stream would compress by the suffix if left to itself.
+        self.out = system.open_output_stream(path, compression=None)
         self.out.write(struct.pack("<II", DICT_FRAME, len(raw)) + raw)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
         for data in self.held:
@@ -132,7 +133,7 @@ def write_partition(batches, folder: str):
 def read_archive(path: str):
     """(headers, payload) of each record; digests of stored payloads are verified."""
     system, name = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(name) as source:
+    with system.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICT_FRAME:
             raise ValueError(f"{path} doesn't begin with a dictionary frame")

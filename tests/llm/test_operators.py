@@ -1,0 +1,231 @@
+"""Operators by their own interface: methods, bounds and splits that the queries don't reach on small tables."""
+
+import hashlib
+import struct
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from quillspark.llm import components, decontam, embed_dedup, langid, simhash, toxicity, url_filter, warc
+from quillspark.llm.unions import join
+from quillspark.storage import materialise
+
+
+def test_mined_rules_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(400):
+        tokens = [t for t, p in (("host:a", 0.5), ("path:x", 0.4), ("path:y", 0.3), ("query:z", 0.1)) if rng.random() < p]
+        rows.append((tokens, bool(("path:x" in tokens and "path:y" in tokens) or rng.random() < 0.1)))
+    got = {tuple(sorted(r["antecedent"])): r for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 0.02, 0.6).collect()}
+    want = {}
+    names = ["host:a", "path:x", "path:y", "query:z"]
+    for k in range(1, 5):
+        for own in combinations(names, k):
+            fits = [b for t, b in rows if set(own) <= set(t)]
+            if fits and sum(fits) / len(fits) >= 0.6 and sum(fits) >= 0.02 * len(rows):
+                want[tuple(sorted(own))] = sum(fits) / len(fits)
+    assert set(got) == set(want) and ("path:x", "path:y") in got
+    assert all(abs(got[k]["confidence"] - c) < 1e-9 for k, c in want.items())
+    counts = {t: sum(t in own for own, _ in rows) for t in names}
+    assert all(r["token"] == min(k, key=lambda t: (counts[t], t)) for k, r in got.items())
+
+
+def test_url_verdicts_come_from_mined_rules(spark):
+    mined = spark.createDataFrame([(["path:spam", "query:q"], 0.9, 0.1, "path:spam")], "antecedent array<string>, confidence double, support double, token string")
+    pages = spark.createDataFrame([(1, "http://h/spam?q=1"), (2, "http://h/spam"), (3, "http://h.ok/spam?q=1"), (4, None), (1, "http://h/spam?q=1")], "id long, url string")
+    got = url_filter.judge(pages, F.col("url"), [("ok", "/", "allow")], mined).select("row.id", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == [(1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, "ok/", "allow"), (4, None, "allow")]
+
+
+def test_windows_beyond_the_broadcast_bound_are_shuffled(spark, messy):
+    docs, items = spark.read.parquet(f"{messy}/documents.parquet"), spark.read.parquet(f"{messy}/benchmark.parquet")
+    run = lambda bound: sorted(map(str, decontam.decontaminate(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), broadcast_windows=bound).drop("row").collect()))
+    assert run(0) == run(10**6)
+
+
+def brute_labels(prints, budget=4):
+    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= budget
+    return join(np.arange(len(prints)), *np.nonzero(np.triu(near, 1)))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_trie_walk_finds_the_components_of_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = [base[rng.integers(40)] ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(1, 6))))) for _ in range(300)]
+    prints = np.unique(np.concatenate([base, np.array(near, np.uint64), np.arange(70, dtype=np.uint64)]))
+    assert (simhash.walk(prints, np.zeros(len(prints), int)) == brute_labels(prints)).all()
+
+
+@pytest.mark.parametrize("n,agree", [(1000, 1), (1 << 20, 2), (1 << 26, 2), (1 << 34, 4)])
+def test_blocks_follow_the_number_of_fingerprints(n, agree):
+    blocks, got = simhash.plan_blocks(n, 4)
+    assert got == agree and len(blocks) == 4 + agree and sum(w for _, w in blocks) == 64
+
+
+@pytest.mark.parametrize("subtrie,cell_rows", [(20_000, 40_000), (20, 50)])
+def test_large_subtries_are_cut_without_losing_links(spark, monkeypatch, subtrie, cell_rows):
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 2**62))
+    prints = np.unique(np.array([centre ^ sum(1 << int(b) for b in set(rng.integers(0, 64, 3))) for _ in range(150)] + [int(x) for x in rng.integers(0, 2**63, 100)], np.uint64))
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    edges = simhash.subtries(df, len(prints), 4, subtrie, cell_rows).groupBy("cell").applyInPandas(simhash.link_cell, "a long, b long")
+    root = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    label = brute_labels(prints)
+    got = [root.get(int(p), int(p)) for p in prints.view(np.int64)]
+    assert pd.Series(got).groupby(label).nunique().max() == 1 and len(set(got)) == len(set(label))
+
+
+def test_components_of_long_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(60)]
+    star = [(1000, 1000 + i) for i in range(1, 80)]
+    edges = spark.createDataFrame([*path, *star, (5, 5), (7, 8), (8, 7)], "a long, b long")
+    root = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    assert len({root[i] for i in range(61)}) == 1 and len({root[1000 + i] for i in range(80)}) == 1 and len(set(root.values())) == 2
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark, messy, tables):
+    docs = spark.read.parquet(f"{messy}/documents.parquet")
+    got = simhash.keep_first(docs, F.col("doc_id"), F.col("text"))
+    assert got.columns == docs.columns
+    ids = [r["doc_id"] for r in got.collect()]
+    assert ids.count(1) == 1 and not {200 + k for k in range(40)} & set(ids) and ids.count(10) == 1 and None not in ids
+    prints = np.unique(np.array([simhash.fingerprint(d[1]) for d in tables["documents"]], np.uint64))
+    assert len(ids) == len(set(brute_labels(prints)))  # ids 11 stand in two groups
+
+
+def test_archive_begins_with_its_dictionary(tmp_path):
+    archive = warc.Archive(f"file://{tmp_path}/a")
+    payloads = [(f"<p>page {i} of the same site, with the same words</p>" * 20).encode() for i in range(400)]
+    for i, p in enumerate(payloads):
+        archive.add(warc.record(i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), None))
+    done = archive.close()
+    raw = open(done["path"].removeprefix("file://"), "rb").read()
+    magic, size = struct.unpack("<II", raw[:8])
+    assert magic == 0x184D2A5D and raw[8:12] == b"\x37\xa4\x30\xec"
+    engine = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+    first = engine.decompressobj()
+    assert first.decompress(raw[8 + size :]).startswith(b"WARC/1.1") and first.unused_data  # a record is a frame
+    assert [p for _, p in warc.read_archive(done["path"])] == payloads
+    assert done["records"] == 400 and len(raw) < done["bytes"] / 5
+
+
+def test_small_archives_and_full_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"text {i}" * 50) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages)
+    assert manifest.count() > 3
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(manifest, True).collect()}
+    assert got == {i: f"text {i}" * 50 for i in range(30)}
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(0)
+    net = {k: v.astype(np.float64) for k, v in toxicity.new_net(rng).items()}
+    vocab = toxicity.hashed(["some", "words", "of", "a", "text"])
+    index, mask = rng.integers(0, 5, (toxicity.WINDOW, 3)), np.arange(toxicity.WINDOW)[:, None] < np.array([5, 48, 20])
+
+    def loss_of(logit):
+        p = toxicity.sigmoid(logit)
+        return float(-np.log(p).sum()), p - 1
+
+    _, grad = toxicity.gradient(net, index, mask, vocab, loss_of)
+    for name in ("wf", "ub", "att", "att_v", "out", "bf"):
+        at = tuple(rng.integers(s) for s in net[name].shape)
+        up, down = ({**net, name: net[name].copy()} for _ in range(2))
+        up[name][at] += 1e-2
+        down[name][at] -= 1e-2
+        slope = (toxicity.gradient(up, index, mask, vocab, loss_of)[0] - toxicity.gradient(down, index, mask, vocab, loss_of)[0]) / 2e-2
+        assert abs(slope - grad[name][at]) < 0.02 * max(abs(slope), 0.05), name
+
+
+def test_network_learns_words_and_their_stems():
+    rng = np.random.default_rng(2)
+    plain = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    make = lambda bad: [w if rng.random() > 0.06 or not bad else "vrutz" + rng.choice(["en", "ig", "heit"]) for w in rng.choice(plain, rng.integers(30, 200))]
+    data = [(k % 2, make(k % 2)) for k in range(500)]
+    cut = lambda words: [words[s : s + toxicity.WINDOW] for s in toxicity.starts_of(len(words))]
+    net = toxicity.train([(label, cut(w)) for label, w in data[:400]], steps=150)
+    scores = toxicity.score_texts(net, [" ".join(w) for _, w in data[400:]] + ["", None, "?!"])
+    assert ((scores[:100] >= 0.5) == np.array([label for label, _ in data[400:]])).mean() > 0.9
+    assert (scores[100:] == 0).all()
+    long = " ".join(data[400][1]) * 3000 + " vrutzen vrutzig vrutzheit vrutzen"
+    assert toxicity.score_texts(net, [long])[0] >= 0.5  # the end of a long text counts
+
+
+def test_windows_cover_every_word():
+    for n in range(1, 400):
+        starts = toxicity.starts_of(n)
+        assert starts[0] == 0 and starts[-1] + toxicity.WINDOW >= n and (np.diff(starts) == toxicity.STRIDE).all()
+        assert len(starts) == 1 or starts[-2] + toxicity.WINDOW < n
+
+
+def test_training_needs_both_classes():
+    assert toxicity.train([(0, [["a"]])] * 5) is None and (toxicity.score_texts(None, ["a", None]) == 0).all()
+
+
+def brute_links(x, cosine):
+    near = (x @ x.T) >= cosine
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dual_walk_finds_the_links_of_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((20, 16))
+    x = embed_dedup.unit(list(np.concatenate([centres[rng.integers(20, size=300)] + rng.standard_normal((300, 16)) * rng.choice([0.01, 0.2, 0.4], (300, 1)), rng.standard_normal((100, 16))])))
+    weight = rng.integers(1, 5, len(x))
+    near = brute_links(x, 0.93)
+    tree = embed_dedup.cover_tree(x, np.arange(len(x)))
+    links, label = embed_dedup.dual_walk(x, weight, tree, tree, 0.93)
+    assert (links == near @ weight).all() and (label == join(np.arange(len(x)), *np.nonzero(np.triu(near)))).all()
+    a, b = np.arange(150), np.arange(150, len(x))
+    links, _ = embed_dedup.dual_walk(x, weight, embed_dedup.cover_tree(x, a), embed_dedup.cover_tree(x, b), 0.93)
+    between = near.copy()
+    between[:150, :150] = between[150:, 150:] = False
+    assert (links == between @ weight).all()
+
+
+def test_levels_are_nested_and_cover():
+    x = embed_dedup.unit(list(np.random.default_rng(1).standard_normal((200, 5))))
+    todo = [(embed_dedup.cover_tree(x, np.arange(200)), None)]
+    while todo:
+        node, parent = todo.pop()
+        assert np.linalg.norm(x[node.points] - x[node.centre], axis=1).max() <= node.radius + 1e-7
+        if node.children:
+            assert node.children[0].centre == node.centre  # nested
+            assert sorted(p for c in node.children for p in c.points) == sorted(node.points)
+            assert all(c.radius <= node.radius for c in node.children)
+        todo += [(c, node) for c in node.children]
+
+
+def test_labels_are_cut_into_parts_without_losing_links(spark, messy, monkeypatch):
+    df = spark.read.parquet(f"{messy}/embeddings.parquet")
+    run = lambda: sorted(map(str, embed_dedup.near_duplicates(df, F.col("vec_id"), F.col("embedding"), F.col("label")).drop("row").collect()))
+    whole = run()
+    real = embed_dedup.cells
+    monkeypatch.setattr(embed_dedup, "cells", lambda nodes: real(nodes, 10, 30))
+    assert run() == whole
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE_CHARS", 50)
+    rng = np.random.default_rng(0)
+    table = rng.standard_normal((langid.BUCKETS, 2))
+    texts = ["kurz", "", "ein langer Text über Häuser und Bäume. " * 20, "a b", "x" * 130]
+    got = langid.sum_by_text(texts, table)
+    for text, row in zip(texts, got, strict=True):
+        found, _ = langid.grams(langid.code_points(text))
+        assert np.allclose(row, table[found].sum(axis=0))
+
+
+def test_materialised_tables_are_read_back(spark):
+    df = spark.createDataFrame([(1, None), (2, ["x"])], "a long, b array<string>")
+    assert sorted(map(str, materialise(df, "t").collect())) == sorted(map(str, df.collect()))
