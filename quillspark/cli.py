@@ -21,8 +21,7 @@ def build_pack(args: argparse.Namespace) -> int:
         return 1
     sources = manifest.folder_sources(spark.createDataFrame([(p,) for p in paths], "path string"), args.bucket, args.split)
     docs = files.read_documents(spark, args.folder, paths)
-    here = F.regexp_replace("path", f"^.*?{args.folder.rstrip('/').split(':')[-1]}/", "")
-    joined = docs.withColumn("local_path", here).drop("title").join(sources, "local_path")
+    joined = docs.withColumnRenamed("path", "local_path").drop("title").join(sources, "local_path")
     chunks = chunking.chunk_documents(joined)
     tasks = pack.tasks(chunks, args.pack_id, args.template, "{}")
     sections = joined.select("source_id", F.explode("sections").alias("s")).select("source_id", T.word_count(F.col("s.text")).alias("word_count"))

@@ -6,6 +6,7 @@ names that begin with `_` are seen. Bytes are read on the executors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,7 +93,7 @@ def decoded(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """path, suffix, title, sections of files below `folder`.
+    """path (below `folder`), suffix, title, sections of files below `folder`.
 
     Text formats are parsed by column expressions; others by their reader, over
     batches of bytes. Files of which nothing is left are rows without sections.
@@ -128,4 +129,5 @@ def read_documents(spark: SparkSession, folder: str, paths: list[str]) -> DataFr
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    return out.withColumn("path", F.regexp_replace("path", rf"^(?:\w+:(?://[^/]*)?)?{re.escape(base)}/", ""))
