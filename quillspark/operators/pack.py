@@ -37,6 +37,19 @@ def tasks(chunks: DataFrame, pack_id: str, template: str, schema_json: str) -> D
     ).withColumnRenamed("word_count", "chunk_word_count").drop("text")
 
 
+PROVENANCE = ("source_id", "resource_type", "original_url", "topic_bucket_ids", "priority", "split", "description", "notes")
+
+
+def with_provenance(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents (source_id, format_metadata: JSON) with their source's record in the metadata."""
+    known = [c for c in PROVENANCE if c in sources.columns]
+    record = sources.select("source_id", F.to_json(F.struct(*known), {"ignoreNullFields": "false"}).alias("_record"))
+    joined = documents.join(record, "source_id", "left")
+    own = F.regexp_replace(F.coalesce("format_metadata", F.lit("{}")), r"\}\s*\z", "")
+    comma = F.when(F.trim(own) == "{", "").otherwise(",")
+    return joined.withColumn("format_metadata", F.concat(own, comma, F.lit('"source_pack":'), F.coalesce("_record", F.lit("null")), F.lit("}"))).drop("_record")
+
+
 def index_sources(sources: DataFrame, sections: DataFrame, chunks: DataFrame, least_words: int = 120) -> DataFrame:
     """Counts for each source (source_id); zeros for those that gave nothing."""
     by_section = sections.groupBy("source_id").agg(F.count("*").alias("section_count"), F.sum("word_count").alias("word_count"))

@@ -71,6 +71,13 @@ def merge_transcript(sections: Column, most_words: int = 100, most_seconds: floa
     return run(sections)
 
 
+def captions_or_speech(captions: DataFrame, speech: DataFrame) -> DataFrame:
+    """Sections (video_id, sections) from captions, and from speech for videos that have none."""
+    good = captions.filter(F.size("sections") > 0).withColumn("origin", F.lit("captions"))
+    rest = speech.join(good.select("video_id"), "video_id", "left_anti").withColumn("origin", F.lit("speech"))
+    return good.unionByName(rest)
+
+
 def gap_sessions(rows: DataFrame, by: str, order: list[str], start: Column, end: Column, most_gap: float) -> DataFrame:
     """`rows` with `session`, from 0: a new one begins after each gap of more than `most_gap`."""
     own = Window.partitionBy(by).orderBy(*order)

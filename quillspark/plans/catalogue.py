@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import html as H
+from quillspark.functions import names as N
 from quillspark.functions import text as T
-from quillspark.operators import chunking, discovery, enrichment, evaluation, export, pack, transcript, validation
+from quillspark.operators import batches, chunking, discovery, enrichment, evaluation, export, pack, transcript, validation
 from quillspark.plans import duck as D
 from quillspark.session import table
 from quillspark.sources import manifest as M
@@ -728,3 +729,52 @@ def log_stats(spark, sf_dir):
     line = F.concat(F.lit("summary tasks="), F.col("n_chars").cast("string"), F.lit(", done="), (F.col("doc_id") % 50).cast("string"), F.lit(" mode=x"))
     rows = documents(spark, sf_dir, "doc_id", "n_chars").select("doc_id", T.log_values(line, ["tasks", "done"]).alias("v"))
     return rows.select("doc_id", "v.tasks", "v.done")
+
+
+@query("""
+SELECT doc_id::VARCHAR AS task_id, CASE WHEN doc_id % 4 > 0 THEN lang END AS text, CASE WHEN doc_id % 4 = 0 THEN 'batch result: expired' END AS error, CASE WHEN doc_id % 4 > 0 THEN 9 END AS input_tokens
+FROM documents WHERE doc_id % 3 > 0""")
+def batch_remap(spark, sf_dir):
+    tasks = documents(spark, sf_dir, "doc_id", "lang").select(F.col("doc_id").cast("string").alias("task_id"), "doc_id", F.col("lang").alias("prompt"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "expired").otherwise("succeeded")
+    results = tasks.filter("doc_id % 3 > 0").select(T.request_key(F.col("task_id")).alias("request_key"), kind.alias("kind"), F.col("prompt").alias("text"), F.lit(9).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    return batches.remap(results, tasks).select("task_id", "answer.text", "answer.error", "answer.input_tokens")
+
+
+@query(r"""
+WITH n AS (SELECT page_id, url || ' (copy).md ' AS name, CASE page_id % 4 WHEN 0 THEN 'https://youtu.be/a' || page_id || '/' WHEN 1 THEN 'https://www.youtube.com/watch?x=1&v=b.' || page_id WHEN 2 THEN ' HTTP://YouTube.com/' ELSE url END AS video FROM pages)
+SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9._-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'uploaded_file') AS file_name, page_id % 4 < 3 AS is_video,
+       CASE page_id % 4 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'b_' || page_id ELSE 'youtube_source' END AS video_id FROM n""")
+def safe_names(spark, sf_dir):
+    k = F.col("page_id")
+    video = (
+        F.when(k % 4 == 0, F.concat(F.lit("https://youtu.be/a"), k.cast("string"), F.lit("/"))).when(k % 4 == 1, F.concat(F.lit("https://www.youtube.com/watch?x=1&v=b."), k.cast("string")))
+        .when(k % 4 == 2, " HTTP://YouTube.com/").otherwise(F.col("url"))
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" (copy).md ")).alias("name"), video.alias("video"))
+    return rows.select("page_id", N.safe_file_name(F.col("name")).alias("file_name"), N.is_video_url(F.col("video")).alias("is_video"), N.video_id(F.trim("video")).alias("video_id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 8.5::DOUBLE END AS peak_mem_gb, 20 AS last_train_iter, ((n_chars % 100) / 100.0)::DOUBLE AS last_train_loss, CASE WHEN doc_id % 2 = 0 THEN 10 END AS last_val_iter FROM documents")
+def training_log(spark, sf_dir):
+    loss = F.format_string("%.2f", (F.col("n_chars") % 100) / 100.0)
+    log = F.concat(F.lit("Iter 10: Train loss 9.9\n"), F.when(F.col("doc_id") % 2 == 0, "Iter 10: Val loss 1.25, took 3s\n").otherwise(""), F.lit("Iter 20: Train loss "), loss, F.lit(", x\n"), F.when(F.col("doc_id") % 3 == 0, "Peak mem 8.5 GB").otherwise(""))
+    rows = documents(spark, sf_dir, "doc_id", "n_chars").select("doc_id", N.training_figures(log).alias("v"))
+    return rows.select("doc_id", "v.peak_mem_gb", "v.last_train_iter", "v.last_train_loss", "v.last_val_iter")
+
+
+@query("SELECT conv_id AS video_id, CASE WHEN conv_id % 3 = 0 THEN 'speech' ELSE 'captions' END AS origin FROM (SELECT DISTINCT conv_id FROM conversations)")
+def caption_fallback(spark, sf_dir):
+    videos = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id")).distinct()
+    made = F.when(F.col("video_id") % 3 == 0, F.slice(S.whole_section(F.lit("x")), 1, 0)).otherwise(S.whole_section(F.lit("x")))
+    return transcript.captions_or_speech(videos.withColumn("sections", made), videos.withColumn("sections", S.whole_section(F.lit("y")))).select("video_id", "origin")
+
+
+@query("SELECT doc_id, source AS source_id, lang AS split, n_chars::BIGINT AS pages FROM documents")
+def provenance(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars").withColumn("source_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    metadata = F.concat(F.lit('{"pages": '), F.col("n_chars").cast("string"), F.lit(" }"))
+    sources = docs.select("source_id", F.col("lang").alias("split"))
+    rows = pack.with_provenance(docs.select("doc_id", "source_id", metadata.alias("format_metadata")), sources)
+    v = F.from_json("format_metadata", "pages long, source_pack struct<source_id: string, split: string>")
+    return rows.select("doc_id", F.substring_index(v["source_pack"]["source_id"], "/", 1).alias("source_id"), v["source_pack"]["split"].alias("split"), v["pages"].alias("pages"))

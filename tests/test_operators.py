@@ -309,3 +309,44 @@ def test_packs_are_built_from_a_folder(spark, tmp_path, capsys):
     assert len(rows) == 2 and rows["pack__a__c0000"]["chunk_word_count"] == 201
     assert {r["source_id"]: r["low_quality_chunk_count"] for r in spark.read.json(f"{tmp_path}/out/source_pack").collect()}["a"] == 0
     assert cli.main(["audit", f"{tmp_path}/out/study_note_tasks"]) == 1 and "1 of 2 tasks" in capsys.readouterr().out
+
+
+def test_batches_are_resumed(spark, tmp_path):
+    from quillspark.operators import batches
+
+    every, sent = tasks(spark, 6), []
+
+    def submit(rows):
+        sent.append(rows.count())
+        return f"b{len(sent)}"
+
+    def collect(batch_id):
+        good = F.when(F.col("request_key") < "8", "succeeded").otherwise("expired")
+        return batches.requests(every).select("request_key", good.alias("kind"), F.lit(batch_id).alias("text"), F.lit(1).alias("input_tokens"), F.lit(2).alias("output_tokens"))
+
+    for _ in range(2):  # the second run finds the first one's batch
+        got = batches.run_batch(every, submit, collect, f"{tmp_path}/state").collect()
+        assert len(got) == 6 and all((r["answer"]["text"] == "b1") != (r["answer"]["error"] == "batch result: expired") for r in got)
+    batches.run_batch(every.limit(3), submit, collect, f"{tmp_path}/state").collect()
+    assert sent == [6, 3] and batches.in_flight(spark, f"{tmp_path}/state").count() == 3
+    batches.finish(spark, f"{tmp_path}/state")
+    assert batches.in_flight(spark, f"{tmp_path}/state") is None
+
+
+def test_smoke_sets_are_backfilled(spark):
+    pairs = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "valid")], "task_id string, bucket string")
+    assert sorted(map(tuple, export.backfilled(pairs).collect())) == [("a", "test"), ("a", "train"), ("b", "test"), ("b", "train"), ("c", "valid")]
+    with pytest.raises(export.ExportError):
+        export.backfilled(pairs.filter("bucket = 'valid'"))
+
+
+def test_written_tables_are_cleared(spark):
+    from quillspark import storage
+
+    before = list(storage._written)
+    storage._written.clear()
+    df = storage.materialise(spark.range(3), "x")
+    assert df.count() == 3
+    storage.clear(spark)
+    assert not storage._written
+    storage._written.extend(before)
