@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.storage import materialise
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Words of a window, and from one window's beginning to the next.
 WINDOW, STRIDE = 48, 36
@@ -309,8 +311,8 @@ def fit(docs: DataFrame, row_id: Column, text: Column, labels: DataFrame, max_do
     known = labels.select("row_id", "label", F.xxhash64(F.col("row_id").cast("string"), F.lit("toxic")).alias("h"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, min(1.0, max_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_docs / max(1, sizes.get(0, 0))))
-    picked = known.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select(row_id.alias("row_id"), text.alias("text")).join(picked, "row_id").select("label", "h", "text")
+    picked = materialise(known.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)), "toxic-sample")  # 2 x max_docs rows, which bounds the broadcast
+    rows = docs.select(row_id.alias("row_id"), text.alias("text")).join(F.broadcast(picked), "row_id").select("label", "h", "text")
     windows = rows.mapInPandas(sample_windows, "label int, h long, windows array<string>").collect()  # 2 x max_docs rows
     taught = sorted((r["h"], r["label"], list(r["windows"])) for r in windows)
     return train([(label, [w.split(" ") for w in own]) for _, label, own in taught], steps)
