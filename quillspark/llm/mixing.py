@@ -52,7 +52,8 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
 
     Two passes over `df`: sizes of (source, piece of its seeded order), then the
     documents, ordered within their piece. A source of any size is cut into 4096
-    pieces, and none of them meets another.
+    pieces, and none of them meets another. Documents move once, by piece: the
+    join with the pieces' offsets merges on the window's own partitions.
     """
     base = df.select(
         whole_row(df), size.alias("size"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"),
@@ -76,7 +77,7 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
     offsets = pieces.withColumn("before", before).join(targets.drop("place", "weight"), by_source)
 
     upto = F.sum("size").over(Window.partitionBy(*by_piece).orderBy("key", "row_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    placed = base.join(offsets, by_piece).withColumn("start", F.col("before") + upto - F.col("size"))
+    placed = base.join(offsets.hint("merge"), by_piece).withColumn("start", F.col("before") + upto - F.col("size"))
     once_more = (F.col("start") * 2 + F.col("size") <= F.col("rest") * 2) & (F.col("rest") > 0)
     return placed.withColumn("repeats", F.col("whole") + once_more.cast("long")).select(
         "row", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")

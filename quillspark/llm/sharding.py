@@ -46,7 +46,7 @@ def shard(df: DataFrame, row_id: Column, source: Column, tie: Column, shards: in
     rank = F.col("before") + F.row_number().over(Window.partitionBy(*by_piece).orderBy("key", "row_id", "tie")) - 1
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     runs = min(MAX_RUNS, max(1, -(-total // RUN_ROWS)))
-    ranked = base.join(offsets, by_piece).withColumn("rank", rank).select(
+    ranked = base.join(offsets.hint("merge"), by_piece).withColumn("rank", rank).select(
         "row", *by_source, "rank", ((F.col("rank") + unit) / F.col("source_n")).alias("part"),
     ).withColumn("run", F.floor(F.col("part") * runs).cast("int"))
     ranked = materialise(ranked, "shard-ranks")
