@@ -32,8 +32,8 @@ from quillspark.llm.unions import join
 from quillspark.storage import materialise
 
 COSINE = 0.93
-#: Nodes of a part, nodes that share a task, points of a leaf.
-PART, CELL_NODES, LEAF = 2048, 4096, 8
+#: Nodes of a part, nodes that share a task, points of a leaf, pairs of points that are compared at once instead of going down.
+PART, CELL_NODES, LEAF, BLOCK = 1024, 1024, 32, 1 << 16
 #: Room for rounding when whole nodes are pruned or linked.
 SLACK = 1e-7
 
@@ -49,14 +49,15 @@ class Node:
 
     __slots__ = ("centre", "points", "radius", "children")
 
-    def __init__(self, x: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, cosines: np.ndarray) -> None:
+        """`cosines` are those of the points with the first, the centre."""
         self.centre, self.points, self.children = points[0], points, []
-        self.radius = float(np.sqrt(np.maximum(2 - 2 * (x[points] @ x[points[0]]), 0)).max())
+        self.radius = max(2 - 2 * float(cosines.min()), 0.0) ** 0.5
 
 
 def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
     """The root of a tree over the unit vectors x[points]."""
-    root = Node(x, points)
+    root = Node(points, x[points] @ x[points[0]])
     todo = [(root, root.radius / 2)]
     while todo:
         node, radius = todo.pop()
@@ -66,11 +67,13 @@ def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
             radius /= 2
         near = 1 - radius * radius / 2
         own = x[node.points]
+        cosines = own @ own.T  # a part's square at most
         left = np.arange(len(own))  # the centre comes first, so levels are nested
         while len(left):
-            covered = own[left] @ own[left[0]] >= near
+            row = cosines[left[0], left]
+            covered = row >= near
             covered[0] = True
-            child = Node(x, node.points[left[covered]])
+            child = Node(node.points[left[covered]], row[covered])
             node.children.append(child)
             todo.append((child, radius / 2))
             left = left[~covered]
@@ -83,20 +86,25 @@ def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosi
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
     a_side: list[np.ndarray] = []
     b_side: list[np.ndarray] = []
+    held = 0
 
     def linked(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
+        nonlocal label, held
         a_side.append(a)
         b_side.append(b)
-        if sum(map(len, a_side)) > 1 << 20:
+        held += len(a)
+        if held > 1 << 20:
             label = join(label, np.concatenate(a_side), np.concatenate(b_side))
             a_side.clear()
             b_side.clear()
+            held = 0
 
     todo = [(first, second)]
     while todo:
         p, q = todo.pop()
         same = p is q
+        if same and len(p.points) == 1:
+            continue
         gap = 0.0 if same else float(np.sqrt(max(2 - 2 * float(x[p.centre] @ x[q.centre]), 0)))
         if gap > reach + p.radius + q.radius + SLACK:
             continue
@@ -107,15 +115,16 @@ def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosi
                 links[b] += weight[a].sum()
             linked(np.full(len(a) + len(b), a[0]), np.concatenate((a, b)))
             continue
-        if not p.children and not q.children:
+        if not (p.children or q.children) or len(p.points) * len(q.points) <= BLOCK:
             hits = x[p.points] @ x[q.points].T >= cosine
             if same:
                 np.fill_diagonal(hits, False)
             i, j = np.nonzero(hits)
-            np.add.at(links, p.points[i], weight[q.points[j]])
-            if not same:
-                np.add.at(links, q.points[j], weight[p.points[i]])
-            linked(p.points[i], q.points[j])
+            if len(i):
+                links[p.points] += hits @ weight[q.points]
+                if not same:
+                    links[q.points] += weight[p.points] @ hits
+                linked(p.points[i], q.points[j])
             continue
         left, right = p.children or [p], q.children or [q]
         if same:

@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 from itertools import combinations
 
 import numpy as np
@@ -193,6 +194,15 @@ def test_dual_walk_finds_the_links_of_brute_force(seed):
     assert (links == between @ weight).all()
 
 
+def test_dense_groups_are_not_walked_pair_by_pair():
+    rng = np.random.default_rng(0)
+    x = embed_dedup.unit(list(np.concatenate([rng.standard_normal((500, 64)), rng.standard_normal(64) + rng.standard_normal((1500, 64)) * 0.09])))
+    tree = embed_dedup.cover_tree(x, np.arange(2000))
+    began = time.process_time()
+    links, _ = embed_dedup.dual_walk(x, np.ones(2000, int), tree, tree, 0.93)
+    assert (links == brute_links(x, 0.93).sum(axis=1)).all() and links.sum() > 10**6 and time.process_time() - began < 20
+
+
 def test_levels_are_nested_and_cover():
     x = embed_dedup.unit(list(np.random.default_rng(1).standard_normal((200, 5))))
     todo = [(embed_dedup.cover_tree(x, np.arange(200)), None)]
