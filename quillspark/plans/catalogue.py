@@ -455,16 +455,20 @@ def vtt_parse(spark, sf_dir):
     return rows.select("conv_id", F.col("index").alias("cue"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def timed(spark, sf_dir) -> DataFrame:
-    """Segments of eight words of each document, nine seconds each, with a pause after every seventh."""
+def timed(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """Segments of eight words of each document, nine seconds each, with a pause after every seventh; `most` segments at most."""
     w = F.filter(F.split("text", " "), lambda x: ~x.rlike(r"[^a-zA-Z]") & (x != ""))
-    parts = F.transform(F.sequence(F.lit(0), F.least(F.lit(39), F.floor(F.size("w") / 8).cast("int"))), lambda k: S.section(index=k, text=F.array_join(F.slice("w", k * 8 + 1, 8), " "), start_time_s=k * 9.0 + F.floor(k / 7) * 20, end_time_s=k * 9.0 + F.floor(k / 7) * 20 + 9))
+    last = F.floor(F.size("w") / 8).cast("int")
+    last = last if most is None else F.least(F.lit(most - 1), last)
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: S.section(index=k, text=F.array_join(F.slice("w", k * 8 + 1, 8), " "), start_time_s=k * 9.0 + F.floor(k / 7) * 20, end_time_s=k * 9.0 + F.floor(k / 7) * 20 + 9))
     return documents(spark, sf_dir).withColumn("w", w).select("doc_id", parts.alias("sections"))
 
 
-@query(f"""
+def merge_sql(last: str) -> str:
+    """The fold in SQL; `last` is the number of a document's last segment, over its words `w`."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '[^a-zA-Z]')) AS w FROM documents),
-raw AS (SELECT doc_id, k, array_to_string(w[k * 8 + 1:k * 8 + 8], ' ') AS text, k * 9 + k // 7 * 20 AS s FROM (SELECT doc_id, w, unnest(range(0, least(39, len(w) // 8) + 1)) AS k FROM w)),
+raw AS (SELECT doc_id, k, array_to_string(w[k * 8 + 1:k * 8 + 8], ' ') AS text, k * 9 + k // 7 * 20 AS s FROM (SELECT doc_id, w, unnest(range(0, {last} + 1)) AS k FROM w)),
 seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, text, s FROM raw WHERE text <> ''),
 fold AS (
   SELECT doc_id, i, 1 AS part, text, s AS begins, s + 9 AS ends FROM seg WHERE i = 1
@@ -474,13 +478,28 @@ fold AS (
         FROM fold f JOIN seg g ON g.doc_id = f.doc_id AND g.i = f.i + 1,
         LATERAL (SELECT {D.overlap('f.text', 'g.text')} AS n),
         LATERAL (SELECT CASE WHEN contains(lower(f.text), lower(g.text)) THEN f.text WHEN n >= len(string_split(g.text, ' ')) THEN f.text ELSE f.text || ' ' || array_to_string(string_split(g.text, ' ')[n + 1:], ' ') END AS joined)))
-SELECT doc_id, (part - 1)::INT AS part, arg_max(begins, i)::DOUBLE AS start_s, max(ends)::DOUBLE AS end_s, sha256(arg_max(text, i)) AS text_sha256 FROM fold GROUP BY doc_id, part""")
-def transcript_merge(spark, sf_dir):
-    rows = timed(spark, sf_dir).withColumn("sections", transcript.merge_transcript(F.col("sections")))
-    flat = S.exploded(rows, F.col("sections"), "doc_id")
+SELECT doc_id, (part - 1)::INT AS part, arg_max(begins, i)::DOUBLE AS start_s, max(ends)::DOUBLE AS end_s, sha256(arg_max(text, i)) AS text_sha256 FROM fold GROUP BY doc_id, part"""
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    own = rows.withColumn("sections", transcript.merge_transcript(F.col("sections")))
+    # explode() would filter by its size first, which merges twice and splits the text anew for each segment
+    flat = own.select("doc_id", F.explode_outer("sections").alias("section")).filter("section is not null").select("doc_id", "section.*")
     return flat.select("doc_id", F.col("index").alias("part"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(merge_sql("least(39, len(w) // 8)"))
+def transcript_merge(spark, sf_dir):
+    """The first 40 segments of each document, as in its SQL; `transcript_merge_whole` has all."""
+    return merged(timed(spark, sf_dir, 40))
+
+
+@query(merge_sql("len(w) // 8"))
+def transcript_merge_whole(spark, sf_dir):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # whole documents in a batch
+    return merged(timed(spark, sf_dir))
+
+
 @query("""
 WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 21600 THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM e""")
