@@ -719,21 +719,38 @@ def caption_choice(spark, sf_dir):
     return discovery.choose_captions(rows)
 
 
-@query("""
+def playlist_sql(kept: str) -> str:
+    """Playlists and the entries that are `kept`."""
+    return f"""
 WITH p AS (SELECT DISTINCT source FROM documents),
 e AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS pos, doc_id FROM documents),
-c AS (SELECT 'pl_' || source || '_' || printf('%02d', pos) || '_talk_' || doc_id AS source_id, 50 + pos AS priority, true AS enabled FROM e WHERE pos <= 5 AND doc_id % 7 <> 0)
-SELECT source_id, priority::INT AS priority, enabled FROM c UNION ALL SELECT 'video_' || source || '_playlist', 50, false FROM p""")
-def playlist_expand(spark, sf_dir):
+c AS (SELECT 'pl_' || source || '_' || printf('%02d', pos) || '_talk_' || doc_id AS source_id, 50 + pos AS priority, true AS enabled FROM e WHERE {kept})
+SELECT source_id, priority::INT AS priority, enabled FROM c UNION ALL SELECT 'video_' || source || '_playlist', 50, false FROM p"""
+
+
+def expanded_playlists(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """Sources are playlists and their documents the entries, `most` of each source at most."""
     docs = documents(spark, sf_dir, "doc_id", "source").withColumn("playlist_id", F.concat(F.lit("video_"), "source", F.lit("_playlist")))
     pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     url = F.concat(F.lit("https://v.example.com/"), F.col("doc_id").cast("string"))
-    entries = docs.select("playlist_id", pos.alias("pos"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Talk #"), F.col("doc_id").cast("string")).alias("title"), url.alias("url")).filter("pos <= 5")
+    entries = docs.select("playlist_id", pos.alias("pos"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Talk #"), F.col("doc_id").cast("string")).alias("title"), url.alias("url"))
+    entries = entries if most is None else entries.filter(F.col("pos") <= most)
     playlists = docs.select(F.col("playlist_id").alias("source_id"), F.lit(50).alias("priority"), F.lit("train").alias("split"), F.array(F.lit("x")).alias("topic_bucket_ids"), F.lit(True).alias("enabled")).distinct()
     known = docs.filter("doc_id % 7 = 0").select(url.alias("original_url"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_id"))
     return discovery.expand_playlists(playlists, entries, known).select("source_id", "priority", "enabled")
 
 
+@query(playlist_sql("pos <= 5 AND doc_id % 7 <> 0"))
+def playlist_expand(spark, sf_dir):
+    """The first five documents of each source, as in its SQL; `playlist_expand_whole` has all."""
+    return expanded_playlists(spark, sf_dir, 5)
+
+
+@query(playlist_sql("doc_id % 7 <> 0"))
+def playlist_expand_whole(spark, sf_dir):
+    return expanded_playlists(spark, sf_dir)
+
+
 @query("SELECT page_id, url AS link, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'not a link' ELSE 'about it' END AS description, url || '.xml' AS loc FROM pages")
 def link_index(spark, sf_dir):
     number = F.col("page_id").cast("string")

@@ -25,3 +25,14 @@ def test_all_segments_of_a_transcript_are_merged(spark, tmp_path):
     got = {tuple(r) for r in catalogue.QUERIES["transcript_merge_whole"](spark, folder).collect()}
     assert got == want
     assert max(e for i, _, _, e, _ in got if i == 1) == at(1001 // 8) + 9
+
+
+def test_every_entry_of_a_playlist_is_expanded(spark, tmp_path):
+    rows = [(i, f"text {i}", "hot" if i % 10 else "cold") for i in range(1, 300)]
+    folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string, source string")
+    want = {(f"video_{s}_playlist", 50, False) for s in ("hot", "cold")}
+    for source in ("hot", "cold"):
+        ids = [i for i, _, s in rows if s == source]
+        want |= {(f"pl_{source}_{pos:02d}_talk_{i}", 50 + pos, True) for pos, i in enumerate(ids, 1) if i % 7}
+    got = [tuple(r) for r in catalogue.QUERIES["playlist_expand_whole"](spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
