@@ -437,24 +437,40 @@ def stamp(second: F.Column, ms: int) -> F.Column:
     return F.format_string(f"%02d:%02d:%02d.{ms:03d}", F.floor(second / 3600).cast("int"), F.floor(second % 3600 / 60).cast("int"), (second % 60).cast("int"))
 
 
-TURNS = "t AS (SELECT DISTINCT conv_id, turn, replace(replace(left(text, 200), chr(10), ' '), '-->', '') AS text FROM conversations WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1)"
+def turns_sql(text: str) -> str:
+    return f"t AS (SELECT DISTINCT conv_id, turn, replace(replace({text}, chr(10), ' '), '-->', '') AS text FROM conversations WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1)"
 
 
-def turns(spark, sf_dir) -> DataFrame:
+def turns(spark, sf_dir, text: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    return rows.select("conv_id", "turn", F.replace(F.replace(F.expr("left(text, 200)"), F.lit("\n"), F.lit(" ")), F.lit("-->"), F.lit("")).alias("text"))
+    return rows.select("conv_id", "turn", F.replace(F.replace(F.expr(text), F.lit("\n"), F.lit(" ")), F.lit("-->"), F.lit("")).alias("text"))
 
 
-@query(f"""WITH {TURNS}, c AS (SELECT conv_id, turn, {D.squeeze("regexp_replace(regexp_replace(text || ' <c>and</c> more', '<(?:[0-9]{1,2}:)?[0-9]{2}:[0-9]{2}[.,][0-9]{3}>', '', 'g'), '<[^>]+>', '', 'g')")} AS text FROM t)
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS cue, round(turn * 70 + 0.25, 2)::DOUBLE AS start_s, round(turn * 70 + 9.5, 2)::DOUBLE AS end_s, sha256(text) AS text_sha256 FROM c WHERE text <> ''""")
-def vtt_parse(spark, sf_dir):
+def vtt_sql(text: str) -> str:
+    """Cues of turns that say `text`."""
+    return f"""WITH {turns_sql(text)}, c AS (SELECT conv_id, turn, {D.squeeze("regexp_replace(regexp_replace(text || ' <c>and</c> more', '<(?:[0-9]{1,2}:)?[0-9]{2}:[0-9]{2}[.,][0-9]{3}>', '', 'g'), '<[^>]+>', '', 'g')")} AS text FROM t)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS cue, round(turn * 70 + 0.25, 2)::DOUBLE AS start_s, round(turn * 70 + 9.5, 2)::DOUBLE AS end_s, sha256(text) AS text_sha256 FROM c WHERE text <> ''"""
+
+
+def parsed_cues(spark, sf_dir, text: str) -> DataFrame:
     second = F.col("turn") * 70
     block = F.concat(F.col("turn").cast("string"), F.lit("\n"), stamp(second, 250), F.lit(" --> "), stamp(second + 9, 500), F.lit(" align:start\n"), "text", F.lit(" <c>and</c>\nmore"))
-    files = turns(spark, sf_dir).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made up\n\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))["b"], "\n\n")).alias("vtt"))
+    files = turns(spark, sf_dir, text).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made up\n\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))["b"], "\n\n")).alias("vtt"))
     rows = S.exploded(files, S.vtt_sections(F.col("vtt")), "conv_id")
     return rows.select("conv_id", F.col("index").alias("cue"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(vtt_sql("left(text, 200)"))
+def vtt_parse(spark, sf_dir):
+    """The first 200 characters of each turn, as in its SQL; `vtt_parse_whole` has all."""
+    return parsed_cues(spark, sf_dir, "left(text, 200)")
+
+
+@query(vtt_sql("text"))
+def vtt_parse_whole(spark, sf_dir):
+    return parsed_cues(spark, sf_dir, "text")
+
+
 def timed(spark, sf_dir, most: int | None = None) -> DataFrame:
     """Segments of eight words of each document, nine seconds each, with a pause after every seventh; `most` segments at most."""
     w = F.filter(F.split("text", " "), lambda x: ~x.rlike(r"[^a-zA-Z]") & (x != ""))

@@ -36,3 +36,11 @@ def test_every_entry_of_a_playlist_is_expanded(spark, tmp_path):
         want |= {(f"pl_{source}_{pos:02d}_talk_{i}", 50 + pos, True) for pos, i in enumerate(ids, 1) if i % 7}
     got = [tuple(r) for r in catalogue.QUERIES["playlist_expand_whole"](spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cues_are_parsed_whole(spark, tmp_path):
+    turns = [(1, 0, "word " * 500 + "end"), (1, 1, "short"), (2, 3, "a\nb " * 300 + "<i>last</i>")]
+    folder = write(spark, tmp_path, "conversations", turns, "conv_id long, turn int, text string")
+    said = [" ".join(re.sub("<[^>]+>", "", t).split()) + " and more" for *_, t in turns]
+    want = {(c, cue, t * 70 + 0.25, t * 70 + 9.5, hashlib.sha256(s.encode()).hexdigest()) for (c, t, _), cue, s in zip(turns, (0, 1, 0), said, strict=True)}
+    assert {tuple(r) for r in catalogue.QUERIES["vtt_parse_whole"](spark, folder).collect()} == want
