@@ -12,8 +12,10 @@ doesn't train; on it the bias is moved so that a score of 0.5 parts the classes
 best, a false alarm counting twice as much as a miss.
 
 The network is fitted on a bounded sample: `max_docs` labelled documents of
-either class in expectation, chosen by a hash of the id, and `max_windows`
-windows of each, drawn at random. Only these windows come to the driver.
+either class in expectation, chosen by a hash of the id. What each step looks at
+is drawn from all windows of these documents before training, by their numbers
+of windows, and only what is drawn comes to the driver: the steps bound it, not
+the texts. The part that sets the level is scored on executors, whole.
 
 Edge cases: null, empty and wordless texts score 0; without labels of both
 classes all scores are 0; of contradicting labels the toxic one counts;
@@ -38,7 +40,7 @@ WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 12, 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 ORDERS = (3, 4)
-MAX_DOCS, MAX_WINDOWS = 2500, 12
+MAX_DOCS = 2500
 STEPS, DOCS_A_STEP, WINDOWS_A_STEP, RATE = 500, (18, 10), 4, 0.01
 #: One in so many sampled documents sets the level of the scores and doesn't train.
 HELD_FOR_LEVEL = 6
@@ -175,24 +177,42 @@ def gradient(net: dict, index: np.ndarray, mask: np.ndarray, vocab: tuple, loss_
     return loss, g
 
 
+def draws(sizes: tuple[list[int], list[int]], steps: int, seed: int = 7) -> tuple[dict, list[list[tuple[int, int, np.ndarray]]]]:
+    """A new network, and for each step the label, place and windows of its documents.
+
+    sizes: the number of windows of each document, by label.
+    """
+    rng = np.random.default_rng(seed)
+    net, planned = new_net(rng), []
+    for _ in range(steps):
+        planned.append([])
+        for k in (0, 1):
+            for i in rng.integers(len(sizes[k]), size=DOCS_A_STEP[k]):
+                planned[-1].append((k, int(i), rng.permutation(sizes[k][i])[:WINDOWS_A_STEP]))
+    return net, planned
+
+
 def train(docs: list[tuple[int, list[list[str]]]], steps: int = STEPS, seed: int = 7) -> dict | None:
     """A network from documents of (label, windows); None unless both classes are there."""
-    rng = np.random.default_rng(seed)
-    held = docs[::HELD_FOR_LEVEL]
+    held = [(label, w) for label, w in docs[::HELD_FOR_LEVEL] if w]
     sides = [[w for i, (label, w) in enumerate(docs) if label == k and w and i % HELD_FOR_LEVEL] for k in (0, 1)]
     if not all(sides):
         return None
-    net = new_net(rng)
+    net, planned = draws(tuple([len(w) for w in side] for side in sides), steps, seed)
+    net = learn(net, planned, lambda k, i, j: sides[k][i][j])
+    return level(net, [label for label, _ in held], [score_words(net, w).max() for _, w in held])
+
+
+def learn(net: dict, planned: list[list[tuple[int, int, np.ndarray]]], window) -> dict:
+    """The network after the planned steps; `window` gives the words of (label, place, window)."""
+    steps = len(planned)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
-    for step in range(1, steps + 1):
+    for step, seen in enumerate(planned, 1):
         windows, of, labels = [], [], []
-        for k in (0, 1):
-            for i in rng.integers(len(sides[k]), size=DOCS_A_STEP[k]):
-                own = sides[k][i]
-                picked = rng.permutation(len(own))[:WINDOWS_A_STEP]
-                windows += [own[j] for j in picked]
-                of += [len(labels)] * len(picked)
-                labels.append(k)
+        for k, i, picked in seen:
+            windows += [window(k, i, int(j)) for j in picked]
+            of += [len(labels)] * len(picked)
+            labels.append(k)
         names = sorted({w for win in windows for w in win})
         place = {w: i for i, w in enumerate(names)}
         index, mask = np.zeros((WINDOW, len(windows)), np.int64), np.zeros((WINDOW, len(windows)), bool)
@@ -219,16 +239,15 @@ def train(docs: list[tuple[int, list[list[str]]]], steps: int = STEPS, seed: int
             m += 0.1 * (grad[k] - m)
             s += 0.01 * (grad[k] ** 2 - s)
             v -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return level(net, held)
+    return net
 
 
-def level(net: dict, docs: list[tuple[int, list[list[str]]]]) -> dict:
-    """The network with its bias moved to where `docs` part best."""
-    known = [(label, w) for label, w in docs if w]
-    if len({label for label, _ in known}) < 2:
+def level(net: dict, labels: list[int], scores: list[float]) -> dict:
+    """The network with its bias moved to where scores of whole documents part best."""
+    if len(set(labels)) < 2:
         return net
-    toxic = np.array([label == 1 for label, _ in known])
-    p = np.array([score_words(net, w).max() for _, w in known]).clip(1e-6, 1 - 1e-6)
+    toxic = np.array(labels) == 1
+    p = np.array(scores).clip(1e-6, 1 - 1e-6)
     logit = np.log(p / (1 - p))
     cuts = np.sort(logit)
     cuts = np.concatenate(((cuts[1:] + cuts[:-1]) / 2, [0.0]))
@@ -294,16 +313,29 @@ def score_words(net: dict, docs: list[list[str]]) -> np.ndarray:
     return out
 
 
-def sample_windows(batches):
-    """Up to MAX_WINDOWS windows of each document of a task."""
+def count_windows(batches):
+    """The number of windows of each document of a task."""
+    for batch in batches:
+        sizes = [len(words_of(t)) for t in batch["text"]]
+        yield batch[["label", "h", "key"]].assign(n=[len(starts_of(n)) if n else 0 for n in sizes])
+
+
+def pick_windows(batches, wanted: dict[int, list[int]]):
+    """The wanted windows of each document of a task."""
     for batch in batches:
         rows = []
-        for label, h, text in zip(batch["label"], batch["h"], batch["text"], strict=True):
-            words = words_of(text)
-            rng = np.random.default_rng(abs(int(h)))
-            starts = rng.permutation(starts_of(len(words)))[:MAX_WINDOWS] if words else []
-            rows.append((int(label), int(h), [" ".join(words[s : s + WINDOW]) for s in sorted(starts)]))
-        yield pd.DataFrame(rows, columns=["label", "h", "windows"])
+        for key, text in zip(batch["key"], batch["text"], strict=True):
+            if key in wanted:
+                words = words_of(text)
+                rows += [(key, j, " ".join(words[j * STRIDE : j * STRIDE + WINDOW])) for j in wanted[key]]
+        yield pd.DataFrame(rows, columns=["key", "j", "words"])
+
+
+def rate_whole(batches, net: dict, held: set[int]):
+    """The scores of the held documents of a task, each read whole."""
+    for batch in batches:
+        own = batch[batch["key"].isin(held)]
+        yield own[["label", "h", "key"]].assign(score=score_texts(net, list(own["text"])))
 
 
 def fit(docs: DataFrame, row_id: Column, text: Column, labels: DataFrame, max_docs: int = MAX_DOCS, steps: int = STEPS) -> dict | None:
@@ -312,10 +344,25 @@ def fit(docs: DataFrame, row_id: Column, text: Column, labels: DataFrame, max_do
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, min(1.0, max_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_docs / max(1, sizes.get(0, 0))))
     picked = materialise(known.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)), "toxic-sample")  # 2 x max_docs rows, which bounds the broadcast
-    rows = docs.select(row_id.alias("row_id"), text.alias("text")).join(F.broadcast(picked), "row_id").select("label", "h", "text")
-    windows = rows.mapInPandas(sample_windows, "label int, h long, windows array<string>").collect()  # 2 x max_docs rows
-    taught = sorted((r["h"], r["label"], list(r["windows"])) for r in windows)
-    return train([(label, [w.split(" ") for w in own]) for _, label, own in taught], steps)
+    rows = docs.select(row_id.alias("row_id"), text.alias("text")).join(F.broadcast(picked), "row_id")
+    rows = materialise(rows.select("label", "h", F.xxhash64("h", "text").alias("key"), "text"), "toxic-texts")  # 2 x max_docs rows, read three times
+    counted = rows.mapInPandas(count_windows, "label int, h long, key long, n long").collect()  # numbers of 2 x max_docs rows
+    order = sorted((r["h"], r["label"], r["key"], r["n"]) for r in counted)
+    held = {key for _, _, key, _ in order[::HELD_FOR_LEVEL]}
+    sides = [[(key, n) for _, label, key, n in order if label == k and n and key not in held] for k in (0, 1)]
+    if not all(sides):
+        return None
+    net, planned = draws(tuple([n for _, n in side] for side in sides), steps)
+    wanted: dict[int, set[int]] = {}
+    for k, i, windows in (x for seen in planned for x in seen):
+        wanted.setdefault(sides[k][i][0], set()).update(windows.tolist())
+    asked = {key: sorted(js) for key, js in wanted.items()}
+    found = rows.mapInPandas(lambda it: pick_windows(it, asked), "key long, j long, words string").collect()  # the steps' windows at most
+    drawn = {(r["key"], r["j"]): r["words"] for r in found}
+    net = learn(net, planned, lambda k, i, j: drawn[sides[k][i][0], j].split(" "))
+    wordy = {key for _, _, key, n in order if n} & held
+    rated = sorted(map(tuple, rows.mapInPandas(lambda it: rate_whole(it, net, wordy), "label int, h long, key long, score double").collect()))
+    return level(net, [label for label, *_ in rated], [score for *_, score in rated])
 
 
 def predict(spark, text: Column, net: dict | None) -> Column:
