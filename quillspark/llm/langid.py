@@ -5,9 +5,10 @@ Counts of hashed n-grams are summed over the cluster, their log-probabilities
 one sparse product: the n-grams of all texts of a piece are looked up at once
 and summed text by text. Texts are read whole.
 
-The classifier is fitted on a bounded sample: `max_rows` labelled rows in
-expectation, chosen by a hash of the id. Null languages and the held-out fold
-teach nothing.
+The classifier is fitted on a bounded sample: `max_rows` labelled rows of each
+language in expectation, chosen by a hash of the id; a language with fewer is
+taken whole, so it is learned however small its share. Null languages and the
+held-out fold teach nothing.
 
 Edge cases: null text and text without a letter give `und` with score 0; with
 nothing to learn from every text is `und`; a tie goes to the language that sorts
@@ -125,13 +126,16 @@ def count_grams(batches, langs: list[str]):
 def fit(df: DataFrame, text: Column, lang: Column, usable: Column, row_id: Column, max_rows: int = MAX_ROWS, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities by bucket; the last row of the matrix is the prior."""
     rows = df.select(text.alias("text"), lang.alias("lang"), F.xxhash64(row_id.cast("string"), F.lit("sample")).alias("h"), usable.alias("usable")).filter("usable and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("text").alias("n_texts")).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0))
     langs, total = sorted(sizes), sum(sizes.values())
     sample = rows.filter("text is not null")
-    if total > max_rows:
-        sample = sample.filter(F.pmod("h", F.lit(1 << 30)) < int(max_rows / total * (1 << 30)))
+    large = [(F.lit(r["lang"]), F.lit(int(max_rows / r["n_texts"] * (1 << 30)))) for r in found if r["n_texts"] > max_rows]
+    if large:
+        below = F.create_map(*[x for pair in large for x in pair])[F.col("lang")]
+        sample = sample.filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(below, F.lit(1 << 30)))
     partial = sample.select("text", "lang").mapInPandas(lambda it: count_grams(it, langs), "lang string, bucket int, n long")
     counts = np.full((BUCKETS, len(langs)), alpha)
     summed = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most

@@ -24,3 +24,15 @@ def test_level_is_set_on_whole_texts(spark):
     toxic = np.array([k == 1 for *_, k in held])
     cost = lambda c: 2 * (p[~toxic] >= c).mean() + (p[toxic] < c).mean()
     assert cost(0.5) <= min(cost(c) for c in [*p, *(p + 1e-9)]) + 1e-9
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(20))
+    rows = [(i, make("abcdefgh"), "common") for i in range(3000)] + [(5000 + i, make("stuvwxyz"), "rare") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, F.col("text"), F.col("lang"), F.lit(True), F.col("doc_id"), max_rows=30)
+    got = langid.score([make("stuvwxyz"), make("abcdefgh")], *model)
+    assert list(got["lang_pred"]) == ["rare", "common"]
+    of = model[0].index("rare")
+    assert np.ptp(model[1][:-1, of]) > 0  # its n-grams were seen
