@@ -120,7 +120,8 @@ SELECT doc_id, {D.overlap('a', 'b')}::INT AS repeated FROM q""")
 def overlap_words(spark, sf_dir):
     w = F.split("text", " ")
     start = F.greatest(F.lit(1), F.lit(41) - (F.col("doc_id") % 45).cast("int"))
-    rows = documents(spark, sf_dir).select("doc_id", F.array_join(F.slice(w, 1, 40), " ").alias("a"), F.array_join(F.slice(w, start, F.lit(81) - start), " ").alias("b"))
+    rest = F.slice(w, start, F.greatest(F.size(w) - start + 1, F.lit(0)))  # all of it; the SQL stops at word 80, beyond the 30 words that are compared
+    rows = documents(spark, sf_dir).select("doc_id", F.array_join(F.slice(w, 1, 40), " ").alias("a"), F.array_join(rest, " ").alias("b"))
     return rows.select("doc_id", T.word_overlap(F.col("a"), F.col("b")).alias("repeated"))
 
 

@@ -44,3 +44,10 @@ def test_cues_are_parsed_whole(spark, tmp_path):
     said = [" ".join(re.sub("<[^>]+>", "", t).split()) + " and more" for *_, t in turns]
     want = {(c, cue, t * 70 + 0.25, t * 70 + 9.5, hashlib.sha256(s.encode()).hexdigest()) for (c, t, _), cue, s in zip(turns, (0, 1, 0), said, strict=True)}
     assert {tuple(r) for r in catalogue.QUERIES["vtt_parse_whole"](spark, folder).collect()} == want
+
+
+def test_overlap_reads_the_whole_second_half(spark, tmp_path):
+    tail = [f"w{i}" for i in range(20)]
+    text = " ".join([f"v{i}" for i in range(20)] + tail + tail[:5] + [""] * 60 + tail[5:])  # blanks take the places up to the 80th
+    folder = write(spark, tmp_path, "documents", [(45, text)], "doc_id long, text string")
+    assert [tuple(r) for r in catalogue.QUERIES["overlap_words"](spark, folder).collect()] == [(45, 20)]
