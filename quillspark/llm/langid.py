@@ -12,7 +12,8 @@ held-out fold teach nothing.
 
 Edge cases: null text and text without a letter give `und` with score 0; with
 nothing to learn from every text is `und`; a tie goes to the language that sorts
-first; repeated rows are scored alike.
+first; repeated rows are scored alike; more than `MAX_LANGS` languages are an
+error.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 MAX_ROWS = 6000
+#: Languages that are learned at most; more are an error, as the model is languages x buckets.
+MAX_LANGS = 1000
 #: Characters that are hashed at once, which bounds the memory of a task.
 PIECE_CHARS = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -120,13 +123,16 @@ def count_grams(batches, langs: list[str]):
             for found, _ in pieces(list(group["text"])):
                 counts[number[lang]] += np.bincount(found, minlength=BUCKETS)
     of, bucket = np.nonzero(counts)
-    yield pd.DataFrame({"lang": [langs[i] for i in of], "bucket": bucket.astype("int32"), "n": counts[of, bucket]})
+    if len(of):  # a task may see no row of the sample
+        yield pd.DataFrame({"lang": [langs[i] for i in of], "bucket": bucket.astype("int32"), "n": counts[of, bucket]})
 
 
 def fit(df: DataFrame, text: Column, lang: Column, usable: Column, row_id: Column, max_rows: int = MAX_ROWS, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities by bucket; the last row of the matrix is the prior."""
     rows = df.select(text.alias("text"), lang.alias("lang"), F.xxhash64(row_id.cast("string"), F.lit("sample")).alias("h"), usable.alias("usable")).filter("usable and lang is not null")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("text").alias("n_texts")).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("text").alias("n_texts")).limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     sizes = {r["lang"]: r["n"] for r in found}
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0))

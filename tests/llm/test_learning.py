@@ -1,6 +1,7 @@
 """What is learned rests on whole texts and on all languages."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, toxicity
@@ -36,3 +37,20 @@ def test_a_rare_language_is_learned(spark):
     assert list(got["lang_pred"]) == ["rare", "common"]
     of = model[0].index("rare")
     assert np.ptp(model[1][:-1, of]) > 0  # its n-grams were seen
+
+
+def test_tasks_without_a_sampled_row(spark):
+    rows = [(i, "abc def" if i % 2 else "xyz uvw", "a" if i % 2 else "z") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(16, "doc_id")
+    model = langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id") > 0, F.col("doc_id"), max_rows=1)
+    assert model[0] == ["a", "z"]
+    labels = docs.select(F.col("doc_id").alias("row_id"), (F.col("doc_id") % 2).cast("int").alias("label"))
+    net = toxicity.fit(docs, F.col("doc_id"), F.col("text"), labels, steps=2)
+    assert net is None or len(toxicity.score_texts(net, ["abc", None])) == 2
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    docs = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.col("text"), F.col("lang"), F.lit(True), F.col("doc_id"))
