@@ -27,5 +27,5 @@ def html_text(html: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """Lines that aren't blank, without ASCII white space around them; none for null."""
-    lines = F.transform(F.split(html_text(F.coalesce(html, F.lit(""))), "\n"), lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
+    lines = F.transform(F.split(html_text(F.coalesce(html, F.lit(""))), "\n"), lambda x: F.btrim(x, F.lit("\t\n\x0b\x0c\r ")))
     return F.filter(lines, lambda x: x != "")
