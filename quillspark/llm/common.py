@@ -12,25 +12,58 @@ from pyspark.sql import functions as F
 from quillspark.storage import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words are runs of anything but ASCII white space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-#: Words are runs of ASCII letters and digits and of all that is not ASCII.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII white space, and all of ASCII that is neither letter nor digit.
+SPACES = "\t\n\x0b\x0c\r"
+MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Rows of a table that may be broadcast at most, unless an operator says otherwise: some 20 MB of numbers.
+BROADCAST_ROWS = 200_000
+#: Shares of a key's rows that meet in different tasks when a table is too large to broadcast.
+SALTS = 8
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def cut(text: Column) -> Column:
+    """What stands between the spaces of a text; one translation and one split cost a tenth of matching words."""
+    return F.array_remove(F.split(text, " "), "")
+
+
+def space_words(text: Column) -> Column:
+    """Runs of anything but ASCII white space."""
+    return cut(F.translate(text, SPACES, " " * len(SPACES)))
+
+
+def alnum_words(text: Column) -> Column:
+    """Runs of ASCII letters and digits and of all that is not ASCII, A-Z lower-cased."""
+    return cut(F.translate(text, UPPER + MARKS, LOWER + " " * len(MARKS)))
 
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(space_words(text)), F.lit(0)).cast("long")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[Column], rows: int = BROADCAST_ROWS, salts: int = SALTS, size: int | None = None) -> DataFrame:
+    """`left` joined with the written table `right`, which is broadcast if it has `rows` rows at most (or `size` says so).
+
+    Beyond that both are shuffled by key and by a share of the key, which `spread`
+    decides for the rows of `left`; so a hot key meets in `salts` tasks.
+    """
+    if (right.count() if size is None else size) <= rows:
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns as they can be hashed: those that hold maps or variants as JSON."""
+    own = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema.fields]
+    return [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c for c, kind in own]
+
+
 def row_keys(row_id: Column, text: Column) -> list[Column]:
     """Two 64-bit hashes of id and text, never null: rows equal in both share them."""
     return [F.xxhash64(row_id, text).alias("k1"), F.xxhash64(text, F.lit("2"), row_id).alias("k2")]

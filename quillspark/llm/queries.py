@@ -44,7 +44,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
     judged = decontam.decontaminate(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
-    return judged.select("row.doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.col("n_items").cast("long").alias("n_items"), "items_sha256", "contaminated")
+    return judged.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
