@@ -87,7 +87,7 @@ WITH p AS (
   FROM pages),
 sites AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL),
-common AS (SELECT host, list(line) AS common FROM seen JOIN sites USING (host) WHERE pages >= 3 AND n > 0.5 * pages GROUP BY 1),
+common AS (SELECT host, list(line) AS common FROM seen JOIN sites USING (host) WHERE n > 1 AND n > 0.5 * pages GROUP BY 1),
 cut AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)) AS kept FROM p LEFT JOIN common USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, len(kept)::BIGINT AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut
 """

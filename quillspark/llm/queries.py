@@ -9,6 +9,7 @@ from quillspark.functions import html, urls
 from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity, url_filter, warc
 from quillspark.llm.common import word_count
 from quillspark.session import table
+from quillspark.storage import materialise
 
 #: Rows of text that go to Python at once; texts may be long.
 BATCH_ROWS = "1000"
@@ -91,8 +92,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every page without the boilerplate of its site."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    cleaned = line_dedup.drop_boilerplate(pages, urls.host(F.col("url")), html.html_lines(F.col("html")))
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), html.html_lines(F.col("html")).alias("lines"))
+    cleaned = line_dedup.drop_boilerplate(materialise(pages, "page-lines"), F.col("host"), F.col("lines"))
     text = F.array_join("kept", "\n")
     return cleaned.select("row.page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), F.sha2(text, 256).alias("text_sha256"))
 
