@@ -69,9 +69,9 @@ def row_keys(row_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(row_id, text).alias("k1"), F.xxhash64(text, F.lit("2"), row_id).alias("k2")]
 
 
-def seeded_key(seed: int, row_id: Column) -> Column:
-    """A uniform hex string that orders rows at random, the same in every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit(""))))
+def seeded_key(seed: int, row_id: Column, tie: Column) -> Column:
+    """A uniform hex string that orders rows at random, the same in every run; rows that differ in id or `tie` differ in it."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(row_id.cast("string"), F.lit("")), F.coalesce(tie.cast("string"), F.lit(""))))
 
 
 def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -34,9 +34,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents to the target weights of their sources."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("hash"))
-    mixed = mixing.mix(sized, F.col("doc_id"), F.col("source"), F.col("words"), F.col("hash"))
+    docs = table(spark, sf_dir, "documents")
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.md5("text").alias("digest")), "document-sizes")
+    mixed = mixing.mix(sized, F.col("doc_id"), F.col("source"), F.col("words"), F.col("digest"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
@@ -53,7 +53,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length("text")).alias("bytes"), F.crc32(payload).alias("crc"))
     rows = docs.select("doc_id", "source", (F.coalesce("bytes", F.lit(0)) + 8).cast("long").alias("size"), F.col("crc").cast("long").alias("crc"))
-    dealt = sharding.shard(rows, F.col("doc_id"), F.col("source"), F.struct("crc", "size"))
+    dealt = sharding.shard(rows, F.col("doc_id"), F.col("source"), F.concat_ws(":", F.col("crc").cast("string"), F.col("size").cast("string")))
     return dealt.select("row.doc_id", "row.size", F.col("row.crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

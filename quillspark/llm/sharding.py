@@ -7,11 +7,13 @@ fractional rank interleave the sources evenly, and cutting that order into equal
 runs gives shards that each hold the mixture.
 
 Law `rows`: counts of shards differ by one at most. The method places every row
-by itself and keeps no groups; equal texts are rows like any other.
+by itself and keeps no groups: rows of equal texts, the groups of the contract,
+are spread over the shards like any others.
 
 Edge cases: null text is empty (8 bytes, checksum 0); the null source is a
-source; rows equal in id and text are interchangeable; fewer rows than shards
-leave shards empty; an empty table gives an empty table.
+source; null and repeated ids are ordered by `tie`; rows equal in both are
+interchangeable, and many of them are dealt to pieces of their own; fewer rows
+than shards leave shards empty; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,12 +21,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import seeded_key, whole_row
+from quillspark.llm.common import seeded_key, sized_join, whole_row
 from quillspark.storage import materialise
 
 PIECE_DIGITS = 3
 #: Rows that are sorted together at least, and runs of the global order at most.
 RUN_ROWS, MAX_RUNS = 2000, 8192
+#: A piece of more rows than this and than `HOT_TIMES` the mean of its source holds rows of one key, which are dealt to `HOT_PARTS` pieces.
+HOT_ROWS, HOT_TIMES, HOT_PARTS = 100_000, 4, 1024
+
+
+def deal_hot(base: DataFrame, pieces: DataFrame) -> DataFrame | None:
+    """`base` with rows of the keys that many rows share in pieces of their own, written; None if there is no such key.
+
+    Those pieces follow the one that the key is from, so the order stays one that the rows decide.
+    """
+    by_piece = ["no_source", "source", "piece"]
+    mean = F.sum("n").over(Window.partitionBy("no_source", "source")) / F.lit(16**PIECE_DIGITS)
+    hot = materialise(pieces.withColumn("most", F.greatest(mean * HOT_TIMES, F.lit(float(HOT_ROWS)))).filter("n > most").select(*by_piece, "most"), "hot-pieces")
+    if hot.isEmpty():
+        return None
+    own = sized_join(base.select(*by_piece, "key"), hot, by_piece, "inner", [F.col("key")])
+    keys = own.groupBy(*by_piece, "key").agg(F.count("*").alias("n"), F.first("most").alias("most")).filter("n * 2 > most")
+    marked = sized_join(base, materialise(keys.select(*by_piece, "key", F.lit(True).alias("hot")), "hot-keys"), [*by_piece, "key"], "left", [F.col("key")])
+    place = F.lpad(F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS)).cast("string"), 4, "0")
+    piece = F.when(F.col("hot"), F.concat_ws("-", "piece", "key", place)).otherwise(F.col("piece"))
+    return materialise(marked.withColumn("piece", piece).drop("hot"), "dealt-rows")
 
 
 def shard(df: DataFrame, row_id: Column, source: Column, tie: Column, shards: int = 24, seed: int = 29) -> DataFrame:
@@ -35,15 +57,19 @@ def shard(df: DataFrame, row_id: Column, source: Column, tie: Column, shards: in
     """
     base = df.select(
         whole_row(df), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"),
-        seeded_key(seed, row_id).alias("key"), row_id.alias("row_id"), tie.alias("tie"),
+        seeded_key(seed, row_id, tie).alias("key"),
     ).withColumn("piece", F.substring("key", 1, PIECE_DIGITS))
     by_source, by_piece = ["no_source", "source"], ["no_source", "source", "piece"]
 
-    pieces = materialise(base.groupBy(*by_piece).agg(F.count("*").alias("n")), "shard-pieces")
+    count = lambda rows: materialise(rows.groupBy(*by_piece).agg(F.count("*").alias("n")), "shard-pieces")
+    pieces = count(base)
+    dealt = deal_hot(base, pieces)
+    if dealt is not None:
+        base, pieces = dealt, count(dealt)
     total = pieces.agg(F.sum("n")).first()[0] or 0
     own = Window.partitionBy(*by_source)
     offsets = pieces.select(*by_piece, (F.sum("n").over(own.orderBy("piece")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("source_n"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(*by_piece).orderBy("key", "row_id", "tie")) - 1
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*by_piece).orderBy("key")) - 1
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     runs = min(MAX_RUNS, max(1, -(-total // RUN_ROWS)))
     ranked = base.join(offsets.hint("merge"), by_piece).withColumn("rank", rank).select(
