@@ -12,7 +12,8 @@ doesn't train; on it the bias is moved so that a score of 0.5 parts the classes
 best, a false alarm counting twice as much as a miss.
 
 The network is fitted on a bounded sample: `max_docs` labelled documents of
-either class in expectation, chosen by a hash of the id. What each step looks at
+either class in expectation, chosen by a hash of the id; of rows that share an
+id, one text teaches. What each step looks at
 is drawn from all windows of these documents before training, by their numbers
 of windows, and only what is drawn comes to the driver: the steps bound it, not
 the texts. The part that sets the level is scored on executors, whole.
@@ -340,12 +341,13 @@ def rate_whole(batches, net: dict, held: set[int]):
 
 def fit(docs: DataFrame, row_id: Column, text: Column, labels: DataFrame, max_docs: int = MAX_DOCS, steps: int = STEPS) -> dict | None:
     """A network from `docs` and `labels` (row_id, label: 0 or 1, one row for an id)."""
-    known = labels.select("row_id", "label", F.xxhash64(F.col("row_id").cast("string"), F.lit("toxic")).alias("h"))
+    known = labels.filter("label in (0, 1)").select("row_id", "label", F.xxhash64(F.col("row_id").cast("string"), F.lit("toxic")).alias("h"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, min(1.0, max_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_docs / max(1, sizes.get(0, 0))))
     picked = materialise(known.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)), "toxic-sample")  # 2 x max_docs rows, which bounds the broadcast
     rows = docs.select(row_id.alias("row_id"), text.alias("text")).join(F.broadcast(picked), "row_id")
-    rows = materialise(rows.select("label", "h", F.xxhash64("h", "text").alias("key"), "text"), "toxic-texts")  # 2 x max_docs rows, read three times
+    one = F.min(F.struct(F.xxhash64("h", "text").alias("key"), "text")).alias("t")
+    rows = materialise(rows.groupBy("label", "h").agg(one).select("label", "h", "t.key", "t.text"), "toxic-texts")  # 2 x max_docs rows, read three times
     counted = rows.mapInPandas(count_windows, "label int, h long, key long, n long").collect()  # numbers of 2 x max_docs rows
     order = sorted((r["h"], r["label"], r["key"], r["n"]) for r in counted)
     held = {key for _, _, key, _ in order[::HELD_FOR_LEVEL]}
