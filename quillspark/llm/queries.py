@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import html, urls
 from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity, url_filter, warc
-from quillspark.llm.common import word_count
+from quillspark.llm.common import sized_join, word_count
 from quillspark.session import table
 from quillspark.storage import materialise
 
@@ -23,13 +23,21 @@ def small_batches(spark: SparkSession) -> None:
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """tokens, block: the URLs of pages whose document is labelled; a page's document is the number that ends its path."""
+    block = F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block")
+    known = materialise(labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(block), "page-labels")
+    number = F.regexp_extract(urls.path(F.col("url")), r"/(\d+)(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
+    held = sized_join(pages.select("page_id", "url", number.alias("doc")), known, ["doc"], "inner", [F.col("page_id"), F.col("url")])
+    return held.select(url_filter.tokens(F.col("url")).alias("tokens"), "block")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's URL; pages whose label is low quality or toxic teach the rules."""
+    """Verdict on every page's URL; pages whose document's label is low quality or toxic teach the rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    mined = url_filter.mine_rules(pages.join(labels, "page_id").select(url_filter.tokens(F.col("url")).alias("tokens"), "block"))
+    mined = url_filter.mine_rules(labelled_urls(pages, table(spark, sf_dir, "labels")))
     judged = url_filter.judge(pages, F.col("url"), URL_RULES, mined)
-    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

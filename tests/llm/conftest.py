@@ -53,6 +53,8 @@ def make_tables() -> dict[str, list[tuple]]:
         (204, "http://b.net", "ä" * 100, None, None, None), (205, "http://com/a?b#c", "ä" * 100, None, None, None), (None, "http://b.net/fr/", "ä" * 100, None, None, None),
         (206, "http://b.net/x\r\ny z/ü", "<p>" + "long " * 20000 + "</p>", None, None, None), (207, "x://u@H:1/p://q#", "<b>", None, None, None), (5, pages[5][1], pages[5][2], "h", "l", "d"),
     ]
+    blocked = [i for i in range(1, 60) if i % 4 == 0 or i % 5 == 0]
+    pages += [(300 + k, f"http://spam.b.org/win/{i}", f"<p>offer {i}</p>", "h", "l", "d") for k, i in enumerate([*blocked, 7, 7000, 7001])]
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(60)]
     vectors += [(100 + i, [x + rng.gauss(0, 0.15) for x in vectors[0][1]], 0) for i in range(40)]
     vectors += [(200 + i, list(vectors[1][1]), 1) for i in range(20)]

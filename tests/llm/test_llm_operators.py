@@ -22,13 +22,13 @@ def test_mined_rules_are_those_of_brute_force(spark):
     for _ in range(400):
         tokens = [t for t, p in (("host:a", 0.5), ("path:x", 0.4), ("path:y", 0.3), ("query:z", 0.1)) if rng.random() < p]
         rows.append((tokens, bool(("path:x" in tokens and "path:y" in tokens) or rng.random() < 0.1)))
-    got = {tuple(sorted(r["antecedent"])): r for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 0.02, 0.6).collect()}
+    got = {tuple(sorted(r["antecedent"])): r for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 0.02, 0.6, 1.2).collect()}
     want = {}
     names = ["host:a", "path:x", "path:y", "query:z"]
     for k in range(1, 5):
         for own in combinations(names, k):
             fits = [b for t, b in rows if set(own) <= set(t)]
-            if fits and sum(fits) / len(fits) >= 0.6 and sum(fits) >= 0.02 * len(rows):
+            if fits and sum(fits) / len(fits) >= max(0.6, 1.2 * sum(b for _, b in rows) / len(rows)) and sum(fits) >= 0.02 * len(rows):
                 want[tuple(sorted(own))] = sum(fits) / len(fits)
     assert set(got) == set(want) and ("path:x", "path:y") in got
     assert all(abs(got[k]["confidence"] - c) < 1e-9 for k, c in want.items())
@@ -36,17 +36,44 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert all(r["token"] == min(k, key=lambda t: (counts[t], t)) for k, r in got.items())
 
 
+def test_few_rows_teach_no_rule_and_long_urls_no_flood(spark):
+    make = lambda rows: spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    assert url_filter.mine_rules(make([(["host:a"], True)] * 4 + [(["host:b"], False)] * 40)).count() == 0
+    long = [f"path:{i}" for i in range(60)]
+    mined = url_filter.mine_rules(make([(long, True)] * 30 + [(["path:1"], False)] * 60 + [(None, True), (["host:z"], None), ([], True)]))
+    assert 0 < mined.count() < 2**url_filter.MAX_ITEMS
+    assert mined.filter("confidence < 0.6 or lift < 1.5").isEmpty()
+
+
 def test_url_verdicts_come_from_mined_rules(spark):
-    mined = spark.createDataFrame([(["path:spam", "query:q"], 0.9, 0.1, "path:spam")], "antecedent array<string>, confidence double, support double, token string")
-    pages = spark.createDataFrame([(1, "http://h/spam?q=1"), (2, "http://h/spam"), (3, "http://h.ok/spam?q=1"), (4, None), (1, "http://h/spam?q=1")], "id long, url string")
-    got = url_filter.judge(pages, F.col("url"), [("ok", "/", "allow")], mined).select("row.id", "rule", "verdict").collect()
-    assert sorted(map(tuple, got)) == [(1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, "ok/", "allow"), (4, None, "allow")]
+    mined = spark.createDataFrame([(["path:spam", "query:q"], 0.9, 3.0, 0.1, "path:spam")], "antecedent array<string>, confidence double, lift double, support double, token string")
+    pages = spark.createDataFrame([(1, "http://h/spam?q=1"), (2, "http://h/spam"), (3, "http://h.ok/spam?q=1"), (4, None), (1, "http://h/spam?q=1"), (5, "http://h/" + "spam/" * 20000 + "?q")], "id long, url string")
+    for rows in (100, 0):
+        got = url_filter.judge(pages, F.col("url"), [("ok", "/", "allow")], mined, rows).select("row.id", "rule", "verdict", "decided_by").collect()
+        want = [(1, None, "block", "mined"), (1, None, "block", "mined"), (2, None, "allow", "default"), (3, "ok/", "allow", "listed"), (4, None, "allow", "default"), (5, None, "block", "mined")]
+        assert sorted(map(tuple, got)) == want
 
 
-def test_windows_beyond_the_broadcast_bound_are_shuffled(spark, messy):
+def test_decontamination_beyond_its_bounds(spark, messy):
     docs, items = spark.read.parquet(f"{messy}/documents.parquet"), spark.read.parquet(f"{messy}/benchmark.parquet")
-    run = lambda bound: sorted(map(str, decontam.decontaminate(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), broadcast_windows=bound).drop("row").collect()))
-    assert run(0) == run(10**6)
+    tables = (docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+    run = lambda **bounds: sorted(map(str, decontam.decontaminate(*tables, **bounds).drop("row").collect()))
+    assert run() == run(scan_shingles=20, rows=0)
+    kept = lambda **bounds: sorted(str(r["doc_id"]) for r in decontam.keep_clean(*tables, **bounds).collect())
+    good = sorted(str(r["doc_id"]) for r in decontam.decontaminate(*tables).filter("not contaminated").select("row.doc_id").collect())
+    assert kept() == good and kept(rows=0) == good and decontam.keep_clean(*tables).columns == docs.columns
+
+
+def test_windows_that_share_shingles_but_not_words(spark):
+    w = [f"w{i}" for i in range(30)]
+    texts = [w, w[:13], w[:12], w[:6] + ["x"] + w[6:], w[5:10] * 4, w[:5] + w[8:13] + w[5:8], ["x", *w[3:16], "y"], w[17:], w[::-1]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[17:])), (3, "w5 w6"), (4, "w9")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontam.decontaminate(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text")).select("row.doc_id", "n_words", "n_hit").collect()}
+    windows = [w[i : i + 13] for i in range(18)] + [w[5:7], w[9:10]]
+    for i, t in enumerate(texts):
+        hit = {k for x in windows for a in range(len(t)) if t[a : a + len(x)] == x for k in range(a, a + len(x))}
+        assert got[i] == (len(t), len(hit)), i
 
 
 def brute_labels(prints, budget=4):

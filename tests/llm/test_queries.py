@@ -51,9 +51,35 @@ def test_url_filter(spark, messy, tables):
         return host, path, max(fits, key=len, default=None)
 
     got = rows_of(spark, "op1_url_filter", messy)
-    assert Counter((i, h, p, r) for i, h, p, r, _ in got) == Counter((p[0], *expected(p[1])) for p in tables["pages"])
-    assert all(v == rules[r][2] for *_, r, v in got if r)
-    assert {v for *_, r, v in got if not r} <= {"allow", "block"}
+    assert Counter((i, h, p, r) for i, h, p, r, *_ in got) == Counter((p[0], *expected(p[1])) for p in tables["pages"])
+    assert all(v == rules[r][2] and by == "listed" for *_, r, v, by in got if r)
+
+    def tokens(url):
+        host, path, _ = expected(url)
+        query = re.match(r"[^?#]*\?([^#]*)", url.split("://", 1)[1]) if url and "://" in url else None
+        names = [x.split("=", 1)[0] for x in query[1].split("&")] if query else []
+        return {f"host:{x}" for x in host.split(".") if x} | {f"path:{x}" for x in path.split("/") if x} | {f"query:{x}" for x in names if x}
+
+    verdict = defaultdict(list)
+    for i, quality, toxic, *_ in tables["labels"]:
+        verdict[i].append(True if quality == 0 or toxic == 1 else None if quality is None or toxic is None else False)
+    labelled = []
+    for _, url, *_ in tables["pages"]:
+        number = re.search(r"/(\d+)(?:\.[A-Za-z]+)?/?$", expected(url)[1])
+        known = [v for v in verdict.get(int(number[1]), []) if v is not None] if number else []
+        if known:
+            labelled.append((tokens(url), any(known)))
+    base, held, bad = sum(b for _, b in labelled) / len(labelled), Counter(), Counter()
+    for own, block in labelled:
+        for k in range(1, len(own) + 1):
+            for some in combinations(sorted(own), k):
+                held[some] += 1
+                bad[some] += block
+    mined = [set(k) for k, n in bad.items() if n >= max(5, 0.001 * len(labelled)) and n / held[k] >= max(0.6, 1.5 * base)]
+    assert mined
+    url_of = {p[0]: p[1] for p in tables["pages"]}
+    assert all((v, by) == (("block", "mined") if any(m <= tokens(url_of[i]) for m in mined) else ("allow", "default")) for i, _, _, r, v, by in got if not r)
+    assert {by for *_, by in got} == {"listed", "mined", "default"}
 
 
 def test_mixing(spark, messy, tables):
