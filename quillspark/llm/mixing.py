@@ -116,10 +116,11 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
         taken = placed.withColumn("once_more", first.cast("long"))
     else:  # the cut falls among equal rows: one of them stands for all, and is written out again
         one = placed.filter(split).groupBy(*by_source).agg(F.first(F.struct(*kept)).alias("one"), F.first("edge_taken").alias("edge_taken"), F.first("edge_n").alias("edge_n"))
-        dealt = one.select("one", "edge_taken", "edge_n", F.explode(F.sequence(F.lit(0), F.expr(f"(edge_n - 1) div {COPIES}"))).alias("part")).repartition("part")
+        one = materialise(one.select("one.*", "edge_taken", "edge_n"), "mix-edges")
+        parts = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(edge_n - 1) div {COPIES}")))).repartition("part")
         begin = F.col("part") * COPIES
-        again = dealt.select("one", "edge_taken", F.explode(F.sequence(begin, F.least(begin + COPIES, F.col("edge_n")) - 1)).alias("copy"))
-        again = again.select("one.*", (F.col("copy") < F.col("edge_taken")).cast("long").alias("once_more"))
+        again = parts.withColumn("copy", F.explode(F.sequence(begin, F.least(begin + COPIES, F.col("edge_n")) - 1)))
+        again = again.select(*kept, (F.col("copy") < F.col("edge_taken")).cast("long").alias("once_more"))
         taken = placed.filter(~split).select(*kept, first.cast("long").alias("once_more")).unionByName(again)
     return taken.withColumn("repeats", F.col("whole") + F.col("once_more")).select(
         "row", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")

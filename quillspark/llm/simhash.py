@@ -25,11 +25,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quillspark.llm.common import row_keys, whole_row
+from quillspark.llm.common import BROADCAST_ROWS, row_keys, sized_join, whole_row
 from quillspark.llm.components import connected_components
 from quillspark.llm.unions import join
 from quillspark.storage import materialise
@@ -196,17 +196,24 @@ def near_duplicates(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(named, "fp").select("row_id", "k1", "k2", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, row_id: Column, text: Column, budget: int = BUDGET) -> DataFrame:
+def keep_first(df: DataFrame, row_id: Column, text: Column, budget: int = BUDGET, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of `df` that stay: of each group the one with the smallest id.
 
     Null ids come last; of rows that are equal in id and text, one stays. An id
-    that stands in two groups may stay in both.
+    that stands in two groups may stay in both. Texts stay where they are while
+    the keys of the rows that go can be broadcast.
     """
+    keys = ["k1", "k2"]
     prints = fingerprints(df, row_id, text)
-    groups = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("row_id").isNull().alias("no"), "row_id", "k1", "k2")).alias("first")), "distinct-fingerprints")
+    groups = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("row_id").isNull().alias("no"), "row_id", *keys)).alias("first")), "distinct-fingerprints")
     roots = link_fingerprints(groups.select("fp"), budget)
     first = groups.join(roots, groups["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = materialise(first.select("first.k1", "first.k2"), "kept")
-    rows = df.select(whole_row(df), *row_keys(row_id, text)).join(kept, ["k1", "k2"], "left_semi")
-    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
-    return rows.withColumn("n", once).filter("n = 1").select("row.*")
+    kept = first.select("first.k1", "first.k2", F.lit(True).alias("stays")).distinct()
+    counted = prints.groupBy(*keys).agg(F.count("*").alias("n")).join(kept, keys, "left").filter("stays is null or n > 1")
+    marked = materialise(counted, "rows-that-go")
+    rest = sized_join(df.select(whole_row(df), *row_keys(row_id, text)), marked, keys, "left", [F.col("k1")], rows)
+    out = rest.filter("n is null").select("row")
+    if not marked.filter("stays").isEmpty():  # repeated rows, of which one stays
+        once = rest.filter("stays").groupBy(*keys).agg(F.first("row").alias("row"))
+        out = out.unionByName(once.select("row"))
+    return out.select("row.*")

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, decontam, embed_dedup, langid, simhash, toxicity, url_filter, warc
+from quillspark.llm import common, components, decontam, embed_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity, url_filter, warc
 from quillspark.llm.unions import join
 from quillspark.storage import materialise
 
@@ -123,6 +123,7 @@ def test_one_document_of_each_group_stays(spark, messy, tables):
     got = simhash.keep_first(docs, F.col("doc_id"), F.col("text"))
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect()]
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in simhash.keep_first(docs, F.col("doc_id"), F.col("text"), rows=0).collect())
     assert ids.count(1) == 1 and not {200 + k for k in range(40)} & set(ids) and ids.count(10) == 1 and None not in ids
     prints = np.unique(np.array([simhash.fingerprint(d[1]) for d in tables["documents"]], np.uint64))
     assert len(ids) == len(set(brute_labels(prints)))  # ids 11 stand in two groups
@@ -266,3 +267,45 @@ def test_long_texts_are_scored_whole(monkeypatch):
 def test_materialised_tables_are_read_back(spark):
     df = spark.createDataFrame([(1, None), (2, ["x"])], "a long, b array<string>")
     assert sorted(map(str, materialise(df, "t").collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("ids", ["one", "null", "equal"])
+def test_hot_ids_are_mixed_and_sharded_exactly(spark, monkeypatch, ids):
+    """Rows of one id, of none, or equal in all columns, a hundred thousand of them."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 1000)
+    monkeypatch.setattr(mixing, "COPIES", 700)
+    n = 100_000
+    row_id = {"one": F.lit(7), "null": F.lit(None).cast("long"), "equal": F.lit(7)}[ids]
+    text = F.lit("x") if ids == "equal" else F.col("id").cast("string")
+    df = spark.range(n).select(row_id.alias("id"), text.alias("text"), F.lit("a").alias("source"), F.lit(3).alias("words"))
+    df = materialise(df.unionByName(spark.range(5000).select((F.col("id") + 100).alias("id"), F.lit("y").alias("text"), F.when(F.col("id") % 2 == 0, "b").alias("source"), F.lit(40).alias("words"))), "hot")
+    mixed = mixing.mix(df, F.col("id"), F.col("source"), F.col("words"), F.md5("text"))
+    got = mixed.groupBy("row.source").agg(F.count("*").alias("n"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("repeats").alias("most")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"a": n, "b": 2500, None: 2500}
+    assert all(abs(r["taken"] - r["target"]) <= 40 and r["most"] <= 2 for r in got)
+    placed = sharding.shard(df, F.col("id"), F.col("source"), F.md5("text"), shards=7)
+    counts = placed.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(counts) == 7 and sum(r["n"] for r in counts) == n + 5000 and all(r["n"] == r["slots"] == r["last"] + 1 and abs(r["n"] - (n + 5000) / 7) < 1 for r in counts)
+    pieces = df.select(F.substring(common.seeded_key(1, F.col("id"), F.md5("text")), 1, 3)).distinct().count()
+    assert pieces > 3000 or ids == "equal"
+
+
+def test_one_id_brings_one_text_to_the_sample(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")).unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.lit("other words").alias("text")))
+    labels = docs.select(F.col("doc_id").alias("row_id")).distinct().withColumn("label", (F.col("row_id") % 2).cast("int"))
+    seen, real = {}, toxicity.materialise
+    monkeypatch.setattr(toxicity, "materialise", lambda df, name: seen.setdefault(name, real(df, name)))
+    toxicity.fit(docs, F.col("doc_id"), F.col("text"), labels, steps=1)
+    assert seen["toxic-texts"].count() == 39
+
+
+def test_lines_are_cut_by_their_share_of_a_host(spark):
+    pages = [("a", ["x", "y", "u1"]), ("a", ["x", "u2"]), ("b", ["x", "x"]), ("c", ["m", "n"]), ("c", ["m", "o"]), ("c", ["o"]), (None, None), ("d", []), *[("hot", ["top", f"p{i}"]) for i in range(50)]]
+    df = spark.createDataFrame([(i, h, ls) for i, (h, ls) in enumerate(pages)], "id long, h string, l array<string>")
+    for rows in (10**6, 0):
+        got = {r["id"]: (r["lines"], r["kept"]) for r in line_dedup.drop_boilerplate(df, F.col("h"), F.col("l"), rows=rows).select("row.id", "lines", "kept").collect()}
+        for i, (host, lines) in enumerate(pages):
+            site = [set(ls or []) for h, ls in pages if (h or "") == (host or "")]
+            held = lambda x, site=site: sum(x in s for s in site)
+            want = None if lines is None else [x for x in lines if not (held(x) > 1 and held(x) > 0.5 * len(site))]
+            assert got[i] == (lines, want), i

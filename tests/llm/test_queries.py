@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm.queries import QUERIES
 
@@ -148,10 +149,27 @@ def test_sharding(spark, messy, tables):
     counts = [len(s) for s in by.values()]
     assert max(counts) - min(counts) <= 1
 
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    groups = defaultdict(list)
+    for i, text, _, source, *_ in tables["documents"]:
+        raw = (text or "").encode()
+        size, crc = len(raw) + 8, zlib.crc32(raw)
+        groups[source is None, source or ""].append((md5(f"29:{'' if i is None else i}:{crc}:{size}"), i, size, crc))
+    ranked = []
+    for (no, source), rows in groups.items():
+        unit = int(md5(f"29:{str(no).lower()}:{source}")[:8], 16) / 2**32
+        ranked += [((k + unit) / len(rows), no, source, k, row[1:]) for k, row in enumerate(sorted(rows, key=lambda r: r[0]))]
+    ranked.sort(key=lambda r: r[:4])
+    n, slots = len(ranked), Counter()
+    want = []
+    for place, (*_, row) in enumerate(ranked):
+        shard = place * 24 // n
+        want.append((*row, "rows", shard, slots[shard], None))
+        slots[shard] += 1
+    assert Counter(got) == Counter((i, size, crc, *rest) for (i, size, crc, *rest) in want)
 
-def test_sharding_keeps_the_mixture(spark):
-    from pyspark.sql import functions as F
 
+def test_sharding_keeps_the_mixture(spark):
     from quillspark.llm import sharding
 
     df = spark.range(3000).withColumn("source", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 == 1, F.lit(None)).otherwise("b"))
@@ -234,3 +252,120 @@ def test_language_id(spark, messy, tables):
     assert np.mean(right) > 0.95 and len(right) > 15
     assert {p for i, _, p, _ in got if i in (403, 404, 405, 406)} == {"und"}
     assert all(0 <= s <= 1 for *_, s in got) and len(got) == len(tables["documents"])
+
+
+def test_language_id_is_bayes_rule_over_counted_ngrams(spark, messy, tables):
+    """The query against counts and sums made one n-gram at a time."""
+
+    def buckets(text):
+        points = [ord(c) if c.isalpha() or ord(c) >= 0x250 else 0 for c in (text or "").lower()]
+        for n in (1, 2, 3):
+            for at in range(len(points) - n + 1):
+                if any(own := points[at : at + n]):
+                    h = 2166136261 + n & 0xFFFFFFFF
+                    for p in own:
+                        h = ((h ^ p) * 16777619) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    yield ((h * 2654435761) & 0xFFFFFFFF) >> 17
+
+    out = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    rows, count = Counter(), defaultdict(Counter)
+    for i, text, lang, *_ in tables["documents"]:
+        if lang is not None and not out(i):
+            rows[lang] += 1
+            count[lang].update(buckets(text))
+    langs = sorted(rows)
+    total = {k: sum(count[k].values()) + 0.1 * 2**15 for k in langs}
+    want = {}
+    for i, text, *_ in tables["documents"]:
+        if text is None or not any(c.isalpha() for c in text):
+            want[i, text] = ("und", 0.0)
+            continue
+        own = Counter(buckets(text))
+        logs = np.array([np.log(rows[k] / sum(rows.values())) + sum(n * np.log((count[k][b] + 0.1) / total[k]) for b, n in own.items()) for k in langs])
+        want[i, text] = (langs[int(logs.argmax())], 1 / np.exp(logs - logs.max()).sum())
+    expected = Counter((i, out(i), *want[i, t][:1]) for i, t, *_ in tables["documents"])
+    got = rows_of(spark, "op10_language_id", messy)
+    assert Counter(r[:3] for r in got) == expected
+    scores = {i: s for (i, _), (_, s) in want.items()}
+    several = {i for i, n in Counter(d[0] for d in tables["documents"]).items() if n > 1}
+    assert all(abs(s - scores[i]) < 1e-3 for i, _, _, s in got if i not in several)
+
+
+def test_toxicity_scores_are_the_highest_window_of_a_plain_forward_pass(spark, messy, tables, monkeypatch):
+    """The query against a network run word by word, with the weights that it fitted."""
+    from quillspark.llm import queries, toxicity
+
+    fitted = []
+    real = toxicity.fit
+    monkeypatch.setattr(queries.toxicity, "fit", lambda *a, **k: fitted.append(real(*a, steps=20)) or fitted[-1])
+    got = rows_of(spark, "op7_toxicity", messy)
+    net = {k: np.asarray(v, np.float64) for k, v in fitted[0].items()}
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        marked, grams = f"<{word}>", []
+        for n in toxicity.ORDERS:
+            for at in range(len(marked) - n + 1):
+                h = 2166136261 + n & 0xFFFFFFFF
+                for c in marked[at : at + n]:
+                    h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+                    h ^= h >> 15
+                grams.append(h % toxicity.CHAR_BUCKETS)
+        return np.concatenate((net["words"][zlib.crc32(word.encode()) % toxicity.WORD_BUCKETS], net["chars"][grams].mean(axis=0)))
+
+    def window_score(words):
+        sides = []
+        for d, order in (("f", words), ("b", words[::-1])):
+            h, states, k = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+            for word in order:
+                p, hu = vector(word) @ net[f"w{d}"] + net[f"b{d}"], h @ net[f"u{d}"]
+                z, r = squash(p[:k] + hu[:k]), squash(p[k : 2 * k] + hu[k : 2 * k])
+                c = np.tanh(p[2 * k :] + r * hu[2 * k :])
+                h = z * h + (1 - z) * c
+                states.append(h)
+            sides.append(states if d == "f" else states[::-1])
+        hs = np.array([np.concatenate(x) for x in zip(*sides, strict=True)])
+        weigh = np.exp(np.tanh(hs @ net["att"] + net["att_b"]) @ net["att_v"])
+        return float(squash((weigh / weigh.sum()) @ hs @ net["out"] + net["out_b"][0]))
+
+    def score(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        last = max(len(words) - toxicity.WINDOW, 0)
+        starts = range(0, last + toxicity.STRIDE, toxicity.STRIDE)
+        seen = [s for s in starts if s == 0 or s - toxicity.STRIDE + toxicity.WINDOW < len(words)]
+        return max((window_score(words[s : s + toxicity.WINDOW]) for s in seen), default=0.0) if words else 0.0
+
+    by = defaultdict(list)
+    for i, _, s, p in got:
+        assert p == int(s >= 0.5)
+        by[i].append(s)
+    some = [d for k, d in enumerate(tables["documents"]) if k % 7 == 0 or d[0] in (403, 404, 405, 406, 411)]
+    for i, text, *_ in some:
+        assert any(abs(score(text) - s) < 2e-4 for s in by[i]), i
+
+
+def test_held_out_labels_teach_nothing(spark, messy, tables, tmp_path):
+    """Labels and languages of the held-out fold can be anything; results stay."""
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    for name in tables:
+        df = spark.read.parquet(f"{messy}/{name}.parquet")
+        if name == "labels":
+            df = df.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+        if name == "documents":
+            df = df.withColumn("lang", F.when(out, "xx").otherwise(F.col("lang")))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in ("op7_toxicity", "op10_language_id"):
+        assert sorted(map(str, rows_of(spark, query, messy))) == sorted(map(str, rows_of(spark, query, str(tmp_path))))
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_extra_columns_of_clashing_names_change_nothing(spark, messy, tables, tmp_path, name):
+    clash = ["row", "host", "hash", "key", "piece", "words", "n", "size", "label", "fp", "h", "target", "verdict", "url_", "k1", "score", "lines", "common"]
+    for table in tables:
+        df = spark.read.parquet(f"{messy}/{table}.parquet")
+        for c in clash:
+            if c not in df.columns:
+                df = df.withColumn(c, F.create_map(F.lit(c), F.lit(1)) if c == "hash" else F.lit(c))
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    assert sorted(map(str, rows_of(spark, name, messy))) == sorted(map(str, rows_of(spark, name, str(tmp_path))))
