@@ -38,19 +38,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     items = table(spark, sf_dir, "benchmark")
-    judged = decontam.decontaminate(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
-    return judged.filter("not contaminated").select("row.*")
+    return decontam.keep_clean(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: never, once or twice."""
-    mixed = mixing.mix(docs, F.col("doc_id"), F.col("source"), word_count(F.col("text")), F.xxhash64("text"))
+    mixed = mixing.mix(docs, F.col("doc_id"), F.col("source"), word_count(F.col("text")), F.md5("text"))
     return mixing.apply_mix(mixed)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
-    dealt = sharding.shard(docs, F.col("doc_id"), F.col("source"), F.xxhash64("text"))
+    dealt = sharding.shard(docs, F.col("doc_id"), F.col("source"), F.md5("text"))
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     return dealt.select(*kept, "shard", "slot")
 
