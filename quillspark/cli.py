@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from quillspark import storage
+from quillspark.functions import html
 from quillspark.functions import text as T
-from quillspark.operators import chunking, export, pack, sinks
+from quillspark.operators import chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript
 from quillspark.session import get_session
 from quillspark.sources import files, manifest
+from quillspark.streaming import incremental
 
 
 def build_pack(args: argparse.Namespace) -> int:
@@ -51,6 +57,110 @@ def export_pairs(args: argparse.Namespace) -> int:
     return 0
 
 
+def service(name: str):
+    """A function given as package.module:function."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def discover(args: argparse.Namespace) -> int:
+    """New sources of link indexes or sitemaps, in the buckets of a rules file, added to a manifest."""
+    spark = get_session("discover")
+    with open(args.rules, encoding="utf-8") as file:
+        rules = json.load(file)  # hosts, home, buckets, excluded
+    texts = spark.read.text(args.index, wholetext=True)
+    index = F.explode(discovery.parse_link_index(F.col("value")))
+    found = texts.select(index.alias("l")).select("l.*") if not args.sitemap else texts.select(F.explode(discovery.parse_sitemap(F.col("value"))).alias("url")).select(F.col("url").alias("title"), "url", F.lit("").alias("description"))
+    links = found.withColumn("url", discovery.normalize_url(F.col("url"), rules["hosts"], rules["home"])).filter("url is not null")
+    links = links.withColumns({"group": F.lit(0), "ord": F.monotonically_increasing_id()})
+    every = discovery.candidates(links, rules["buckets"], rules.get("excluded", []), args.folder, "sitemap" if args.sitemap else "index", "About ")
+    own = manifest.read_manifest(spark, args.manifest)
+    known = own.select(F.explode("sources").alias("s")).select("s.original_url", "s.source_id")
+    fresh = selection.first(discovery.new_candidates(discovery.merge_candidates(every), known), args.limit, "group", "ord")
+    rows = storage.materialise(discovery.apply_candidates(fresh, args.first_priority), "new-sources")
+    rows.select("source_id", "original_url", "priority").show(1000, truncate=False)
+    if args.out:
+        manifest.write_manifest(manifest.append_sources(own, rows), args.out)
+    return 0
+
+
+def enrich(args: argparse.Namespace) -> int:
+    """Notes for the tasks that have none, by a model given as package.module:function."""
+    spark = get_session("enrich")
+    tasks = spark.read.json(args.tasks)
+    before = lambda name: incremental._ids(spark, f"{args.out}/{name}")
+    try:
+        enrichment.run(tasks, before("notes"), before("rejects"), service(args.model), args.out, args.sample, args.most_rejects).show(truncate=False)
+    except enrichment.TooManyRejects as error:
+        print(error)
+        return 1
+    return 0
+
+
+def evaluate(args: argparse.Namespace) -> int:
+    """Metrics of a model, given as package.module:function, over references; answers are kept for the next run."""
+    spark = get_session("evaluate")
+    references = selection.first(spark.read.json(args.references), args.limit, "task_id")
+    path = f"{args.out}/outputs"
+    try:
+        cached = storage.materialise(spark.read.parquet(path), "cached")
+    except AnalysisException:
+        cached = None
+    rows = evaluation.evaluate(references, service(args.model), cached, args.name)
+    rows = storage.materialise(rows, "evaluated")
+    new = rows.select("task_id", F.lit(args.name).alias("model"), "raw_output")
+    if cached is not None:
+        new = new.join(evaluation.known_outputs(cached, args.name), "task_id", "left_anti")
+    new.write.mode("append").parquet(path)
+    if args.judge:
+        rows = evaluation.judge(rows, service(args.judge))
+    row = evaluation.metrics(rows)
+    evaluation.write_metrics(row, f"{args.out}/metrics-{args.name}")
+    evaluation.rounded(row).show(truncate=False)
+    return 0
+
+
+def compare(args: argparse.Namespace) -> int:
+    """Metrics of several runs side by side."""
+    spark = get_session("compare")
+    runs = [spark.read.json(path).withColumn("model", F.lit(name)) for name, path in (run.split("=", 1) for run in args.runs)]
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run, allowMissingColumns=True)
+    keys = [c for c in every.columns if c != "model"]
+    evaluation.compare(every, [run.split("=", 1)[0] for run in args.runs], keys).show(100, truncate=False)
+    return 0
+
+
+def fetch(args: argparse.Namespace) -> int:
+    """Fetched pages (source_id, title, url, html) as Markdown files, thin ones and those that are there left out."""
+    spark = get_session("fetch")
+    pages = selection.only(spark.read.parquet(args.pages), "source_id", args.only)
+    try:
+        there = spark.read.parquet(args.out).select(F.col("source_id").alias("path"))
+    except AnalysisException:
+        there = spark.createDataFrame([], "path string")
+    todo = selection.missing_files(pages, "source_id", there, args.force)
+    made = todo.filter(~html.is_thin_page(F.col("html"))).select("source_id", html.page_document(F.col("title"), F.col("url"), F.col("html")).alias("markdown"))
+    made = storage.materialise(made, "fetched")
+    made.write.mode("overwrite" if args.force else "append").parquet(args.out)
+    print(f"{made.count()} pages written")
+    return 0
+
+
+def transcripts(args: argparse.Namespace) -> int:
+    """Caption files of a folder as texts of merged paragraphs."""
+    spark = get_session("transcripts")
+    paths = [p for p in files.list_files(spark, args.folder) if p.lower().endswith(".vtt")]
+    if not paths:
+        print(f"no captions in {args.folder}")
+        return 1
+    docs = files.read_documents(spark, args.folder, paths)
+    merged = transcript.merge_transcript(F.col("sections"), args.most_words, args.most_seconds, args.most_gap)
+    docs.select("path", sinks.transcript_text(merged).alias("text")).write.mode("overwrite").parquet(args.out)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillspark", description=__doc__)
     commands = parser.add_subparsers(required=True)
@@ -74,6 +184,47 @@ def main(argv: list[str] | None = None) -> int:
     own.add_argument("--system-prompt", default="")
     own.add_argument("--valid-fraction", type=float, default=0.05)
     own.set_defaults(run=export_pairs)
+    own = commands.add_parser("discover", help=discover.__doc__)
+    own.add_argument("index")
+    own.add_argument("manifest")
+    own.add_argument("rules")
+    own.add_argument("--out")
+    own.add_argument("--sitemap", action="store_true")
+    own.add_argument("--folder", default="docs")
+    own.add_argument("--limit", type=int)
+    own.add_argument("--first-priority", type=int, default=100)
+    own.set_defaults(run=discover)
+    own = commands.add_parser("enrich", help=enrich.__doc__)
+    own.add_argument("tasks")
+    own.add_argument("out")
+    own.add_argument("model")
+    own.add_argument("--sample", type=int)
+    own.add_argument("--most-rejects", type=float, default=0.05)
+    own.set_defaults(run=enrich)
+    own = commands.add_parser("evaluate", help=evaluate.__doc__)
+    own.add_argument("references")
+    own.add_argument("out")
+    own.add_argument("model")
+    own.add_argument("--name", default="model")
+    own.add_argument("--judge")
+    own.add_argument("--limit", type=int)
+    own.set_defaults(run=evaluate)
+    own = commands.add_parser("compare", help=compare.__doc__)
+    own.add_argument("runs", nargs="+", metavar="NAME=PATH")
+    own.set_defaults(run=compare)
+    own = commands.add_parser("fetch", help=fetch.__doc__)
+    own.add_argument("pages")
+    own.add_argument("out")
+    own.add_argument("--only", action="append")
+    own.add_argument("--force", action="store_true")
+    own.set_defaults(run=fetch)
+    own = commands.add_parser("transcripts", help=transcripts.__doc__)
+    own.add_argument("folder")
+    own.add_argument("out")
+    own.add_argument("--most-words", type=int, default=120)
+    own.add_argument("--most-seconds", type=float, default=90.0)
+    own.add_argument("--most-gap", type=float, default=8.0)
+    own.set_defaults(run=transcripts)
     args = parser.parse_args(argv)
     return args.run(args)
 

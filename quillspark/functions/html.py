@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import clean_markdown, word_count
+
 HIDDEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
@@ -29,3 +31,34 @@ def html_lines(html: Column) -> Column:
     """Lines that aren't blank, without ASCII white space around them; none for null."""
     lines = F.transform(F.split(html_text(F.coalesce(html, F.lit(""))), "\n"), lambda x: F.btrim(x, F.lit("\t\n\x0b\x0c\r ")))
     return F.filter(lines, lambda x: x != "")
+
+
+#: What becomes Markdown, in this order: pattern, and replacement with $1 and $2 for its groups.
+MARKDOWN = (
+    (r"(?is)<head\b[^>]*>.*?</head\s*>", "\n"),
+    *((rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n") for level in range(1, 7)),
+    (r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", "\n```\n$1\n```\n"),
+    (r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`"),
+    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
+    (r'(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)"),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)</p\s*>", "\n\n"),
+)
+
+
+def markdown(html: Column) -> Column:
+    """Markdown of a page: headings, list items, links, emphasis and code; all else as `html_text` gives it."""
+    own = F.regexp_replace(html, HIDDEN, "\n")
+    for pattern, made in MARKDOWN:
+        own = F.regexp_replace(own, pattern, made)
+    return clean_markdown(html_text(own))
+
+
+def page_document(title: Column, url: Column, html: Column) -> Column:
+    """A fetched page as a Markdown file: its title and source, then its content."""
+    return F.concat(F.lit("# "), title, F.lit("\n\nSource: "), url, F.lit("\n\n"), markdown(html), F.lit("\n"))
+
+
+def is_thin_page(html: Column, least_words: int = 80) -> Column:
+    """Too few words to keep."""
+    return word_count(markdown(html)) < least_words

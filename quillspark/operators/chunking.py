@@ -14,6 +14,7 @@ over arrays of sections, and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -33,40 +34,58 @@ SINGLE, MERGED, SPLIT = "single_section", "merged_small_sections", "split_oversi
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in words."""
+    """Sizes in words, or in the unit that `size` counts in a text (tokens, say).
+
+    Long sentences are cut after words, so that no part holds more than `most`
+    unless a single word does; overlap is always in words.
+    """
 
     target: int = 450
     most: int = 700
     least: int = 120
     overlap: int = 60
     keep_boundaries: bool = False
+    size: Callable[[str], int] | None = None
 
     def __post_init__(self) -> None:
         if self.target <= 0 or self.most < self.target or self.least < 0 or self.overlap < 0:
             raise ValueError("sizes must satisfy 0 < target <= most, least >= 0 and overlap >= 0")
 
 
-def _strings(text: str, most: int):
-    """Pieces of a long section, with the number of words of each; None marks what must stand alone."""
+def words_in(text: str) -> int:
+    return len(text.split())
+
+
+def _runs(words: list[str], most: int, size: Callable[[str], int]) -> Iterator[tuple[int, str]]:
+    """Runs of words of `most` units at most."""
+    at = 0
+    while at < len(words):
+        end = min(at + most, len(words))
+        while end > at + 1 and size(" ".join(words[at:end])) > most:
+            end = at + max(1, (end - at) * 3 // 4)
+        run = " ".join(words[at:end])
+        yield size(run), run
+        at = end
+
+
+def _strings(text: str, most: int, size: Callable[[str], int]):
+    """Pieces of a long section, with the units of each, and whether it must stand alone."""
     for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n+", text))):
-        whole = len(paragraph.split())
-        for piece in [paragraph] if whole <= most else re.split(r"(?<=[.!?])\s+", paragraph):
-            words = piece.split()
-            if len(words) <= most:
-                if piece.strip():
-                    yield len(words), piece.strip(), False
-            else:
-                for at in range(0, len(words), most):
-                    yield len(words[at : at + most]), " ".join(words[at : at + most]), True
-
-
-def parts_of(text: str, most: int) -> list[tuple[int, str]]:
-    """(words, text) of the parts of a section; one part if it isn't long."""
-    size = len(text.split())
-    if size <= most:
-        return [(size, text)]
+        for piece in [paragraph] if size(paragraph) <= most else re.split(r"(?<=[.!?])\s+", paragraph):
+            n = size(piece)
+            if n > most:
+                yield from ((*run, True) for run in _runs(piece.split(), most, size))
+            elif piece.strip():
+                yield n, piece.strip(), False
+
+
+def parts_of(text: str, most: int, size: Callable[[str], int] = words_in) -> list[tuple[int, str]]:
+    """(units, text) of the parts of a section; one part if it isn't long."""
+    whole = size(text)
+    if whole <= most:
+        return [(whole, text)]
     parts, held, words = [], [], 0
-    for n, piece, alone in _strings(text, most):
+    for n, piece, alone in _strings(text, most, size):
         if words and (alone or words + n > most):
             parts.append((words, "\n\n".join(held)))
             held, words = [], 0
@@ -138,7 +157,7 @@ def chunk_sections(sections: list[dict], config: ChunkConfig) -> list[dict]:
     """Chunks of one document."""
     numbers, texts, whose = [], [], []
     for section in sections:
-        cut = parts_of(section["text"] or "", config.most)
+        cut = parts_of(section["text"] or "", config.most, config.size or words_in)
         for k, (words, text) in enumerate(cut):
             if words:
                 numbers.append((words, section["index"], k == 0, len(cut) > 1))

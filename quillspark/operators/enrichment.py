@@ -75,7 +75,7 @@ def guard(rejected: int, total: int, most: float = 0.05) -> None:
         raise TooManyRejects(f"{rejected} of {total} tasks are rejected")
 
 
-def run(tasks: DataFrame, done: DataFrame, rejected: DataFrame, model: Model, path: str, sample: int | None = None) -> DataFrame:
+def run(tasks: DataFrame, done: DataFrame, rejected: DataFrame, model: Model, path: str, sample: int | None = None, most_rejects: float = 0.05) -> DataFrame:
     """Enrich what is pending, append notes and rejects below `path`, return the summary.
 
     `sample` takes the first tasks by `ord`, if tasks have that column, else by id.
@@ -88,5 +88,7 @@ def run(tasks: DataFrame, done: DataFrame, rejected: DataFrame, model: Model, pa
     keep = [c for c in ("task_id", "split", "source_id") if c in tasks.columns]
     rounds.notes.select(*keep, F.col("note").alias("study_note"), "answer.input_tokens", "answer.output_tokens", "retried").write.mode("append").parquet(f"{path}/notes")
     rounds.rejects.select(*keep, "errors").write.mode("append").parquet(f"{path}/rejects")
-    guard(old + rounds.rejects.count(), total)
-    return summary(rounds.attempts, total, before)
+    guard(old + rounds.rejects.count(), total, most_rejects)  # beyond the limit no summary is written
+    row = summary(rounds.attempts, total, before)
+    row.coalesce(1).write.mode("append").json(f"{path}/summary")
+    return row

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import groundedness_form, is_grounded, strip
-from quillspark.operators.validation import RUBRIC, note_errors, parsed
+from quillspark.operators.validation import RUBRIC, note_errors, parsed, verdict
 
 #: The parts of a note that name things.
 CLAIMS = "important_features_or_tools array<struct<name: string, important_parameters: array<struct<parameter: string>>>>, key_concepts array<struct<concept: string>>"
@@ -33,17 +33,25 @@ def with_groundedness(rows: DataFrame, names: Column, source: Column) -> DataFra
     return out.withColumns({"claimed": claimed, "score": score}).drop("_names", "_form")
 
 
-def evaluate(references: DataFrame, generate: Callable[[Column], Column], cached: DataFrame | None = None) -> DataFrame:
+def known_outputs(cached: DataFrame, model: str | None = None) -> DataFrame:
+    """task_id, raw_output: one cached answer for each task, of the model alone if the cache names models."""
+    own = cached.filter(F.col("model").eqNullSafe(F.lit(model))) if "model" in cached.columns else cached
+    return own.groupBy("task_id").agg(F.min("raw_output").alias("raw_output"))
+
+
+def evaluate(references: DataFrame, generate: Callable[[Column], Column], cached: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """References with raw_output, json_valid, schema_errors, schema_valid and groundedness.
 
     `generate` gives the model's answer to a source. Answers in `cached`
-    (task_id, raw_output) are used again; only the others are generated.
+    (task_id, raw_output, and model if it holds several) are used again; only
+    the others are generated.
     """
     if cached is None:
         rows = references.withColumn("raw_output", generate(F.col("source_content")))
     else:
-        hits = references.join(cached.select("task_id", "raw_output"), "task_id")
-        misses = references.join(cached.select("task_id"), "task_id", "left_anti").withColumn("raw_output", generate(F.col("source_content")))
+        known = known_outputs(cached, model)
+        hits = references.join(known, "task_id")
+        misses = references.join(known, "task_id", "left_anti").withColumn("raw_output", generate(F.col("source_content")))
         rows = hits.unionByName(misses)
     rows = rows.withColumn("_parsed", parsed(F.col("raw_output"))).withColumn("schema_errors", note_errors(F.col("raw_output")))
     rows = rows.withColumns({"json_valid": F.col("_parsed.json").isNotNull(), "schema_valid": F.size("schema_errors") == 0})
@@ -51,6 +59,42 @@ def evaluate(references: DataFrame, generate: Callable[[Column], Column], cached
     return scored.withColumns({c: F.when(F.col("json_valid"), F.col(c)) for c in ("score", "claimed", "ungrounded")}).drop("_parsed")
 
 
+def judge(rows: DataFrame, ask: Callable[[Column], Column], cached: DataFrame | None = None, judge_name: str | None = None) -> DataFrame:
+    """Evaluated rows with the rubric's scores and judge_error.
+
+    `ask` gives a judge's answer (struct text, error) to a prompt of source and
+    output; only outputs that are valid JSON are judged. An answer that failed,
+    is no object or lacks a score of 1 to 5 is an error of its row, without
+    scores. Verdicts in `cached` (task_id, judge_name, raw_output, answer) are
+    used again for the same judge and output.
+    """
+    prompt = F.concat_ws("\n\n", F.lit("Rate how well the notes keep to the source."), F.col("source_content"), F.col("raw_output"))
+    asked = rows.filter("json_valid")
+    if cached is None:
+        answered = asked.withColumn("answer", ask(prompt))
+    else:
+        keys = ["task_id", "raw_output"]
+        known = cached.filter(F.col("judge_name").eqNullSafe(F.lit(judge_name))).groupBy(*keys).agg(F.min("answer").alias("answer"))
+        answered = asked.join(known, keys).unionByName(asked.join(known, keys, "left_anti").withColumn("answer", ask(prompt)))
+    read = answered.withColumn("_read", parsed(F.col("answer.text")))
+    given = read.withColumn("_verdict", verdict(F.try_parse_json("_read.json")))
+    error = F.coalesce(F.col("answer.error"), F.col("_read.error"), F.col("_verdict.error"))
+    scored = given.withColumn("judge_error", error).withColumns({k: F.when(F.col("judge_error").isNull(), F.col(f"_verdict.{k}")) for k in RUBRIC})
+    none = rows.filter("not json_valid").withColumns({"answer": F.lit(None).cast(given.schema["answer"].dataType), "judge_error": F.lit(None).cast("string")} | {k: F.lit(None).cast("int") for k in RUBRIC})
+    return scored.drop("_read", "_verdict").unionByName(none)
+
+
+def rounded(row: DataFrame) -> DataFrame:
+    """Metrics as they are reported: rates and groundedness to four digits, the judge's means to three."""
+    digits = lambda c: 3 if c.startswith("judge_") else 4
+    return row.select(*[F.round(c, digits(c)).alias(c) if kind == "double" else F.col(c) for c, kind in row.dtypes])
+
+
+def write_metrics(row: DataFrame, path: str) -> None:
+    """Write the rounded metrics as one line of JSON."""
+    rounded(row).coalesce(1).write.mode("overwrite").json(path)
+
+
 def metrics(rows: DataFrame, *by: str) -> DataFrame:
     """Rates and means over evaluated rows (json_valid, schema_valid, score, and the rubric's scores if judged)."""
     rate = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))

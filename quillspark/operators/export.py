@@ -53,7 +53,7 @@ def write_export(routed: DataFrame, path: str, system_prompt: str) -> DataFrame:
     if not row["train"]:
         raise ExportError("there are no training pairs; has the enrichment been run?")
     for frame, name in ((training_pairs(routed, system_prompt), "pairs"), (references(routed).withColumn("bucket", F.col("split")), "references")):
-        ordered = frame.repartition("bucket").sortWithinPartitions("bucket", "task_id")
+        ordered = frame.repartitionByRange("bucket", "task_id").sortWithinPartitions("bucket", "task_id")  # a bucket of any size, in order over its files
         ordered.write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     return summary

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def write_pack(manifest: DataFrame, documents: DataFrame, tasks: DataFrame, index: DataFrame, path: str) -> list[str]:
     """The four artifacts of a source pack below `path`; tasks keep the order of priority and id."""
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest_normalized")
-    documents.withColumn("source", F.col("source_id")).repartition("source").write.mode("overwrite").partitionBy("source").json(f"{path}/documents")
+    spread = ["source", *[c for c in ("document_id", "local_path", "path") if c in documents.columns][:1]]
+    documents.withColumn("source", F.col("source_id")).repartitionByRange(*spread).write.mode("overwrite").partitionBy("source").json(f"{path}/documents")
     order = [c for c in ("priority", "source_id", "chunk_index") if c in tasks.columns]
     tasks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}/study_note_tasks")
     index.coalesce(1).write.mode("overwrite").json(f"{path}/source_pack")

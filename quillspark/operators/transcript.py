@@ -10,6 +10,7 @@ depends on the text so far, so it runs as an Arrow UDF over arrays of sections.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,11 +21,22 @@ from quillspark.operators.chunking import SECTION
 EMPTY = {f.split(": ")[0]: None for f in SECTION[len("struct<") : -1].split(", ")}
 
 
+EDGES = re.compile(r"^\W+|\W+$")
+
+
+@lru_cache(maxsize=1 << 16)
+def bare(word: str) -> str:
+    """A word as it is compared at a seam."""
+    own = word.lower()
+    return own if own.isalnum() else EDGES.sub("", own)
+
+
 def seam(before: list[str], after: list[str], most: int = 30) -> int:
     """How many words are repeated where `after` follows `before`."""
-    bare = lambda words: [re.sub(r"^\W+|\W+$", "", w.lower()) for w in words]
-    a, b = bare(before[-most:]), bare(after[:most])
-    return next((n for n in range(min(len(a), len(b)), 0, -1) if a[-n:] == b[:n]), 0)
+    a, b = [bare(w) for w in before[-most:]], [bare(w) for w in after[:most]]
+    if not a or a[-1] not in b:
+        return 0
+    return next((n for n in range(min(len(a), len(b)), 0, -1) if b[n - 1] == a[-1] and a[-n:] == b[:n]), 0)
 
 
 def appended(before: str, after: str) -> str:

@@ -6,15 +6,19 @@ expressions that both engines evaluate alike.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import html as H
 from quillspark.functions import names as N
 from quillspark.functions import text as T
-from quillspark.operators import batches, chunking, discovery, enrichment, evaluation, export, pack, transcript, validation
+from quillspark import storage
+from quillspark.operators import batches, chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript, validation
 from quillspark.plans import duck as D
 from quillspark.session import table
+from quillspark.sources import documents as DOC
+from quillspark.sources import files, pdf, speech
 from quillspark.sources import manifest as M
 from quillspark.sources import sections as S
 
@@ -84,9 +88,9 @@ def thin_extraction(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.is_thin_extraction(some, F.col("text")).alias("retry"))
 
 
-@query(f"SELECT doc_id, {D.slug('left(text, 90)', 60, 'index')} AS slug60, {D.slug('left(text, 90)', 40, 'video')} AS slug40 FROM documents")
+@query(f"SELECT doc_id, {D.slug('text', 60, 'index')} AS slug60, {D.slug('text', 40, 'video')} AS slug40 FROM documents")
 def slug(spark, sf_dir):
-    own = F.expr("left(text, 90)")
+    own = F.col("text")
     return documents(spark, sf_dir).select("doc_id", T.slug(own, "index", 60).alias("slug60"), T.slug(own, "video", 40).alias("slug40"))
 
 
@@ -105,23 +109,26 @@ def infer_type(spark, sf_dir):
     return rows.select("page_id", T.resource_type(F.regexp_extract(F.lower("url"), r"(\.[a-z0-9]+)(?:[?#].*)?$", 1)).alias("resource_type"))
 
 
-@query("""
-SELECT doc_id, CASE lower(string_split(tag, '-')[1]) WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE 'eng' END AS code
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-XX' ELSE 'q' || lang END AS tag FROM documents)""")
+TAGS = ["en", "DE-at", "fr", "es-MX", "it", "pt-BR", "nl", "ru", "zh-Hans", "JA", "ko", "xx", ""]
+CODES = ["eng", "deu", "fra", "spa", "ita", "por", "nld", "rus", "chi_sim", "jpn", "kor", "eng", "eng"]
+
+
+@query(f"SELECT doc_id, {CODES}[(doc_id % {len(CODES)})::INT + 1] AS code FROM documents")
 def lang_code(spark, sf_dir):
-    tag = F.expr("CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-XX' ELSE 'q' || lang END")
-    return documents(spark, sf_dir, "doc_id", "lang").select("doc_id", T.recognition_language(tag).alias("code"))
+    tag = F.get(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % len(TAGS)).cast("int"))
+    return documents(spark, sf_dir, "doc_id").select("doc_id", T.recognition_language(tag).alias("code"))
 
 
 @query(f"""
 WITH p AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-q AS (SELECT doc_id, array_to_string(w[1:40], ' ') AS a, array_to_string(w[greatest(1, 41 - (doc_id % 45)::INT):80], ' ') AS b FROM p)
+q AS (SELECT doc_id, array_to_string(w[1:len(w) // 2], ' ') AS a, array_to_string(w[greatest(1, len(w) // 2 + 1 - (doc_id % 45)::INT):], ' ') AS b FROM p)
 SELECT doc_id, {D.overlap('a', 'b')}::INT AS repeated FROM q""")
 def overlap_words(spark, sf_dir):
-    w = F.split("text", " ")
-    start = F.greatest(F.lit(1), F.lit(41) - (F.col("doc_id") % 45).cast("int"))
-    rest = F.slice(w, start, F.greatest(F.size(w) - start + 1, F.lit(0)))  # all of it; the SQL stops at word 80, beyond the 30 words that are compared
-    rows = documents(spark, sf_dir).select("doc_id", F.array_join(F.slice(w, 1, 40), " ").alias("a"), F.array_join(rest, " ").alias("b"))
+    """Both halves of each text; the second begins with up to 44 words of the first."""
+    w, half = F.split("text", " "), F.floor(F.size("w") / 2).cast("int")
+    start = F.greatest(F.lit(1), half + 1 - (F.col("doc_id") % 45).cast("int"))
+    rows = documents(spark, sf_dir).withColumn("w", w)
+    rows = rows.select("doc_id", F.array_join(F.slice("w", F.lit(1), half), " ").alias("a"), F.array_join(F.slice("w", start, F.greatest(F.size("w") - start + 1, F.lit(0))), " ").alias("b"))
     return rows.select("doc_id", T.word_overlap(F.col("a"), F.col("b")).alias("repeated"))
 
 
@@ -438,54 +445,38 @@ def stamp(second: F.Column, ms: int) -> F.Column:
     return F.format_string(f"%02d:%02d:%02d.{ms:03d}", F.floor(second / 3600).cast("int"), F.floor(second % 3600 / 60).cast("int"), (second % 60).cast("int"))
 
 
-def turns_sql(text: str) -> str:
-    return f"t AS (SELECT DISTINCT conv_id, turn, replace(replace({text}, chr(10), ' '), '-->', '') AS text FROM conversations WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1)"
+TURNS = "t AS (SELECT DISTINCT conv_id, turn, replace(replace(text, chr(10), ' '), '-->', '') AS text FROM conversations WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1)"
 
 
-def turns(spark, sf_dir, text: str) -> DataFrame:
+def turns(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    return rows.select("conv_id", "turn", F.replace(F.replace(F.expr(text), F.lit("\n"), F.lit(" ")), F.lit("-->"), F.lit("")).alias("text"))
+    return rows.select("conv_id", "turn", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("-->"), F.lit("")).alias("text"))
 
 
-def vtt_sql(text: str) -> str:
-    """Cues of turns that say `text`."""
-    return f"""WITH {turns_sql(text)}, c AS (SELECT conv_id, turn, {D.squeeze("regexp_replace(regexp_replace(text || ' <c>and</c> more', '<(?:[0-9]{1,2}:)?[0-9]{2}:[0-9]{2}[.,][0-9]{3}>', '', 'g'), '<[^>]+>', '', 'g')")} AS text FROM t)
+VTT = f"""WITH {TURNS}, c AS (SELECT conv_id, turn, {D.squeeze("regexp_replace(regexp_replace(text || ' <c>and</c> more', '<(?:[0-9]{1,2}:)?[0-9]{2}:[0-9]{2}[.,][0-9]{3}>', '', 'g'), '<[^>]+>', '', 'g')")} AS text FROM t)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS cue, round(turn * 70 + 0.25, 2)::DOUBLE AS start_s, round(turn * 70 + 9.5, 2)::DOUBLE AS end_s, sha256(text) AS text_sha256 FROM c WHERE text <> ''"""
 
 
-def parsed_cues(spark, sf_dir, text: str) -> DataFrame:
+@query(VTT)
+def vtt_parse(spark, sf_dir):
     second = F.col("turn") * 70
     block = F.concat(F.col("turn").cast("string"), F.lit("\n"), stamp(second, 250), F.lit(" --> "), stamp(second + 9, 500), F.lit(" align:start\n"), "text", F.lit(" <c>and</c>\nmore"))
-    files = turns(spark, sf_dir, text).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made up\n\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))["b"], "\n\n")).alias("vtt"))
+    files = turns(spark, sf_dir).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made up\n\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))["b"], "\n\n")).alias("vtt"))
     rows = S.exploded(files, S.vtt_sections(F.col("vtt")), "conv_id")
     return rows.select("conv_id", F.col("index").alias("cue"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(vtt_sql("left(text, 200)"))
-def vtt_parse(spark, sf_dir):
-    """The first 200 characters of each turn, as in its SQL; `vtt_parse_whole` has all."""
-    return parsed_cues(spark, sf_dir, "left(text, 200)")
-
-
-@query(vtt_sql("text"))
-def vtt_parse_whole(spark, sf_dir):
-    return parsed_cues(spark, sf_dir, "text")
-
-
-def timed(spark, sf_dir, most: int | None = None) -> DataFrame:
-    """Segments of eight words of each document, nine seconds each, with a pause after every seventh; `most` segments at most."""
+def timed(spark, sf_dir) -> DataFrame:
+    """Segments of eight words of each document, nine seconds each, with a pause after every seventh."""
     w = F.filter(F.split("text", " "), lambda x: ~x.rlike(r"[^a-zA-Z]") & (x != ""))
     last = F.floor(F.size("w") / 8).cast("int")
-    last = last if most is None else F.least(F.lit(most - 1), last)
     parts = F.transform(F.sequence(F.lit(0), last), lambda k: S.section(index=k, text=F.array_join(F.slice("w", k * 8 + 1, 8), " "), start_time_s=k * 9.0 + F.floor(k / 7) * 20, end_time_s=k * 9.0 + F.floor(k / 7) * 20 + 9))
     return documents(spark, sf_dir).withColumn("w", w).select("doc_id", parts.alias("sections"))
 
 
-def merge_sql(last: str) -> str:
-    """The fold in SQL; `last` is the number of a document's last segment, over its words `w`."""
-    return f"""
+MERGED = f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '[^a-zA-Z]')) AS w FROM documents),
-raw AS (SELECT doc_id, k, array_to_string(w[k * 8 + 1:k * 8 + 8], ' ') AS text, k * 9 + k // 7 * 20 AS s FROM (SELECT doc_id, w, unnest(range(0, {last} + 1)) AS k FROM w)),
+raw AS (SELECT doc_id, k, array_to_string(w[k * 8 + 1:k * 8 + 8], ' ') AS text, k * 9 + k // 7 * 20 AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) // 8 + 1)) AS k FROM w)),
 seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, text, s FROM raw WHERE text <> ''),
 fold AS (
   SELECT doc_id, i, 1 AS part, text, s AS begins, s + 9 AS ends FROM seg WHERE i = 1
@@ -498,25 +489,14 @@ fold AS (
 SELECT doc_id, (part - 1)::INT AS part, arg_max(begins, i)::DOUBLE AS start_s, max(ends)::DOUBLE AS end_s, sha256(arg_max(text, i)) AS text_sha256 FROM fold GROUP BY doc_id, part"""
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    own = rows.withColumn("sections", transcript.merge_transcript(F.col("sections")))
+@query(MERGED)
+def transcript_merge(spark, sf_dir):
+    own = timed(spark, sf_dir).withColumn("sections", transcript.merge_transcript(F.col("sections")))
     # explode() would filter by its size first, which merges twice and splits the text anew for each segment
     flat = own.select("doc_id", F.explode_outer("sections").alias("section")).filter("section is not null").select("doc_id", "section.*")
     return flat.select("doc_id", F.col("index").alias("part"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(merge_sql("least(39, len(w) // 8)"))
-def transcript_merge(spark, sf_dir):
-    """The first 40 segments of each document, as in its SQL; `transcript_merge_whole` has all."""
-    return merged(timed(spark, sf_dir, 40))
-
-
-@query(merge_sql("len(w) // 8"))
-def transcript_merge_whole(spark, sf_dir):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # whole documents in a batch
-    return merged(timed(spark, sf_dir))
-
-
 @query("""
 WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 21600 THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM e""")
@@ -562,7 +542,7 @@ def answers(spark, sf_dir) -> DataFrame:
     return rows.withColumn("json", note).select("doc_id", F.col("text").alias("source"), answer.alias("answer"), "json")
 
 
-@query(f"WITH {ANSWERS} SELECT doc_id, sha256(trim(regexp_replace(answer, '</?tool_call\\b[^>]*>', '', 'gi'))) AS answer_sha256 FROM answers")
+@query(f"WITH {ANSWERS} SELECT doc_id, sha256(trim(regexp_replace(answer, '<\\s*/?\\s*tool_call(?:[\\s/][^>]*)?>', '', 'gi'))) AS answer_sha256 FROM answers")
 def sanitize(spark, sf_dir):
     return answers(spark, sf_dir).select("doc_id", F.sha2(T.sanitize_response(F.col("answer")), 256).alias("answer_sha256"))
 
@@ -618,6 +598,7 @@ def evaluated(spark, sf_dir) -> DataFrame:
     """Documents evaluated with the made-up answers, half of them from the cache."""
     rows = answers(spark, sf_dir).select(F.col("doc_id").alias("task_id"), F.col("source").alias("source_content"), "answer")
     cached = rows.filter("task_id % 2 = 0").select("task_id", F.col("answer").alias("raw_output"))
+    cached = cached.unionByName(cached)  # a cache may hold a task twice
     return evaluation.evaluate(rows, lambda _: F.col("answer"), cached)
 
 
@@ -736,38 +717,22 @@ def caption_choice(spark, sf_dir):
     return discovery.choose_captions(rows)
 
 
-def playlist_sql(kept: str) -> str:
-    """Playlists and the entries that are `kept`."""
-    return f"""
+@query("""
 WITH p AS (SELECT DISTINCT source FROM documents),
 e AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS pos, doc_id FROM documents),
-c AS (SELECT 'pl_' || source || '_' || printf('%02d', pos) || '_talk_' || doc_id AS source_id, 50 + pos AS priority, true AS enabled FROM e WHERE {kept})
-SELECT source_id, priority::INT AS priority, enabled FROM c UNION ALL SELECT 'video_' || source || '_playlist', 50, false FROM p"""
-
-
-def expanded_playlists(spark, sf_dir, most: int | None = None) -> DataFrame:
-    """Sources are playlists and their documents the entries, `most` of each source at most."""
+c AS (SELECT 'pl_' || source || '_' || printf('%02d', pos) || '_talk_' || doc_id AS source_id, 50 + pos AS priority, true AS enabled FROM e WHERE doc_id % 7 <> 0)
+SELECT source_id, priority::INT AS priority, enabled FROM c UNION ALL SELECT 'video_' || source || '_playlist', 50, false FROM p""")
+def playlist_expand(spark, sf_dir):
+    """Sources are playlists and their documents the entries."""
     docs = documents(spark, sf_dir, "doc_id", "source").withColumn("playlist_id", F.concat(F.lit("video_"), "source", F.lit("_playlist")))
     pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     url = F.concat(F.lit("https://v.example.com/"), F.col("doc_id").cast("string"))
     entries = docs.select("playlist_id", pos.alias("pos"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Talk #"), F.col("doc_id").cast("string")).alias("title"), url.alias("url"))
-    entries = entries if most is None else entries.filter(F.col("pos") <= most)
     playlists = docs.select(F.col("playlist_id").alias("source_id"), F.lit(50).alias("priority"), F.lit("train").alias("split"), F.array(F.lit("x")).alias("topic_bucket_ids"), F.lit(True).alias("enabled")).distinct()
     known = docs.filter("doc_id % 7 = 0").select(url.alias("original_url"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_id"))
     return discovery.expand_playlists(playlists, entries, known).select("source_id", "priority", "enabled")
 
 
-@query(playlist_sql("pos <= 5 AND doc_id % 7 <> 0"))
-def playlist_expand(spark, sf_dir):
-    """The first five documents of each source, as in its SQL; `playlist_expand_whole` has all."""
-    return expanded_playlists(spark, sf_dir, 5)
-
-
-@query(playlist_sql("doc_id % 7 <> 0"))
-def playlist_expand_whole(spark, sf_dir):
-    return expanded_playlists(spark, sf_dir)
-
-
 @query("SELECT page_id, url AS link, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'not a link' ELSE 'about it' END AS description, url || '.xml' AS loc FROM pages")
 def link_index(spark, sf_dir):
     number = F.col("page_id").cast("string")
@@ -831,3 +796,297 @@ def provenance(spark, sf_dir):
     rows = pack.with_provenance(docs.select("doc_id", "source_id", metadata.alias("format_metadata")), sources)
     v = F.from_json("format_metadata", "pages long, source_pack struct<source_id: string, split: string>")
     return rows.select("doc_id", F.substring_index(v["source_pack"]["source_id"], "/", 1).alias("source_id"), v["source_pack"]["split"].alias("split"), v["pages"].alias("pages"))
+
+
+# Files and documents
+
+
+SUFFIXES = [".txt", ".MD", ".vtt", ".xyz", "", ".mp3", ".text"]
+KINDS = ["text", "markdown", "captions", None, None, None, "text"]
+
+
+def made_paths(spark, sf_dir) -> DataFrame:
+    suffix = F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % len(SUFFIXES)).cast("int"))
+    return documents(spark, sf_dir, "doc_id", "source").select("doc_id", F.concat("source", F.lit("/a.b/file"), F.col("doc_id").cast("string"), suffix).alias("path"))
+
+
+@query(f"SELECT doc_id, lower({SUFFIXES}[(doc_id % {len(SUFFIXES)})::INT + 1]) AS suffix, [{', '.join('NULL' if k is None else repr(k) for k in KINDS)}][(doc_id % {len(KINDS)})::INT + 1] AS reader FROM documents")
+def route_files(spark, sf_dir):
+    return made_paths(spark, sf_dir).select("doc_id", files.suffix_of(F.col("path")).alias("suffix"), files.reader_of(F.col("path")).alias("reader"))
+
+
+@query(f"SELECT count(*) FILTER (k IS NOT NULL)::BIGINT AS supported, count(*) FILTER (k IS NULL)::BIGINT AS unsupported FROM (SELECT [{', '.join('NULL' if k is None else repr(k) for k in KINDS)}][(doc_id % {len(KINDS)})::INT + 1] AS k FROM documents)")
+def unsupported_files(spark, sf_dir):
+    good = files.reader_of(F.col("path")).isNotNull()
+    return made_paths(spark, sf_dir).agg(F.count_if(good).alias("supported"), F.count_if(~good).alias("unsupported"))
+
+
+@query(r"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') END) AS text_sha256 FROM documents")
+def decode_text(spark, sf_dir):
+    """Texts as bytes of UTF-8 or Latin-1 with the ends of lines of other systems."""
+    ragged_ends = F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "\r\n").otherwise("\r"))
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode(ragged_ends, "UTF-8")).otherwise(F.encode(F.regexp_replace(ragged_ends, r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(files.decoded(content), 256).alias("text_sha256"))
+
+
+def escaped(text: F.Column) -> F.Column:
+    return F.regexp_replace(text, r"([\\()])", r"\\$1")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM (SELECT doc_id, regexp_replace(text, '[^\n -~\x{{A0}}-\x{{FF}}]', ' ', 'g') AS text FROM documents)),
+s AS (SELECT doc_id, page, {D.strip('t')} AS t FROM l),
+c AS (SELECT *, length(t) AS n, len(regexp_extract_all(t, '[^{D.SPACE}]')) AS solid, len(regexp_extract_all(t, '[\pL\pN]')) AS alnum, len(regexp_extract_all(t, '\pC')) AS hidden FROM s)
+SELECT doc_id, page::INT AS page_number, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1)::INT AS section_index, sha256(t) AS text_sha256
+FROM c WHERE n > 0 AND NOT ((n - hidden) * 10 < n * 9 OR alnum * 2 < solid)""")
+def pdf_pages(spark, sf_dir):
+    """Documents as PDF files, a page for each line, read again."""
+    clean = F.regexp_replace("text", r"[^\n -~\u00A0-\u00FF]", " ")
+    page = lambda x, i: F.concat(
+        (i * 2 + 10).cast("string"), F.lit(" 0 obj\n<</Type /Page /Contents "), (i * 2 + 11).cast("string"), F.lit(" 0 R>>\nendobj\n"),
+        (i * 2 + 11).cast("string"), F.lit(" 0 obj\n<<>>\nstream\nBT /F1 12 Tf 10 700 Td ("), escaped(x), F.lit(") Tj ET\nendstream\nendobj\n"),
+    )
+    kids = F.array_join(F.transform(F.split("clean", "\n"), lambda x, i: F.concat((i * 2 + 10).cast("string"), F.lit(" 0 R"))), " ")
+    body = F.array_join(F.transform(F.split("clean", "\n"), page), "")
+    whole = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<</Type /Catalog /Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type /Pages /Kids ["), kids, F.lit("]>>\nendobj\n"), body)
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+                try:
+                    rows += [(doc_id, s["page_number"], s["index"], s["text"]) for s in pdf.sections(bytes(content))]
+                except pdf.NothingToRead:
+                    continue
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "page_number", "section_index", "text"])
+
+    made = documents(spark, sf_dir).withColumn("clean", clean).select("doc_id", F.encode(whole, "ISO-8859-1").alias("content"))
+    rows = made.mapInPandas(read, "doc_id long, page_number int, section_index int, text string")
+    return rows.select("doc_id", "page_number", "section_index", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, {D.squeeze('text')} AS t FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL))
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) - 1)::INT AS section_index, (turn * 3.5)::DOUBLE AS start_s, sha256(t) AS text_sha256 FROM t WHERE t <> ''""")
+def speech_sections(spark, sf_dir):
+    """Turns as segments that a recognizer heard."""
+    turns_ = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text").distinct()
+    heard = turns_.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", T.squeeze(F.col("text")).alias("text")))).alias("heard"))
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for conv_id, own in zip(batch["conv_id"], batch["heard"], strict=True):
+                found = speech.sections({"text": s["text"], "start": s["turn"] * 3.5 + 0.001, "end": None} for s in own)
+                rows += [(conv_id, s["index"], s["start_time_s"], s["text"]) for s in found]
+            if rows:
+                yield pd.DataFrame(rows, columns=["conv_id", "section_index", "start_s", "text"])
+
+    rows = heard.mapInPandas(read, "conv_id long, section_index int, start_s double, text string")
+    return rows.select("conv_id", "section_index", "start_s", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split({D.newlines(RAGGED)}, chr(10)), lambda x: {D.squeeze('x')}), lambda x: x <> ''), chr(10))) AS text_sha256 FROM documents")
+def slide_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.clean_slide_text(ragged()), 256).alias("text_sha256"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+h AS (SELECT doc_id, len(s) AS n, list_filter(list_transform(s, lambda x, i: CASE WHEN i % 4 = 2 THEN {D.strip("regexp_replace(x, '#+[" + D.SPACE + "]*$', '')")} ELSE '' END), lambda x: x <> '') AS heads, {D.strip('s[1]')} AS first FROM l)
+SELECT doc_id, len(heads)::INT AS headings, ((n + 1) // 4)::INT AS fences, CASE WHEN len(heads) > 0 THEN heads[1] WHEN {D.word_count('first')} BETWEEN 1 AND 15 THEN first ELSE 'none' END AS title FROM h""")
+def markdown_counts(spark, sf_dir):
+    """Every second line of four is a heading, every fourth stands in a fence."""
+    line = lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("### "), x)).when(i % 4 == 2, F.concat(F.lit("```\n"), F.lit("code"), F.lit("\n ~~~"))).otherwise(x)
+    own = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    rows = documents(spark, sf_dir).select("doc_id", own.alias("t"))
+    # The title's fallback is what text gives: its first line that isn't blank, if that is short.
+    return rows.select("doc_id", T.heading_count(F.col("t")).alias("headings"), T.code_block_count(F.col("t")).alias("fences"), T.markdown_title(F.col("t"), F.lit("none")).alias("title"))
+
+
+def document_json() -> F.Column:
+    k = F.col("doc_id")
+    some = F.struct(F.when(k % 8 == 4, -1).otherwise(0).alias("index"), F.when(k % 8 != 5, F.col("text")).alias("text"))
+    fields = [F.lit("x").alias(c) for c in ("source_type", "modality", "content_type", "ingestor")]
+    return F.to_json(F.struct(
+        F.when(k % 8 == 1, F.lit(" ")).otherwise(k.cast("string")).alias("document_id"), F.col("source").alias("source_path"), *fields, F.when(k % 8 != 3, "m").alias("method"),
+        F.array(some).alias("sections"), F.when(k % 8 == 2, "0.9").otherwise("1.0").alias("schema_version"), F.when(k % 8 == 6, "q").alias("zzz"),
+    ))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'document_id must be a non-empty string' WHEN 2 THEN 'schema_version is not supported' WHEN 3 THEN 'missing key: method'
+  WHEN 4 THEN 'sections[0]: index must be an integer of at least 0' WHEN 5 THEN 'sections[0]: text must be a string' WHEN 6 THEN 'unknown key: zzz' ELSE '' END AS errors FROM documents""")
+def document_errors(spark, sf_dir):
+    rows = documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", document_json().alias("j"))
+    return rows.select("doc_id", F.array_join(DOC.document_errors(F.col("j")), "; ").alias("errors"))
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, 1 AS n_sections, sha256(text) AS text_sha256 FROM documents WHERE doc_id % 8 IN (0, 7)")
+def document_files(spark, sf_dir):
+    """Good documents written as JSON lines and loaded again."""
+    rows = documents(spark, sf_dir, "doc_id", "text", "source").filter("doc_id % 8 in (0, 7)").select(F.from_json(document_json(), DOC.SCHEMA).alias("d")).select("d.*")
+    path = storage.new_path(spark, "document-json")
+    DOC.save_documents(rows, path, folders=False)
+    return DOC.load_documents(spark, path, lines=True).select("document_id", F.size("sections").alias("n_sections"), F.sha2(F.get("sections", F.lit(0))["text"], 256).alias("text_sha256"))
+
+
+def small_manifests(spark, sf_dir) -> DataFrame:
+    """A manifest for each document, of three sources, one of them off."""
+    k = F.col("doc_id")
+    source = lambda i, priority, split, on: F.concat(F.lit(f'{{"source_id":"s{i}","title":"T","resource_type":"article","local_path":"d'), k.cast("string"), F.lit(f'_{i}.md","topic_bucket_ids":["x"]'), priority, F.lit(split), F.lit(on), F.lit("}"))
+    first = F.when(k % 2 == 0, ',"priority":5').otherwise(',"priority":200')
+    body = F.concat_ws(",", source(0, first, ',"split":"eval"', ""), source(1, F.lit(""), ',"split":" "', ',"enabled":true'), source(2, F.lit(',"priority":1'), "", ',"enabled":false'))
+    json = F.concat(F.lit('{"manifest_version":"1.0","pack_id":"'), k.cast("string"), F.lit('","title":"T","domain":"d","topic_buckets":[{"id":"x","label":"X"}],"sources":['), body, F.lit("]}"))
+    return documents(spark, sf_dir, "doc_id").select(F.from_json(json, M.SCHEMA).alias("m")).select("m.*")
+
+
+ENABLED = "e AS (SELECT doc_id::VARCHAR AS pack_id, 's0' AS source_id, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 200 END AS priority, 'eval' AS split, doc_id FROM documents UNION ALL SELECT doc_id::VARCHAR, 's1', 100, 'unassigned', doc_id FROM documents)"
+
+
+@query(f"WITH {ENABLED} SELECT pack_id, source_id, priority, split FROM e")
+def enabled_sources(spark, sf_dir):
+    return M.enabled_sources(small_manifests(spark, sf_dir)).select("pack_id", "source_id", "priority", "split")
+
+
+@query(f"WITH {ENABLED} SELECT pack_id, source_id, doc_id % 3 = 0 AS skipped, CASE WHEN doc_id % 3 = 0 THEN 'missing file: d' || doc_id || '_' || substr(source_id, 2) || '.md' END AS skip_reason FROM e")
+def missing_sources(spark, sf_dir):
+    listing = documents(spark, sf_dir, "doc_id").filter("doc_id % 3 > 0").select(F.explode(F.expr("transform(sequence(0, 2), i -> 'd' || doc_id || '_' || i || '.md')")).alias("path"))
+    return M.with_existing(M.enabled_sources(small_manifests(spark, sf_dir)), listing).select("pack_id", "source_id", "skipped", "skip_reason")
+
+
+@query("SELECT 's0' AS source_id, 0 AS place UNION ALL SELECT 's1', 1 UNION ALL SELECT 's2', 2 UNION ALL SELECT source, (row_number() OVER (ORDER BY source) + 2)::INT FROM (SELECT DISTINCT source FROM documents)")
+def appended_sources(spark, sf_dir):
+    rows = documents(spark, sf_dir, "source").distinct().select(F.col("source").alias("source_id"), F.lit("T").alias("title"), F.lit(7).alias("priority"))
+    one = small_manifests(spark, sf_dir).filter("pack_id = '1'")
+    path = storage.new_path(spark, "manifest")
+    M.write_manifest(M.append_sources(one, rows), path)
+    return spark.read.schema(M.SCHEMA).json(path).select(F.posexplode("sources").alias("place", "s")).select("s.source_id", "place")
+
+
+# Sinks, read back
+
+
+@query("SELECT source AS playlist_id, sha256('# ' || source || chr(10) || chr(10) || string_agg(pos || '. [' || lang || '](u' || doc_id || ')' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' (' || (n_chars % 50 + 1) || ' min)' END, chr(10) ORDER BY pos)) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) GROUP BY source")
+def playlist_text(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    seconds = F.when(F.col("doc_id") % 3 != 0, (F.col("n_chars") % 50 + 1) * 60)
+    rows = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars").select(F.col("source").alias("playlist_id"), pos.alias("pos"), F.col("lang").alias("title"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), seconds.alias("duration"))
+    return sinks.playlist_index(rows, F.col("playlist_id")).select("playlist_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) AS text_sha256 FROM documents")
+def transcript_paragraphs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(sinks.transcript_text(S.line_sections(F.col("text"))), 256).alias("text_sha256"))
+
+
+@query(f"SELECT 'FROM base' || chr(10) || 'PARAMETER temperature 0.2' || chr(10) || 'SYSTEM \"\"\"' || {sql_text(PROMPT)} || '\"\"\"' || chr(10) AS text")
+def model_template(spark, sf_dir):
+    return spark.createDataFrame([(sinks.modelfile("base", PROMPT, {"temperature": "0.2"}),)], "text string")
+
+
+@query(f"{ROUTED} SELECT task_id, bucket, sha256(source_content) AS content_sha256 FROM routed WHERE bucket IN ('train', 'valid') UNION ALL SELECT task_id, bucket, sha256(source_content) FROM routed WHERE bucket IN ('eval', 'holdout')")
+def exported_files(spark, sf_dir):
+    """Pairs and references written by bucket and read again."""
+    path = storage.new_path(spark, "export")
+    export.write_export(routed(spark, sf_dir), path, PROMPT)
+    pairs = spark.read.schema("task_id string, messages array<struct<role: string, content: string>>, bucket string").json(f"{path}/pairs")
+    refs = spark.read.schema("task_id string, source_content string, bucket string").json(f"{path}/references")
+    content = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    return pairs.select("task_id", "bucket", F.sha2(content, 256).alias("content_sha256")).unionByName(refs.select("task_id", "bucket", F.sha2("source_content", 256).alias("content_sha256")))
+
+
+@query(f"{PACKED} SELECT 'tasks' AS name, true AS there, count(*)::BIGINT AS lines FROM tasks UNION ALL SELECT 'documents', true, count(*)::BIGINT FROM documents UNION ALL SELECT 'index', true, count(DISTINCT source)::BIGINT FROM documents UNION ALL SELECT 'gone', false, 0")
+def pack_files(spark, sf_dir):
+    """The artifacts of a pack, written, with a report of what is there."""
+    path = storage.new_path(spark, "pack")
+    docs = documents(spark, sf_dir, "doc_id", "source").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("document_id"))
+    written = sinks.write_pack(small_manifests(spark, sf_dir).filter("pack_id = '1'"), docs, packed(spark, sf_dir), indexed(spark, sf_dir), path)
+    names = dict(zip(("manifest", "documents", "tasks", "index"), written, strict=True)) | {"gone": f"{path}/gone"}
+    report = sinks.artifact_report(spark, {k: v for k, v in names.items() if k != "manifest"})
+    return report.select("name", F.col("exists").alias("there"), "lines")
+
+
+@query(f"{TRIED} SELECT doc_id::VARCHAR AS task_id FROM tried WHERE first <> 'ok' AND NOT mended")
+def reject_log(spark, sf_dir):
+    """Rejects as they are appended to the log, and never asked again."""
+    path = storage.new_path(spark, "enriched")
+    found = attempts(spark, sf_dir)
+    found.rejects.select("task_id", "errors").write.mode("append").parquet(f"{path}/rejects")
+    return spark.read.parquet(f"{path}/rejects").select("task_id")
+
+
+# Provenance, selection, judges
+
+
+@query(f"""WITH RECURSIVE {D.chunks(LINES, target=60, most=90, least=20, extra=0)}
+SELECT doc_id, (final - 1)::INT AS chunk_index, array_to_string(list_sort(list_distinct(list_transform(secs, lambda x: 'h' || x % 3))), ',') AS headings,
+       array_to_string(list_sort(list_distinct(list_transform(secs, lambda x: x // 4))), ',') AS pages, list_min(secs)::DOUBLE AS start_s, (list_max(secs) + 1)::DOUBLE AS end_s FROM final""")
+def chunk_provenance(spark, sf_dir):
+    own = F.transform(F.split("text", "\n"), lambda x, i: S.section(index=i, text=x, heading=F.concat(F.lit("h"), (i % 3).cast("string")), page_number=F.floor(i / 4), start_time_s=i, end_time_s=i + 1))
+    rows = chunk_rows(spark, sf_dir, own, chunking.ChunkConfig(60, 90, 20, 0))
+    pages = F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ",")
+    return rows.select("doc_id", "chunk_index", F.array_join("source_headings", ",").alias("headings"), pages.alias("pages"), F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') ORDER BY n_chars DESC, doc_id LIMIT 25)")
+def first_rows(spark, sf_dir):
+    """The first of the named sources' rows; the limit is the operator."""
+    rows = selection.only(documents(spark, sf_dir, "doc_id", "source", "n_chars"), "source", ["src1", "src2"])
+    return selection.first(rows, 25, F.desc("n_chars"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 1")
+def files_to_fetch(spark, sf_dir):
+    """Rows without a whole file: of four, one is there, one is empty, one is partial."""
+    rows = documents(spark, sf_dir, "doc_id").withColumn("file", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    listing = rows.filter("doc_id % 4 > 0").select(F.concat("file", F.when(F.col("doc_id") % 4 == 3, ".part").otherwise("")).alias("path"), F.when(F.col("doc_id") % 4 == 2, 0).otherwise(9).alias("length"))
+    every = selection.selected_or_all(rows, "doc_id", rows.filter("false"))
+    return selection.missing_files(every, "file", listing).select("doc_id")
+
+
+@query("SELECT false AS same, true AS same_twice, (SELECT count(*) FROM documents)::BIGINT AS in_flight")
+def batch_resume(spark, sf_dir):
+    """A batch is resumed if it was submitted for the same ids."""
+    tasks = documents(spark, sf_dir, "doc_id").select(F.col("doc_id").cast("string").alias("task_id"), F.lit("p").alias("prompt"))
+    path = storage.new_path(spark, "batch")
+    answer = lambda _: batches.requests(tasks).select("request_key", F.lit("succeeded").alias("kind"), F.lit("t").alias("text"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    batches.run_batch(tasks, lambda _: "b1", answer, path)
+    state = batches.in_flight(spark, path)
+    return state.agg(F.lit(batches.same_tasks(state, tasks.filter("task_id <> '1'"))).alias("same"), F.lit(batches.same_tasks(state, tasks.unionByName(tasks))).alias("same_twice"), F.count("*").alias("in_flight"))
+
+
+@query(f"""{EVALUATED} SELECT task_id, CASE WHEN json_valid AND task_id % 4 = 0 THEN 4 END::INT AS groundedness,
+CASE WHEN json_valid THEN CASE task_id % 4 WHEN 0 THEN false ELSE true END END AS failed FROM rows""")
+def judged_rows(spark, sf_dir):
+    """A judge that times out, rates out of range or says nothing for three of four."""
+    k = F.col("task_id") % 4
+    said = F.when(k == 0, '{"groundedness":4,"completeness":3,"schema_quality":5}').when(k == 1, '{"groundedness":9,"completeness":3,"schema_quality":5}').when(k == 2, "none")
+    rows = evaluation.judge(evaluated(spark, sf_dir), lambda _: F.struct(said.alias("text"), F.when(k == 3, "timeout").alias("error")))
+    return rows.select("task_id", "groundedness", F.when(F.col("json_valid"), F.col("judge_error").isNotNull()).alias("failed"))
+
+
+@query(f"{EVALUATED} SELECT count(*)::BIGINT AS tasks, round(avg(json_valid::INT), 4) AS json_valid_rate, round(avg(schema_valid::INT), 4) AS schema_valid_rate, round(avg(score), 4) AS mean_groundedness FROM rows")
+def eval_report(spark, sf_dir):
+    path = storage.new_path(spark, "metrics")
+    evaluation.write_metrics(evaluation.metrics(evaluated(spark, sf_dir)), path)
+    return spark.read.schema("tasks long, json_valid_rate double, schema_valid_rate double, mean_groundedness double").json(path)
+
+
+def markdown_sql(text: str) -> str:
+    own = f"regexp_replace({text}, '{HIDDEN_RE}', chr(10), 'g')"
+    for pattern, made in H.MARKDOWN:
+        to = made.replace("$", chr(92)).replace(chr(10), "' || chr(10) || '")
+        own = f"regexp_replace({own}, '{pattern}', '{to}', 'g')"
+    own = f"regexp_replace(regexp_replace(regexp_replace({own}, '{HIDDEN_RE}', chr(10), 'g'), '{BLOCK_RE}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in H.ENTITIES:
+        own = f"replace({own}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    lined = f"array_to_string(list_transform(string_split({D.newlines(own)}, chr(10)), lambda x: regexp_replace(x, '[{D.SPACE}]+$', '')), chr(10))"
+    return D.strip(rf"regexp_replace({lined}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"SELECT page_id, sha256('# page ' || page_id || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || {markdown_sql('html')} || chr(10)) AS text_sha256, {D.word_count(markdown_sql('html'))} < 80 AS thin FROM pages")
+def page_markdown(spark, sf_dir):
+    title = F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(H.page_document(title, F.col("url"), F.col("html")), 256).alias("text_sha256"), H.is_thin_page(F.col("html")).alias("thin"))

@@ -45,9 +45,9 @@ def document_errors(raw: Column) -> Column:
     return F.when(F.size(version) > 0, version).otherwise(rest)
 
 
-def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of JSON files, one each; the first bad one is an error."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def load_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of JSON files, one each, or one a line; the first bad one is an error."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("file"), "value")
     checked = raw.withColumn("errors", document_errors(F.col("value")))
     bad = checked.filter(F.size("errors") > 0).select("file", "errors").first()
     if bad:
@@ -56,6 +56,9 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     return checked.select(F.from_json("value", SCHEMA).alias("d")).select("d.*")
 
 
-def save_documents(docs: DataFrame, path: str) -> None:
-    """JSON below `path`, in a folder for each document."""
+def save_documents(docs: DataFrame, path: str, folders: bool = True) -> None:
+    """JSON below `path`, in a folder for each document; without folders, as lines of as many files as there are tasks, for large corpora."""
+    if not folders:
+        docs.write.mode("overwrite").json(path)
+        return
     docs.withColumn("document", F.col("document_id")).repartition("document").write.mode("overwrite").partitionBy("document").json(path)

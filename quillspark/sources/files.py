@@ -25,7 +25,7 @@ Reader = Callable[[str, bytes], Iterator[dict]]
 _readers: dict[str, Reader] = {}
 NATIVE = {".txt": "text", ".text": "text", ".md": "markdown", ".markdown": "markdown", ".vtt": "captions"}
 #: Suffixes that are known but need a reader from outside, with what it takes.
-OUTSIDE = {".pdf": "a PDF library"} | dict.fromkeys(MEDIA_SUFFIXES, "a speech recognizer")
+OUTSIDE = {".pdf": "sources.pdf", ".pptx": "sources.slides"} | dict.fromkeys(MEDIA_SUFFIXES, "sources.speech with a recognizer")
 
 
 def register(suffix: str, reader: Reader) -> None:
@@ -46,6 +46,15 @@ def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
+def reader_of(path: Column) -> Column:
+    """What reads a file: text, markdown or captions, `registered`, or null."""
+    suffix = suffix_of(path)
+    found = F.when(suffix.isin(*_readers) if _readers else F.lit(False), "registered")
+    for own, kind in NATIVE.items():
+        found = found.when(suffix == own, kind)
+    return found
+
+
 def route(path: str) -> str:
     """The suffix that decides on a file's reader; an error that lists the known ones if there is none."""
     name = path.rsplit("/", 1)[-1]

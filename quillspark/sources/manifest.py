@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import humanize, resource_type
+from quillspark.order import ordinal
 
 VERSION = "1.0"
 #: Kinds of resource and splits that a manifest may name.
@@ -118,14 +119,35 @@ def folder_sources(files: DataFrame, buckets: list[str], split: str = "unassigne
     base = base.withColumn("base", F.regexp_replace(F.regexp_replace(F.lower("stem"), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""))
     base = base.withColumn("base", F.when(F.col("base") == "", "file").otherwise(F.col("base")))
     order = F.split("path", "/")
-    rows = base.withColumns({"_n": F.row_number().over(Window.partitionBy("base").orderBy(order)), "priority": F.row_number().over(Window.orderBy(order))})
-    first = F.substring(F.sha2("path", 256), 1, 4)
-    once = rows.withColumn("source_id", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), first)))
-    clash = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("_n") > 1, "priority"))
-    again = F.concat("base", F.lit("_"), F.substring(F.sha2(F.concat("path", F.lit(":"), first), 256), 1, 4))
-    return once.withColumn("_clash", clash).select(
-        F.when(F.col("_clash") > 1, again).otherwise(F.col("source_id")).alias("source_id"), humanize(F.col("stem")).alias("title"), resource_type(F.col("suffix")).alias("resource_type"),
+    placed = ordinal(base, [order], "_ordinal").withColumn("priority", (F.col("_ordinal") + 1).cast("int"))
+    rows = placed.withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("priority")))
+    digits = F.substring(F.sha2("path", 256), 1, 4)
+    rows = rows.withColumns({"_digits": digits, "source_id": F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), digits))})
+    for size in (4, 4, 16):  # those that clash hash again, and should that not be enough, to more digits
+        clash = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("_n") > 1, "priority")) > 1
+        again = F.substring(F.sha2(F.concat("path", F.lit(":"), "_digits"), 256), 1, size)
+        rows = rows.withColumn("_clash", clash).withColumn("_digits", F.when(F.col("_clash"), again).otherwise(F.col("_digits")))
+        rows = rows.withColumn("source_id", F.when(F.col("_clash"), F.concat("base", F.lit("_"), "_digits")).otherwise(F.col("source_id")))
+    return rows.select(
+        "source_id", humanize(F.col("stem")).alias("title"), resource_type(F.col("suffix")).alias("resource_type"),
         F.col("path").alias("local_path"), F.array(*map(F.lit, buckets)).alias("topic_bucket_ids"), "priority", F.lit(split).alias("split"), F.lit(True).alias("enabled"),
     )
 
 
+def append_sources(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """The manifest, one row, with the sources `rows` after its own; fields that a manifest lacks are left out."""
+    kind = manifest.schema["sources"].dataType.elementType
+    given = {f.name: f.dataType for f in rows.schema.fields}
+    fields = [F.col(f.name).cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType) for f in kind.fields]
+    order = F.coalesce(F.col("priority").cast("long"), F.lit(100)) if "priority" in given else F.lit(100)
+    own = F.struct(*[c.alias(f.name) for c, f in zip(fields, kind.fields, strict=True)])
+    made = rows.select(order.alias("o"), F.col("source_id").alias("k"), own.alias("s"))
+    added = made.orderBy("o", "k").select(F.to_json("s").alias("j"))
+    sources = [r["j"] for r in added.collect()]  # a manifest is one row, so its sources fit the driver
+    parsed = F.from_json(F.lit("[" + ",".join(sources) + "]"), F.lit(f"array<{SOURCE}>"))
+    return manifest.withColumn("sources", F.concat(F.coalesce("sources", F.array().cast(f"array<{SOURCE}>")), parsed))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Write manifests back as JSON, one line each."""
+    manifest.coalesce(1).write.mode("overwrite").json(path)

@@ -1,0 +1,214 @@
+"""PDF files: a section for each page that holds text.
+
+Register with `files.register(".pdf", pdf.reader())`. Text is read from the
+pages' content streams with the standard library (uncompressed and Flate
+streams, object streams, ToUnicode maps). If a page's text is thin beside what
+its strings hold, the whole file is read again by place on the page. Pages
+without text, or with garbage, go to `ocr` if one is given: a function from the
+file's bytes and page numbers to texts by page number. A file with nothing to
+read is an error.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+import zlib
+from collections.abc import Callable, Iterator
+
+Ocr = Callable[[bytes, list[int]], dict[int, str]]
+OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.DOTALL)
+STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
+TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|\[|\]|[A-Za-z'\"*]+", re.DOTALL)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+class NothingToRead(ValueError):
+    """No page of the file gave text."""
+
+
+def is_garbage(text: str) -> bool:
+    """As `functions.text.is_garbage` judges it, for one string."""
+    own = text.strip()
+    shown = sum(c.isspace() or not unicodedata.category(c).startswith("C") for c in own)
+    solid = [c for c in own if not c.isspace()]
+    return not own or shown * 10 < len(own) * 9 or own.count("�") * 20 > len(own) or sum(c.isalnum() for c in solid) * 2 < len(solid)
+
+
+def is_thin(extracted: str, native: str, least: int = 40) -> bool:
+    """As `functions.text.is_thin_extraction` judges it, for one page."""
+    got, there = len(extracted.split()), len(native.split())
+    return there >= least and got * 2 < there and got < least
+
+
+class File:
+    """The objects of a file by number."""
+
+    def __init__(self, content: bytes) -> None:
+        self.objects = {int(m[1]): m[2] for m in OBJECT.finditer(content)}
+        for body in list(self.objects.values()):
+            if b"/ObjStm" in body:
+                raw, first = self.stream(body), int(re.search(rb"/First\s+(\d+)", body)[1])
+                heads = [int(x) for x in raw[:first].split()]
+                places = [*heads[1::2], len(raw) - first]
+                for number, a, b in zip(heads[::2], places, places[1:], strict=False):
+                    self.objects.setdefault(number, raw[first + a : first + b])
+
+    def stream(self, body: bytes) -> bytes:
+        found = STREAM.search(body)
+        if not found:
+            return b""
+        return zlib.decompressobj().decompress(found[1]) if b"/FlateDecode" in body[: found.start()] else found[1]
+
+    def references(self, body: bytes, key: bytes) -> list[int]:
+        """Numbers of the objects that `key` names, one or a list."""
+        found = re.search(rb"/" + key + rb"\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", body)
+        return [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", found[1] or found[2])] if found else []
+
+    def pages(self) -> list[int]:
+        def below(number: int, seen: frozenset[int]) -> Iterator[int]:
+            body = self.objects.get(number, b"")
+            kids = self.references(body, b"Kids")
+            if number in seen:
+                return
+            if not kids and re.search(rb"/Type\s*/Page\b", body):
+                yield number
+            for kid in kids:
+                yield from below(kid, seen | {number})
+
+        roots = [n for body in self.objects.values() if b"/Catalog" in body for n in self.references(body, b"Pages")]
+        found = [p for root in roots for p in below(root, frozenset())]
+        return found or sorted(n for n, body in self.objects.items() if re.search(rb"/Type\s*/Page\b", body))
+
+    def fonts(self, page: bytes) -> dict[bytes, dict[int, str]]:
+        """Characters by code, for the fonts of a page that say so."""
+        bodies = [page, *(self.objects.get(n, b"") for n in self.references(page, b"Resources"))]
+        held = b" ".join(bodies + [self.objects.get(n, b"") for b in bodies for n in self.references(b, b"Font")])
+        out = {}
+        for name, number in re.findall(rb"(/[^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", held):
+            for at in self.references(self.objects.get(int(number), b""), b"ToUnicode"):
+                out[name] = character_map(self.stream(self.objects.get(at, b"")).decode("latin-1"))
+        return out
+
+
+def character_map(text: str) -> dict[int, str]:
+    wide = lambda h: bytes.fromhex(h).decode("utf-16-be", "replace")
+    out = {}
+    for block in re.findall(r"beginbfchar(.*?)endbfchar", text, re.DOTALL):
+        out |= {int(a, 16): wide(b) for a, b in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(r"beginbfrange(.*?)endbfrange", text, re.DOTALL):
+        for a, b, c in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            first = wide(c)
+            out |= {k: first[:-1] + chr(ord(first[-1]) + k - int(a, 16)) for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 65535) + 1)}
+    return out
+
+
+def characters(token: bytes, known: dict[int, str]) -> str:
+    """Text of a string operand."""
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw, width = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), 2 if known else 1
+    else:
+        escape = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
+        raw, width = re.sub(rb"\\([0-7]{1,3}|.)", escape, token[1:-1], flags=re.DOTALL), 1
+    codes = [int.from_bytes(raw[i : i + width], "big") for i in range(0, len(raw), width)]
+    return "".join(known.get(c, bytes([c]).decode("cp1252", "replace") if c < 256 else "�") for c in codes)
+
+
+def runs(stream: bytes, fonts: dict[bytes, dict[int, str]]) -> Iterator[tuple[float, float, str]]:
+    """(x, y, text) of what a content stream shows, in its order."""
+    x = y = line_x = line_y = leading = 0.0
+    known: dict[int, str] = {}
+    held: list[bytes] = []
+    depth: list[bytes] | None = None
+    for token in TOKEN.findall(stream):
+        if token == b"[":
+            depth = []
+        elif token == b"]":
+            held.append(b"".join(b"\x00" + t for t in depth or []))
+            held, array, depth = held[:-1], depth or [], None
+            held += array
+        elif depth is not None:
+            depth.append(token)
+        elif token[:1] in b"(</+-." or token[:1].isdigit():
+            held.append(token)
+        else:
+            numbers = [float(t) for t in held if t[:1] in b"+-." or t[:1].isdigit()]
+            strings = [t for t in held if t[:1] in b"(<"]
+            if token == b"BT":
+                x = y = line_x = line_y = 0.0
+            elif token == b"Tf" and held:
+                known = fonts.get(held[0], {})
+            elif token == b"TL" and numbers:
+                leading = numbers[0]
+            elif token in (b"Td", b"TD") and len(numbers) >= 2:
+                line_x, line_y = line_x + numbers[0], line_y + numbers[1]
+                x, y = line_x, line_y
+                leading = -numbers[1] if token == b"TD" else leading
+            elif token == b"Tm" and len(numbers) >= 6:
+                x = line_x = numbers[4]
+                y = line_y = numbers[5]
+            elif token in (b"T*", b"'", b'"'):
+                line_y -= leading or 1.0
+                x, y = line_x, line_y
+            if token in (b"Tj", b"'", b'"') and strings:
+                yield x, y, characters(strings[-1], known)
+            elif token == b"TJ":  # a wide gap between strings is a space
+                gap = lambda t: " " if t[:1] not in b"(<" and float(t) < -180 else ""
+                yield x, y, "".join(characters(t, known) if t[:1] in b"(<" else gap(t) for t in held if t[:1] in b"(<+-.0123456789")
+            held = []
+
+
+def page_runs(content: bytes) -> list[list[tuple[float, float, str]]]:
+    pdf = File(content)
+    out = []
+    for number in pdf.pages():
+        body = pdf.objects[number]
+        stream = b"\n".join(pdf.stream(pdf.objects.get(n, b"")) for n in pdf.references(body, b"Contents"))
+        out.append(list(runs(stream, pdf.fonts(body))))
+    return out
+
+
+def in_order(shown: list[tuple[float, float, str]]) -> str:
+    """Text as the stream shows it; another height is another line."""
+    lines: list[str] = []
+    last = None
+    for _, y, text in shown:
+        if last is not None and abs(y - last) < 0.5:
+            lines[-1] += text
+        else:
+            lines.append(text)
+        last = y
+    return "\n".join(line.strip() for line in lines if line.strip())
+
+
+def by_place(shown: list[tuple[float, float, str]]) -> str:
+    """Text from top to bottom and left to right."""
+    rows: dict[int, list[tuple[float, str]]] = {}
+    for x, y, text in shown:
+        rows.setdefault(round(-y), []).append((x, text))
+    return "\n".join(" ".join(t.strip() for _, t in sorted(row) if t.strip()) for _, row in sorted(rows.items()))
+
+
+def sections(content: bytes, ocr: Ocr | None = None, extract=in_order) -> list[dict]:
+    shown = page_runs(content)
+    pages, method = [extract(p) for p in shown], "classic"
+    if any(is_thin(text, " ".join(t for *_, t in p)) for text, p in zip(pages, shown, strict=True)):
+        pages, method = [by_place(p) for p in shown], "layout"
+    found = {i: (text, method) for i, text in enumerate(pages, 1) if not is_garbage(text)}
+    rest = [i for i in range(1, len(pages) + 1) if i not in found]
+    if ocr and rest:
+        found |= {i: (text.strip(), "ocr") for i, text in ocr(content, rest).items() if text.strip()}
+    if not found:
+        raise NothingToRead("no page holds text" + ("" if ocr else "; images need an OCR function"))
+    used = "+".join(dict.fromkeys(m for _, m in (found[i] for i in sorted(found))))
+    return [{"index": k, "text": found[i][0], "raw_text": found[i][0], "page_number": i, "extraction_method": used} for k, i in enumerate(sorted(found))]
+
+
+def reader(ocr: Ocr | None = None):
+    """A reader for `files.register`."""
+
+    def read_pdf(path: str, content: bytes) -> Iterator[dict]:
+        yield from sections(content, ocr)
+
+    return read_pdf

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from quillspark.operators.enrichment import Model, enrich, pending
+from quillspark.operators.enrichment import Model, enrich, guard, pending
 
 
 def _ids(spark: SparkSession, path: str) -> DataFrame:
@@ -22,14 +22,22 @@ def _ids(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "task_id string")
 
 
-def enrich_stream(spark: SparkSession, tasks_path: str, schema: str, model: Model, path: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that enriches all JSON tasks there are and ends."""
+def enrich_stream(spark: SparkSession, tasks_path: str, schema: str, model: Model, path: str, checkpoint: str, most_rejects: float = 0.05, least_tasks: int = 20) -> StreamingQuery:
+    """Start a query that enriches all JSON tasks there are and ends.
+
+    It fails once more than the share `most_rejects` of the tasks that were asked
+    so far is rejected, `least_tasks` of them at least; what was stored stays.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         todo = pending(rows.dropDuplicates(["task_id"]), _ids(spark, f"{path}/notes"), _ids(spark, f"{path}/rejects"))
         rounds = enrich(todo, model)
         rounds.notes.select("task_id", F.col("note").alias("study_note")).write.mode("append").parquet(f"{path}/notes")
         rounds.rejects.select("task_id", "errors").write.mode("append").parquet(f"{path}/rejects")
+        rejected = _ids(spark, f"{path}/rejects").count()
+        asked = rejected + _ids(spark, f"{path}/notes").count()
+        if asked >= least_tasks:
+            guard(rejected, asked, most_rejects)
 
     rows = spark.readStream.schema(schema).json(tasks_path)
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

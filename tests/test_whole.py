@@ -22,7 +22,7 @@ def test_all_segments_of_a_transcript_are_merged(spark, tmp_path):
         segments = [{"text": " ".join(words[8 * k : 8 * k + 8]), "start_time_s": at(k), "end_time_s": at(k) + 9} for k in range(len(words) // 8 + 1)]
         for s in transcript.merge_segments(segments):
             want.add((i, s["index"], s["start_time_s"], s["end_time_s"], hashlib.sha256(s["text"].encode()).hexdigest()))
-    got = {tuple(r) for r in catalogue.QUERIES["transcript_merge_whole"](spark, folder).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["transcript_merge"](spark, folder).collect()}
     assert got == want
     assert max(e for i, _, _, e, _ in got if i == 1) == at(1001 // 8) + 9
 
@@ -34,7 +34,7 @@ def test_every_entry_of_a_playlist_is_expanded(spark, tmp_path):
     for source in ("hot", "cold"):
         ids = [i for i, _, s in rows if s == source]
         want |= {(f"pl_{source}_{pos:02d}_talk_{i}", 50 + pos, True) for pos, i in enumerate(ids, 1) if i % 7}
-    got = [tuple(r) for r in catalogue.QUERIES["playlist_expand_whole"](spark, folder).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["playlist_expand"](spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -43,11 +43,11 @@ def test_cues_are_parsed_whole(spark, tmp_path):
     folder = write(spark, tmp_path, "conversations", turns, "conv_id long, turn int, text string")
     said = [" ".join(re.sub("<[^>]+>", "", t).split()) + " and more" for *_, t in turns]
     want = {(c, cue, t * 70 + 0.25, t * 70 + 9.5, hashlib.sha256(s.encode()).hexdigest()) for (c, t, _), cue, s in zip(turns, (0, 1, 0), said, strict=True)}
-    assert {tuple(r) for r in catalogue.QUERIES["vtt_parse_whole"](spark, folder).collect()} == want
+    assert {tuple(r) for r in catalogue.QUERIES["vtt_parse"](spark, folder).collect()} == want
 
 
-def test_overlap_reads_the_whole_second_half(spark, tmp_path):
-    tail = [f"w{i}" for i in range(20)]
-    text = " ".join([f"v{i}" for i in range(20)] + tail + tail[:5] + [""] * 60 + tail[5:])  # blanks take the places up to the 80th
-    folder = write(spark, tmp_path, "documents", [(45, text)], "doc_id long, text string")
-    assert [tuple(r) for r in catalogue.QUERIES["overlap_words"](spark, folder).collect()] == [(45, 20)]
+def test_overlap_reads_both_whole_halves(spark, tmp_path):
+    words = [f"v{i}" for i in range(300)]
+    rows = [(45 + k, " ".join([*words, *words[300 - k :], *[f"x{i}" for i in range(300 - k)]])) for k in (0, 7, 30)]
+    folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    assert {tuple(r) for r in catalogue.QUERIES["overlap_words"](spark, folder).collect()} == {(45, 0), (52, 7), (75, 30)}
