@@ -33,7 +33,9 @@ from quillspark.storage import materialise
 
 COSINE = 0.93
 #: Nodes of a part, nodes that share a task, points of a leaf, pairs of points that are compared at once instead of going down.
-PART, CELL_NODES, LEAF, BLOCK = 1024, 1024, 32, 1 << 16
+PART, CELL_NODES, LEAF, BLOCK = 4096, 4096, 32, 1 << 16
+#: Rows of a product of points or centres that are held at once.
+ROWS = 512
 #: Room for rounding when whole nodes are pruned or linked.
 SLACK = 1e-7
 
@@ -67,10 +69,13 @@ def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
             radius /= 2
         near = 1 - radius * radius / 2
         own = x[node.points]
-        cosines = own @ own.T  # a part's square at most
+        begin, cosines = 0, np.empty((0, len(own)))
         left = np.arange(len(own))  # the centre comes first, so levels are nested
         while len(left):
-            row = cosines[left[0], left]
+            if left[0] >= begin + len(cosines):  # centres come in order, so a few rows of the product are held
+                begin = left[0]
+                cosines = own[begin : begin + ROWS] @ own.T
+            row = cosines[left[0] - begin, left]
             covered = row >= near
             covered[0] = True
             child = Node(node.points[left[covered]], row[covered])
@@ -130,11 +135,13 @@ def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosi
         if same:
             todo += [(c, c) for c in left]
         ours, theirs = (np.array([c.centre for c in s]) for s in (left, right))
-        far = reach + np.array([c.radius for c in left])[:, None] + np.array([c.radius for c in right]) + SLACK
-        near = 2 - 2 * (x[ours] @ x[theirs].T) <= far * far
-        if same:
-            near = np.triu(near, 1)
-        todo += [(left[i], right[j]) for i, j in zip(*np.nonzero(near), strict=True)]
+        radii = np.array([c.radius for c in left]) + (reach + SLACK), np.array([c.radius for c in right])
+        for k in range(0, len(left), ROWS):
+            far = radii[0][k : k + ROWS, None] + radii[1]
+            near = 2 - 2 * (x[ours[k : k + ROWS]] @ x[theirs].T) <= far * far
+            if same:
+                near = np.triu(near, k + 1)
+            todo += [(left[k + i], right[j]) for i, j in zip(*np.nonzero(near), strict=True)]
     if a_side:
         label = join(label, np.concatenate(a_side), np.concatenate(b_side))
     return links, label

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_ROWS, hashable, ordinal, seeded_key, sized_join, whole_row
+from quillspark.llm.common import BROADCAST_ROWS, hashable, seeded_key, sized_join, whole_row
+from quillspark.order import ordinal
 from quillspark.storage import materialise
 
 WEIGHTS = (5, 2, 1)
