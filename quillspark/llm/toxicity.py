@@ -9,7 +9,7 @@ Labels belong to documents, so training looks at several windows of a document:
 the highest must be toxic if the document is, and none may be if it isn't. Every one
 of a fixed number of steps sees documents of both classes. Part of the sample
 doesn't train; on it the bias is moved so that a score of 0.5 parts the classes
-best, a false alarm counting twice as much as a miss.
+best, a false alarm counting `ALARM` times as much as a miss.
 
 The network is fitted on a bounded sample: `max_docs` labelled documents of
 either class in expectation, chosen by a hash of the id; of rows that share an
@@ -45,6 +45,8 @@ MAX_DOCS = 2500
 STEPS, DOCS_A_STEP, WINDOWS_A_STEP, RATE = 500, (18, 10), 4, 0.01
 #: One in so many sampled documents sets the level of the scores and doesn't train.
 HELD_FOR_LEVEL = 6
+#: What a false alarm costs, in misses, when the level is set.
+ALARM = 2
 #: Distinct words and windows that are worked on at once.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 20_000, 2048
 #: Characters of a text that are split into words at once.
@@ -252,7 +254,7 @@ def level(net: dict, labels: list[int], scores: list[float]) -> dict:
     logit = np.log(p / (1 - p))
     cuts = np.sort(logit)
     cuts = np.concatenate(((cuts[1:] + cuts[:-1]) / 2, [0.0]))
-    cost = np.array([2 * (logit[~toxic] >= c).mean() + (logit[toxic] < c).mean() for c in cuts])
+    cost = np.array([ALARM * (logit[~toxic] >= c).mean() + (logit[toxic] < c).mean() for c in cuts])
     best = cuts[cost <= cost.min() + 1e-12]
     return net | {"out_b": net["out_b"] - np.float32((best.min() + best.max()) / 2)}
 
