@@ -22,10 +22,10 @@ def build_pack(args: argparse.Namespace) -> int:
     """Tasks of all files in a folder, with an index."""
     spark = get_session("build-pack")
     paths, unsupported = files.scan(spark, args.folder, not args.flat)
-    if not paths:
+    if paths.isEmpty():
         print(f"no supported files in {args.folder} ({unsupported} others)")
         return 1
-    sources = manifest.folder_sources(spark.createDataFrame([(p,) for p in paths], "path string"), args.bucket, args.split)
+    sources = manifest.folder_sources(paths.select("path"), args.bucket, args.split)
     docs = files.read_documents(spark, args.folder, paths)
     joined = docs.withColumnRenamed("path", "local_path").drop("title").join(sources, "local_path")
     chunks = chunking.chunk_documents(joined)
@@ -151,8 +151,8 @@ def fetch(args: argparse.Namespace) -> int:
 def transcripts(args: argparse.Namespace) -> int:
     """Caption files of a folder as texts of merged paragraphs."""
     spark = get_session("transcripts")
-    paths = [p for p in files.list_files(spark, args.folder) if p.lower().endswith(".vtt")]
-    if not paths:
+    paths = files.list_tree(spark, args.folder).filter(files.reader_of(F.col("path")) == "captions")
+    if paths.isEmpty():
         print(f"no captions in {args.folder}")
         return 1
     docs = files.read_documents(spark, args.folder, paths)

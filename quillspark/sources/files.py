@@ -1,7 +1,8 @@
 """Files: listing, routing by suffix, decoding, and readers that plug in.
 
-Listing is done on the driver by Hadoop's file system, so any store works and
-names that begin with `_` are seen. Bytes are read on the executors.
+Folders are listed level by level, each by the task that gets it, so names that
+begin with `_` are seen and no list of all files meets on the driver. Bytes are
+read on the executors, a file at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from quillspark.functions import text as T
 from quillspark.functions.text import MEDIA_SUFFIXES
 from quillspark.operators.chunking import SECTION
 from quillspark.sources import sections as S
+from quillspark.storage import materialise
 
 #: Names that file managers leave behind.
 JUNK = ("Thumbs.db", ".DS_Store", "__MACOSX")
@@ -65,34 +68,67 @@ def route(path: str) -> str:
     raise ValueError(f"{path}: {why}. Supported: {', '.join(supported())}")
 
 
-def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> list[str]:
-    """Paths below `folder`, relative to it, in the order of their parts; hidden and junk names are left out."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(conf)
-    if not system.exists(root):
+def root_of(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; an error if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
         raise FileNotFoundError(folder)
-    if not system.getFileStatus(root).isDirectory():
+    if not system.getFileStatus(path).isDirectory():
         raise NotADirectoryError(folder)
-    found, todo = [], [(root, ())]
-    while todo:
-        path, parts = todo.pop()
-        for status in system.listStatus(path):
-            name = status.getPath().getName()
-            if name.startswith(".") or name in JUNK:
-                continue
-            if not status.isDirectory():
-                found.append((*parts, name))
-            elif recursive:
-                todo.append((status.getPath(), (*parts, name)))
-    return ["/".join(p) for p in sorted(found)]
-
-
-def scan(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[list[str], int]:
-    """Paths that have a reader, and how many have none."""
-    every = list_files(spark, folder, recursive)
-    good = [p for p in every if any(p.lower().endswith(s) for s in supported())]
-    return good, len(every) - len(good)
+    own = system.makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", own))
+
+
+def list_tree(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """path (relative to `folder`) and length of all files below it; hidden and junk names are left out."""
+    root = root_of(spark, folder)
+
+    def entries(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for below in batch["path"]:
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/"))):
+                    if not info.base_name.startswith(".") and info.base_name not in JUNK:
+                        rows.append((f"{below}/{info.base_name}".lstrip("/"), info.size or 0, info.type == fs.FileType.Directory))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "length", "folder"]).astype({"length": "int64"})
+
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        seen = materialise(level.repartition("path").mapInPandas(entries, "path string, length long, folder boolean"), "listing")
+        files = seen.filter("not folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        level = seen.filter("folder").select("path")
+        if not recursive or level.isEmpty():
+            return found
+
+
+def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> list[str]:
+    """Paths below `folder`, in the order of their parts, for folders that are small enough for a list."""
+    return [r["path"] for r in list_tree(spark, folder, recursive).orderBy(F.split("path", "/")).collect()]
+
+
+def scan(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[DataFrame, int]:
+    """Files (path, length) that have a reader, and how many have none."""
+    every = list_tree(spark, folder, recursive)
+    good = reader_of(F.col("path")).isNotNull()
+    return every.filter(good), every.filter(~good).count()
+
+
+def contents(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
+    """path and content of files below `folder`."""
+    root = root_of(spark, folder)
+
+    def read(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with system.open_input_file(f"{base}/{path}") as source:
+                    yield pd.DataFrame({"path": [path], "content": [source.read()]})
+
+    return paths.select("path").repartition("path").mapInPandas(read, "path string, content binary")
 
 
 def decoded(content: Column) -> Column:
@@ -101,42 +137,39 @@ def decoded(content: Column) -> Column:
     return T.newlines(F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
 
 
-def read_documents(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
-    """path (below `folder`), suffix, title, sections of files below `folder`.
+def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFrame) -> DataFrame:
+    """path (below `folder`), suffix, title, sections of files below `folder`, given as a list or as rows (path).
 
-    Text formats are parsed by column expressions; others by their reader, over
-    batches of bytes. Files of which nothing is left are rows without sections.
+    Text formats are parsed by column expressions; others by their reader. Files
+    of which nothing is left are rows without sections; a file without a reader
+    is an error.
     """
-    suffixes = {p: route(p) for p in paths}
-    root = folder.rstrip("/")
-    parts = []
-    native = [p for p in paths if suffixes[p] in NATIVE]
-    if native:
-        rows = spark.read.format("binaryFile").load([f"{root}/{p}" for p in native]).select("path", "content")
-        text = rows.select("path", suffix_of(F.col("path")).alias("suffix"), decoded(F.col("content")).alias("text"))
-        kind = lambda k: F.col("suffix").isin([s for s, v in NATIVE.items() if v == k])
-        stem = T.humanize(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1))
-        own = F.when(kind("text"), S.text_sections(F.col("text"))).when(kind("markdown"), S.markdown_sections(F.col("text"))).otherwise(S.vtt_sections(F.col("text")))
-        title = F.when(kind("markdown"), T.markdown_title(F.col("text"), stem)).when(kind("text"), T.text_title(F.col("text"), stem)).otherwise(stem)
-        parts.append(text.select("path", "suffix", title.alias("title"), own.alias("sections")))
-    other = [p for p in paths if suffixes[p] not in NATIVE]
-    if other:
-        readers = dict(_readers)
-        names = [f.split(": ")[0] for f in SECTION[len("struct<") : -1].split(", ")]
-
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for path, content in zip(batch["path"], batch["content"], strict=True):
-                    suffix = path[path.rindex(".") :].lower()
-                    found = [dict.fromkeys(names) | s for s in readers[suffix](path, bytes(content))]
-                    rows.append((path, suffix, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], found))
-                yield pd.DataFrame(rows, columns=["path", "suffix", "title", "sections"])
-
-        rows = spark.read.format("binaryFile").load([f"{root}/{p}" for p in other]).select("path", "content")
-        parts.append(rows.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
-    return out.withColumn("path", F.regexp_replace("path", rf"^(?:\w+:(?://[^/]*)?)?{re.escape(base)}/", ""))
+    rows = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    kind = reader_of(F.col("path"))
+    unread = rows.filter(kind.isNull()).first()
+    if unread:
+        route(unread["path"])
+    suffix = suffix_of(F.col("path")).alias("suffix")
+    text = contents(spark, folder, rows.filter(kind != "registered")).select("path", suffix, kind.alias("kind"), decoded(F.col("content")).alias("text"))
+    stem = T.humanize(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1))
+    is_kind = lambda k: F.col("kind") == k
+    own = F.when(is_kind("text"), S.text_sections(F.col("text"))).when(is_kind("markdown"), S.markdown_sections(F.col("text"))).otherwise(S.vtt_sections(F.col("text")))
+    title = F.when(is_kind("markdown"), T.markdown_title(F.col("text"), stem)).when(is_kind("text"), T.text_title(F.col("text"), stem)).otherwise(stem)
+    out = text.select("path", "suffix", title.alias("title"), own.alias("sections"))
+    if not _readers:
+        return out
+    readers = dict(_readers)
+    names = [f.split(": ")[0] for f in SECTION[len("struct<") : -1].split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                own_suffix = path[path.rindex(".") :].lower()
+                found = [dict.fromkeys(names) | s for s in readers[own_suffix](path, bytes(content))]
+                made.append((path, own_suffix, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], found))
+            if made:
+                yield pd.DataFrame(made, columns=["path", "suffix", "title", "sections"])
+
+    other = contents(spark, folder, rows.filter(kind == "registered"))
+    return out.unionByName(other.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>"))

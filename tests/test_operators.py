@@ -109,13 +109,20 @@ def test_folders_are_scanned(spark, tmp_path):
     for name in ("b/two.MD", "a.txt", "a-b/c.txt", "_kept.txt", ".hidden.txt", ".dir/x.txt", "__MACOSX/x.txt", "Thumbs.db", "x.xyz"):
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text("Title\n\nText of the file.")
-    assert files.scan(spark, f"file://{tmp_path}") == (["_kept.txt", "a-b/c.txt", "a.txt", "b/two.MD"], 1)
-    assert files.scan(spark, f"file://{tmp_path}", recursive=False) == (["_kept.txt", "a.txt"], 1)
+
+    def scan(**how):
+        found, others = files.scan(spark, f"file://{tmp_path}", **how)
+        return sorted(r["path"] for r in found.collect()), others
+
+    assert scan() == (["_kept.txt", "a-b/c.txt", "a.txt", "b/two.MD"], 1) and scan(recursive=False) == (["_kept.txt", "a.txt"], 1)
+    assert files.list_files(spark, f"file://{tmp_path}") == ["_kept.txt", "a-b/c.txt", "a.txt", "b/two.MD", "x.xyz"]
     with pytest.raises(FileNotFoundError):
         files.list_files(spark, f"file://{tmp_path}/none")
     with pytest.raises(NotADirectoryError):
         files.list_files(spark, f"file://{tmp_path}/a.txt")
-    got = files.read_documents(spark, f"file://{tmp_path}", ["a.txt"]).first()
+    with pytest.raises(ValueError, match="Supported"):
+        files.read_documents(spark, f"file://{tmp_path}", files.list_tree(spark, f"file://{tmp_path}"))
+    got = files.read_documents(spark, str(tmp_path), ["a.txt"]).first()
     assert got["title"] == "Title" and [s["text"] for s in got["sections"]] == ["Title", "Text of the file."]
 
 
