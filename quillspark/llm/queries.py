@@ -11,12 +11,15 @@ from quillspark.llm.common import sized_join, word_count
 from quillspark.session import table
 from quillspark.storage import materialise
 
-#: Rows of text that go to Python at once; texts may be long.
-BATCH_ROWS = "1000"
+#: Bounds of what goes to Python at once, as texts may be long: setting, Spark's default, ours.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Smaller batches for the session, unless it has bounds of its own. They are read when a plan runs, so they stay."""
+    for setting, default, ours in BATCHES:
+        if spark.conf.get(setting) == default:
+            spark.conf.set(setting, ours)
 
 
 #: Listed rules of the URL filter: host, beginning of the path, verdict.
