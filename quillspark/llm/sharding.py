@@ -34,6 +34,8 @@ HOT_ROWS, HOT_TIMES, HOT_PARTS = 100_000, 4, 1024
 def deal_hot(base: DataFrame, pieces: DataFrame) -> DataFrame | None:
     """`base` with rows of the keys that many rows share in pieces of their own, written; None if there is no such key.
 
+    `pieces` counts the rows of (no_source, source, piece).
+
     Those pieces follow the one that the key is from, so the order stays one that the rows decide.
     """
     by_piece = ["no_source", "source", "piece"]
@@ -52,35 +54,41 @@ def deal_hot(base: DataFrame, pieces: DataFrame) -> DataFrame | None:
 def shard(df: DataFrame, row_id: Column, source: Column, tie: Column, shards: int = 24, seed: int = 29) -> DataFrame:
     """Columns row, shard, slot; a row for each of `df`.
 
-    Places are found in two levels (pieces of a source, runs of the fractional
-    rank), so that no task holds a source or the whole order.
+    Places are found for keys and their counts alone, in two levels (pieces of a
+    source, runs of the fractional rank), so that no task holds a source or the
+    whole order; the rows themselves move once, to the places of their key.
     """
     base = df.select(
         whole_row(df), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"),
         seeded_key(seed, row_id, tie).alias("key"),
     ).withColumn("piece", F.substring("key", 1, PIECE_DIGITS))
-    by_source, by_piece = ["no_source", "source"], ["no_source", "source", "piece"]
+    by_source, by_piece, by_key = ["no_source", "source"], ["no_source", "source", "piece"], ["no_source", "source", "piece", "key"]
 
-    count = lambda rows: materialise(rows.groupBy(*by_piece).agg(F.count("*").alias("n")), "shard-pieces")
-    pieces = count(base)
-    dealt = deal_hot(base, pieces)
+    count = lambda rows: materialise(rows.groupBy(*by_key).agg(F.count("*").alias("n")), "shard-keys")
+    keys = count(base)
+    dealt = deal_hot(base, keys.groupBy(*by_piece).agg(F.sum("n").alias("n")))
     if dealt is not None:
-        base, pieces = dealt, count(dealt)
-    total = pieces.agg(F.sum("n")).first()[0] or 0
+        base, keys = dealt, count(dealt)
+    total = keys.agg(F.sum("n")).first()[0] or 0
     own = Window.partitionBy(*by_source)
-    offsets = pieces.select(*by_piece, (F.sum("n").over(own.orderBy("piece")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("source_n"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(*by_piece).orderBy("key")) - 1
+    pieces = keys.groupBy(*by_piece).agg(F.sum("n").alias("piece_n"))
+    offsets = pieces.select(*by_piece, (F.sum("piece_n").over(own.orderBy("piece")) - F.col("piece_n")).alias("before"), F.sum("piece_n").over(own).alias("source_n"))
+    upto = F.sum("n").over(Window.partitionBy(*by_piece).orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     runs = min(MAX_RUNS, max(1, -(-total // RUN_ROWS)))
-    ranked = base.join(offsets.hint("merge"), by_piece).withColumn("rank", rank).select(
-        "row", *by_source, "rank", ((F.col("rank") + unit) / F.col("source_n")).alias("part"),
-    ).withColumn("run", F.floor(F.col("part") * runs).cast("int"))
+    first = keys.join(offsets.hint("merge"), by_piece).withColumn("first", F.col("before") + upto - F.col("n"))
+    ranked = first.select(*by_key, "source_n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
+    ranked = ranked.withColumn("part", (F.col("rank") + unit) / F.col("source_n")).withColumn("run", F.floor(F.col("part") * runs).cast("int")).drop("source_n")
     ranked = materialise(ranked, "shard-ranks")
 
     run_sizes = ranked.groupBy("run").agg(F.count("*").alias("n"))
-    run_starts = run_sizes.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("run_start"))
+    run_starts = run_sizes.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("run_start"))  # MAX_RUNS rows
     place = F.row_number().over(Window.partitionBy("run").orderBy("part", *by_source, "rank")) - 1
     placed = ranked.withColumn("place", place).join(run_starts, "run").withColumn("place", F.col("place") + F.col("run_start"))
-    of = F.expr(f"(place * {shards}) div {max(total, 1)}")
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", of.cast("int")).withColumn("slot", (F.col("place") - first).cast("long")).select("row", "shard", "slot")
+    shard_of = F.expr(f"(place * {shards}) div {max(total, 1)}").cast("int")
+    begins = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
+    placed = placed.withColumn("shard", shard_of).select(*by_key, F.struct("shard", (F.col("place") - begins).cast("long").alias("slot")).alias("p"))
+    places = placed.groupBy(*by_key).agg(F.collect_list("p").alias("places"))  # a key's rows, which `deal_hot` bounds
+    copy = F.row_number().over(Window.partitionBy(*by_key).orderBy("key"))
+    mine = F.get("places", (F.col("copy") - 1).cast("int"))
+    return base.withColumn("copy", copy).join(places.hint("merge"), by_key).select("row", mine["shard"].alias("shard"), mine["slot"].alias("slot"))

@@ -33,6 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import sized_join
 from quillspark.storage import materialise, new_path
 
 MIN_BYTES = 100
@@ -179,7 +180,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     digests = pages.filter(F.octet_length("html") >= min_bytes).groupBy(F.sha2(payload, 256).alias("digest")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     several = materialise(digests.filter("n > 1 and first is not null").select("digest", "first"), "equal-payloads")
-    joined = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(several, "digest", "left")
+    keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
+    joined = sized_join(keyed, several, ["digest"], "left", [F.col("page_id"), F.col("url")])  # a payload may be that of a third of all pages
     rows = joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     return materialise(rows.mapInArrow(lambda it: write_partition(it, folder), "path string, records long, bytes long"), "manifest")
 
