@@ -47,9 +47,12 @@ def clear(spark: SparkSession) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and return the table as read back."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and return the table as read back.
+
+    `files` bounds the number of files of a table that is small beside the corpus.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
