@@ -36,6 +36,8 @@ from quillspark.storage import materialise
 WIDTH, SHINGLE = 13, 5
 #: Hashes that a scan broadcasts at most, some 30 bytes each.
 SCAN_SHINGLES = 2_000_000
+#: Files of a table that is made of the benchmark alone, at most.
+FILES = 64
 
 
 def shingle_hash(words: str, at: Column, size: int) -> Column:
@@ -52,7 +54,7 @@ def item_windows(items: DataFrame, item_id: Column, text: Column, width: int) ->
     split = items.select(item_id.cast("string").alias("item"), alnum_words(text).alias("all")).filter("size(all) > 0")
     last = F.greatest(F.size("all") - width, F.lit(0))
     each = split.select("item", "all", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", F.slice("all", F.col("at") + 1, width).alias("words"))
-    return materialise(each.select(F.md5(F.array_join("words", " ")).alias("window"), "words", "item").distinct(), "item-windows")
+    return materialise(each.select(F.md5(F.array_join("words", " ")).alias("window"), "words", "item").distinct(), "item-windows", FILES)
 
 
 def window_shingles(windows: DataFrame, most: int = SHINGLE) -> DataFrame:
@@ -61,7 +63,7 @@ def window_shingles(windows: DataFrame, most: int = SHINGLE) -> DataFrame:
     size = F.least(n, F.lit(most))
     placed = windows.dropDuplicates(["window"]).select("window", "words", n.alias("n"), size.alias("size"), F.explode(F.sequence(F.lit(0), n - size)).alias("offset"))
     h = F.coalesce(*[F.when(F.col("size") == k, shingle_hash("words", F.col("offset"), k)) for k in range(1, most + 1)])
-    return materialise(placed.select("window", "n", "offset", "size", h.alias("h"), shingle_text("words", F.col("offset"), F.col("size")).alias("shingle")), "window-shingles")
+    return materialise(placed.select("window", "n", "offset", "size", h.alias("h"), shingle_text("words", F.col("offset"), F.col("size")).alias("shingle")), "window-shingles", FILES)
 
 
 def scan(docs: DataFrame, keys: list[Column], text: Column, hashes: DataFrame, sizes: list[int]) -> DataFrame:
@@ -109,7 +111,7 @@ def judge(docs: DataFrame, keys: list[Column], text: Column, items: DataFrame, i
     """(k1, k2, n_words) of all documents, and (k1, k2, hit, items, list) of those that hold windows."""
     members = item_windows(items, item_id, item_text, width)
     placed = window_shingles(members)
-    shingles = materialise(placed.select("h", "size", "shingle").distinct(), "known-shingles")
+    shingles = materialise(placed.select("h", "size", "shingle").distinct(), "known-shingles", FILES)
     seen = places_of(docs, keys, text, shingles, scan_shingles)
     sizes = seen.filter("pos < 0").groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
     exact = sized_join(seen.filter("pos >= 0"), shingles, ["h", "size", "shingle"], "left_semi", [F.col("k1"), F.col("pos")], rows)
@@ -122,7 +124,7 @@ def judge(docs: DataFrame, keys: list[Column], text: Column, items: DataFrame, i
         F.min(F.struct("often", "shingle", "offset")).alias("prefix"), F.count("*").alias("known"), F.max("size").alias("size"),
         F.collect_list(F.when(cover, F.struct("offset", "shingle"))).alias("cover"),
     ).filter("known = n - size + 1").select("window", "n", "prefix.shingle", "prefix.offset", "cover")
-    prefixes = materialise(prefixes, "prefixes")
+    prefixes = materialise(prefixes, "prefixes", FILES)
 
     at = F.col("pos") - F.col("offset")
     near = sized_join(places, prefixes, ["shingle"], "inner", [F.col("k1"), F.col("pos")], rows).filter((at >= 0) & (at + F.col("n") <= F.col("n_words")))

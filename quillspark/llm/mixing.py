@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 PIECE_DIGITS = 3
 #: Equal rows that a task writes out again.
 COPIES = 10_000
+#: Files of a table with a row for each source, at most.
+FILES = 32
 
 
 def water_level(sources: DataFrame, share: float, max_epochs: float) -> float | None:
@@ -64,7 +66,7 @@ def cuts(small: DataFrame, pieces: DataFrame, targets: DataFrame) -> DataFrame:
     placed = pieces.withColumn("before", upto - F.col("piece_size")).join(targets.select(*by_source, "rest"), by_source)
     # The first piece that doesn't end before the rest does; if there is none, all of the source is taken.
     crossing = placed.filter((F.col("rest") > 0) & (F.col("before") + F.col("piece_size") > F.col("rest"))).groupBy(*by_source).agg(F.min(F.struct("piece", "before")).alias("c"))
-    crossing = materialise(crossing.select(*by_source, F.col("c.piece").alias("piece"), F.col("c.before").alias("before")).join(targets.select(*by_source, "rest"), by_source), "mix-crossing")
+    crossing = materialise(crossing.select(*by_source, F.col("c.piece").alias("piece"), F.col("c.before").alias("before")).join(targets.select(*by_source, "rest"), by_source), "mix-crossing", FILES)
     own = sized_join(small, crossing, [*by_source, "piece"], "inner", [F.col("key")])
     counted = own.groupBy(*by_source, "piece", "key", "hash", "size", "before", "rest").agg(F.count("*").alias("n"))
     words = F.col("size") * F.col("n")
@@ -96,7 +98,7 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
     pieces = materialise(small.groupBy(*by_source, "piece").agg(F.sum("size").alias("piece_size")), "mix-pieces")
     sums = pieces.groupBy(*by_source).agg(F.sum("piece_size").alias("source_size"))
     cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    sources = materialise(ordinal(sums, [F.col("no_source"), F.col("source")], "place").withColumn("weight", cycle), "mix-sources")
+    sources = materialise(ordinal(sums, [F.col("no_source"), F.col("source")], "place").withColumn("weight", cycle), "mix-sources", FILES)
     level = water_level(sources, share, max_epochs)
     cap = F.col("source_size") * F.lit(float(max_epochs))
     target = cap if level is None else F.least(cap, F.col("weight") * F.lit(level))
@@ -105,7 +107,7 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
         sources.withColumn("target", target.cast("double")).withColumn("whole", whole.cast("long"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("place", "weight")
     )
-    plan = materialise(cuts(small, pieces, materialise(targets, "mix-targets")), "mix-plan")
+    plan = materialise(cuts(small, pieces, materialise(targets, "mix-targets", FILES)), "mix-plan", FILES)
 
     placed = sized_join(keyed, plan, by_source, "inner", [F.col("key")], rows)
     mine, edge = F.struct("key", "hash"), F.struct(F.col("edge_key").alias("key"), F.col("edge_hash").alias("hash"))
@@ -117,7 +119,7 @@ def mix(df: DataFrame, row_id: Column, source: Column, size: Column, tie: Column
         taken = placed.withColumn("once_more", first.cast("long"))
     else:  # the cut falls among equal rows: one of them stands for all, and is written out again
         one = placed.filter(split).groupBy(*by_source).agg(F.first(F.struct(*kept)).alias("one"), F.first("edge_taken").alias("edge_taken"), F.first("edge_n").alias("edge_n"))
-        one = materialise(one.select("one.*", "edge_taken", "edge_n"), "mix-edges")
+        one = materialise(one.select("one.*", "edge_taken", "edge_n"), "mix-edges", FILES)
         parts = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(edge_n - 1) div {COPIES}")))).repartition("part")
         begin = F.col("part") * COPIES
         again = parts.withColumn("copy", F.explode(F.sequence(begin, F.least(begin + COPIES, F.col("edge_n")) - 1)))
