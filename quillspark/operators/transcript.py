@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.chunking import SECTION
+from quillspark.sources.sections import section
 
 EMPTY = {f.split(": ")[0]: None for f in SECTION[len("struct<") : -1].split(", ")}
 
@@ -53,34 +54,49 @@ def appended(before: str, after: str) -> str:
     return f"{before} {rest}" if rest else before
 
 
-def merge_segments(segments: list[dict], most_words: int = 100, most_seconds: float = 60.0, most_gap: float = 8.0) -> list[dict]:
-    """Merged sections of one document. Segments without a start keep their text."""
-    merged: list[dict] = []
-    for own in segments:
-        text = (own["text"] or "").strip()
+def merge_runs(texts: list, starts: list, ends: list, most_words: int = 100, most_seconds: float = 60.0, most_gap: float = 8.0) -> list[list]:
+    """[text, start, end] of the merged segments of one document. Segments without a start keep their text."""
+    merged: list[list] = []
+    for text, start, end in zip(texts, starts, ends, strict=True):
+        text = (text or "").strip()
         if not text:
             continue
-        start, end = own["start_time_s"], own["end_time_s"]
         if merged:
-            now = merged[-1]
-            gap = start - now["end_time_s"] if start is not None and now["end_time_s"] is not None else 0.0
-            joined = appended(now["text"], text)
-            length = end - now["start_time_s"] if end is not None and now["start_time_s"] is not None else 0.0
-            if gap <= most_gap and len(joined.split()) <= most_words and length <= most_seconds:
-                now |= {"text": joined, "raw_text": joined, "end_time_s": end}
-                continue
-        merged.append(EMPTY | {"index": len(merged), "text": text, "raw_text": text, "start_time_s": start, "end_time_s": end, "extraction_method": "transcript_merge"})
+            before, began, ended = merged[-1]
+            gap = start - ended if start is not None and ended is not None else 0.0
+            length = end - began if end is not None and began is not None else 0.0
+            if gap <= most_gap and length <= most_seconds:
+                joined = appended(before, text)
+                if len(joined.split()) <= most_words:
+                    merged[-1] = [joined, began, end]
+                    continue
+        merged.append([text, start, end])
     return merged
 
 
+def merge_segments(segments: list[dict], most_words: int = 100, most_seconds: float = 60.0, most_gap: float = 8.0) -> list[dict]:
+    """Merged sections of one document's segments."""
+    columns = ([s[k] for s in segments] for k in ("text", "start_time_s", "end_time_s"))
+    rows = merge_runs(*columns, most_words, most_seconds, most_gap)
+    return [EMPTY | {"index": i, "text": t, "raw_text": t, "start_time_s": a, "end_time_s": b, "extraction_method": "transcript_merge"} for i, (t, a, b) in enumerate(rows)]
+
+
 def merge_transcript(sections: Column, most_words: int = 100, most_seconds: float = 60.0, most_gap: float = 8.0) -> Column:
-    """Array of merged sections of an array of timed sections."""
+    """Array of merged sections of an array of timed sections.
+
+    Only texts and times go to Python and back; the rest of a section is made here.
+    """
 
-    @F.pandas_udf(f"array<{SECTION}>")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([merge_segments([] if s is None else list(s), most_words, most_seconds, most_gap) for s in batch])
+    @F.pandas_udf("array<struct<text: string, start: double, end: double>>")
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        times = lambda values: [None if v is None or v != v else float(v) for v in values]
+        rows = zip(texts, starts, ends, strict=True)
+        return pd.Series([[] if t is None else merge_runs(list(t), times(a), times(b), most_words, most_seconds, most_gap) for t, a, b in rows], dtype=object)
 
-    return run(sections)
+    part = lambda k: F.transform(sections, lambda s: s[k])
+    merged = run(part("text"), part("start_time_s").cast("array<double>"), part("end_time_s").cast("array<double>"))
+    method = F.lit("transcript_merge")
+    return F.transform(merged, lambda m, i: section(index=i, text=m["text"], raw_text=m["text"], start_time_s=m["start"], end_time_s=m["end"], extraction_method=method))
 
 
 def captions_or_speech(captions: DataFrame, speech: DataFrame) -> DataFrame:
