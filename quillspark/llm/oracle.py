@@ -55,6 +55,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
+#: CRC-32 of the list `bytes`: the table of the reflected polynomial is made by its rule, and bytes are folded one by one.
+CRC_BITS = "list_reduce(list_prepend(c, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+OP4 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda c: {CRC_BITS}) AS t),
+texts AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+docs AS (
+  SELECT doc_id, source, size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS crc
+  FROM texts, crc),
+keyed AS (
+  SELECT *, md5('29:' || coalesce(doc_id::VARCHAR, '') || ':' || crc || ':' || size) AS key,
+         ('0x' || left(md5('29:' || (source IS NULL)::VARCHAR || ':' || coalesce(source, '')), 8))::BIGINT::DOUBLE / 4294967296 AS unit
+  FROM docs),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM keyed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank + unit) / n, source IS NULL, coalesce(source, ''), rank) - 1 AS place, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place * 24 // total)::INT AS shard,
+       (place - ((place * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
+
 OP6 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
@@ -92,4 +117,4 @@ cut AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_conta
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, len(kept)::BIGINT AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut
 """
 
-ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3, "op6_warc": OP6, "op8_embedding_dedup": OP8, "op9_line_dedup": OP9}
+ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_sharding": OP4, "op6_warc": OP6, "op8_embedding_dedup": OP8, "op9_line_dedup": OP9}

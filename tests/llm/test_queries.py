@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from quillspark.llm.oracle import ORACLES
 from quillspark.llm.queries import QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -168,6 +170,10 @@ def test_sharding(spark, messy, tables):
         slots[shard] += 1
     assert Counter(got) == Counter((i, size, crc, *rest) for (i, size, crc, *rest) in want)
 
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{messy}/documents.parquet/*.parquet'")
+    assert Counter(con.sql(ORACLES["op4_sharding"]).fetchall()) == Counter(got)
+
 
 def test_sharding_keeps_the_mixture(spark):
     from quillspark.llm import sharding
