@@ -118,3 +118,38 @@ SELECT page_id, host, len(lines)::BIGINT AS n_lines, len(kept)::BIGINT AS n_kept
 """
 
 ORACLES: dict = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_sharding": OP4, "op6_warc": OP6, "op8_embedding_dedup": OP8, "op9_line_dedup": OP9}
+
+#: Crossing batches with keyed state in plain SQL: a conversation closes after its first arrival that no other follows within three batches.
+OP13 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         ('0x' || left(sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn), 8))::BIGINT AS h
+  FROM conversations WHERE turn IS NOT NULL),
+dealt AS (
+  SELECT conv_id, turn, role, text, h % 8 AS batch FROM rows
+  UNION ALL SELECT conv_id, turn, 'user', text, (h + 3) % 8 FROM rows WHERE h % 7 < 2),
+arrived AS (
+  SELECT conv_id, turn, batch, min(struct_pack(payload := role || '|' || text, role := role)) AS m FROM dealt GROUP BY ALL),
+last AS (
+  SELECT conv_id, least(min(batch) + 3, 8) AS closed
+  FROM (SELECT conv_id, batch, lead(batch) OVER (PARTITION BY conv_id ORDER BY batch) AS after FROM (SELECT DISTINCT conv_id, batch FROM arrived))
+  WHERE after IS NULL OR after > batch + 3 GROUP BY 1),
+firsts AS (SELECT conv_id, min(turn) AS first FROM arrived GROUP BY 1),
+heard AS (SELECT a.*, closed FROM arrived a JOIN last l ON a.conv_id IS NOT DISTINCT FROM l.conv_id),
+kept AS (
+  SELECT h.conv_id, turn, min(batch) AS batch, min_by(m, batch) AS m, any_value(closed) AS closed, any_value(first) AS first
+  FROM heard h JOIN firsts f ON h.conv_id IS NOT DISTINCT FROM f.conv_id WHERE batch <= closed GROUP BY h.conv_id, turn),
+placed AS (
+  SELECT *, turn - first = row_number() OVER w - 1 AS run, max(batch) OVER w AS released,
+         coalesce(lag(turn) OVER w = turn - 1 AND lag(m.role) OVER w = m.role, false) AS breaks
+  FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'release' AS event, conv_id, turn, released AS batch, sha256(m.payload) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM placed WHERE run
+UNION ALL
+SELECT 'reject', conv_id, turn, batch, sha256(m.payload), NULL, NULL FROM heard WHERE batch > closed
+UNION ALL
+SELECT 'close', conv_id, -1, any_value(closed), sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (NOT run), '')),
+       (max(turn) - min(first) + 1 - count(*))::BIGINT, count(*) FILTER (breaks)::BIGINT
+FROM placed GROUP BY conv_id
+"""
+
+ORACLES |= {"op13_turn_reassembly": OP13}
