@@ -152,4 +152,68 @@ SELECT 'close', conv_id, -1, any_value(closed), sha256(coalesce(string_agg(turn:
 FROM placed GROUP BY conv_id
 """
 
-ORACLES |= {"op13_turn_reassembly": OP13}
+#: The same repairs by another way: costs, audits and lines of all states are carried from the last row to the first.
+_RETAINED = {"0": "u", "s": "u", "u": "a", "a": "u"}
+_NAME = {"u": "user", "a": "assistant"}
+
+
+def _choices(state: str) -> str:
+    to = _RETAINED[state]
+    kept = f"CASE WHEN free AND letter = '{to}' THEN {{c: v{to}.c + 5 * cut, a: 'K' || v{to}.a, r: list_prepend(role || ':' || text, v{to}.r)}} END"
+    again = f"CASE WHEN free THEN {{c: v{to}.c + 1 + 5 * cut, a: 'R' || v{to}.a, r: list_prepend('{_NAME[to]}:' || text, v{to}.r)}} END"
+    first = "CASE WHEN free AND letter = 's' THEN {c: vs.c + 5 * cut, a: 'K' || vs.a, r: list_prepend(role || ':' || text, vs.r)} END, " if state == "0" else ""
+    return f"list_sort([{first}{{c: v{state}.c + 2, a: 'D' || v{state}.a, r: v{state}.r}}, {kept}, {again}], 'ASC', 'NULLS LAST')[1] AS w{state}"
+
+
+def _inserted(state: str, to: str, of: str) -> str:
+    return f"list_sort([w{state}, {{c: {of}.c + 5, a: 'I' || {of}.a, r: list_prepend('{_NAME[to]}:', {of}.r)}}])[1]"
+
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda c: {CRC_BITS}) AS t),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 20 AS kind
+  FROM src, crc),
+marred AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM marred),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+         NOT regexp_matches(text, '[^ 	-
+]') AS blank, regexp_matches(text, '[.!?][ 	-
+]*\z') AS ended,
+         left(role, 1) AS letter
+  FROM ordered),
+placed AS MATERIALIZED (
+  SELECT *, NOT blank AND NOT again AS free, (NOT blank AND NOT again AND NOT ended)::BIGINT AS cut,
+         lag(letter) OVER (PARTITION BY conv_id ORDER BY k) || letter NOT IN ('su', 'ua', 'au') AS illegal
+  FROM turns),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut)::BIGINT AS truncated, count(*) FILTER (illegal) AS illegal, max(k) AS n
+  FROM placed GROUP BY 1),
+states AS (
+  SELECT conv_id, n + 1 AS k, {{c: 0::BIGINT, a: '', r: []::VARCHAR[]}} AS v0, {{c: 10::BIGINT, a: 'II', r: ['user:', 'assistant:']}} AS vs,
+         {{c: 5::BIGINT, a: 'I', r: ['assistant:']}} AS vu, {{c: 0::BIGINT, a: '', r: []::VARCHAR[]}} AS va
+  FROM counted
+  UNION ALL
+  SELECT conv_id, k, {_inserted("0", "u", "vu")}, {_inserted("s", "u", "vu")}, vu, va
+  FROM (SELECT conv_id, k, w0, ws, {_inserted("u", "a", "wa")} AS vu, {_inserted("a", "u", "wu")} AS va
+        FROM (SELECT p.conv_id, p.k, {", ".join(map(_choices, "0sua"))}
+              FROM states s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.k = s.k - 1)))
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost,
+       coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN counted c ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN states s ON d.conv_id IS NOT DISTINCT FROM s.conv_id AND s.k = 1
+"""
+
+ORACLES |= {"op12_conversation_repair": OP12, "op13_turn_reassembly": OP13}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, urls
-from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, reassembly, sharding, simhash, toxicity, url_filter, warc
+from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, reassembly, repair, sharding, simhash, toxicity, url_filter, warc
 from quillspark.llm.common import sized_join, word_count
 from quillspark.session import table
 from quillspark.storage import materialise
@@ -119,6 +119,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    damaged = repair.damage(turns, F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
+    return repair.summarise(*repair.repair_conversations(damaged))
+
+
 def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all conversations' turns as they arrive in eight batches."""
     turns = table(spark, sf_dir, "conversations")
@@ -127,4 +134,4 @@ def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event", "conv_id", "turn", "batch", F.sha2("payload", 256).alias("sha256"), "n_missing", "n_breaks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op7_toxicity, op8_embedding_dedup, op9_line_dedup, op10_language_id, op13_turn_reassembly)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op7_toxicity, op8_embedding_dedup, op9_line_dedup, op10_language_id, op12_conversation_repair, op13_turn_reassembly)}
