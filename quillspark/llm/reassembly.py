@@ -37,11 +37,17 @@ IDLE = 3
 STEP = 3_600_000
 #: Rows of a conversation that are put into order at once.
 CHUNK = 1000
+#: Whether the watermark that a start has reached fires timers in the same start; else in the next, which saves every other pass.
+NO_DATA = ("spark.sql.streaming.noDataMicroBatches.enabled",)
 EVENTS = "event string, conv_id long, turn long, batch long, kept_in long, waiting string, n_missing long, n_breaks long"
-#: Settings of the state store while the query runs; commits write what has changed instead of all files.
+#: Settings of the state store while the query runs: commits write what has changed instead of all files, a store leaves its
+#: executor's disk with its task, as the next start loads it anew, and files take no more room than they fill.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -69,7 +75,7 @@ class Reassembler(StatefulProcessor):
             return
         state = self.open.get() if self.open.exists() else None
         if state is not None and moment(state[3] + self.idle) <= timerValues.getCurrentWatermarkInMs():
-            # After a failure, the arrivals of a new batch may come together with timers of the one before.
+            # The arrivals of a start come before the timers that the batch before has made due.
             self.handle.deleteTimer(moment(state[3] + self.idle))
             yield self.close_conversation(conv_id, state)
             state = None
@@ -174,12 +180,13 @@ def reassemble(dealt: DataFrame, batches: int = 8, idle: int = IDLE) -> DataFram
     root = new_path(spark, "reassembly")
     arrivals(dealt).write.partitionBy("batch").parquet(f"{root}/arrivals")
     written = spark.read.schema("conv_id long, turn long, first long, role string, payload string, batch long").parquet(f"{root}/arrivals")
-    before = {k: spark.conf.get(k, None) for k in STORE}
+    before = {k: spark.conf.get(k, None) for k in (*STORE, *NO_DATA)}
     for setting, value in STORE.items():
         spark.conf.set(setting, value)
     try:
         # The last start has a tick alone, late enough for all timers.
         for batch in (*range(batches), batches + idle):
+            spark.conf.set(*NO_DATA, "true" if batch >= batches else "false")
             feed(spark, written, batch, f"{root}/feed")
             advance(spark, f"{root}/feed", "conv_id long, tick boolean, turn long, batch long, first long, role string, at timestamp", f"{root}/checkpoint", f"{root}/events", idle, batches)
     finally:
