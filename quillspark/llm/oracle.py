@@ -216,4 +216,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d
 LEFT JOIN counted c ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN states s ON d.conv_id IS NOT DISTINCT FROM s.conv_id AND s.k = 1
 """
 
-ORACLES |= {"op12_conversation_repair": OP12, "op13_turn_reassembly": OP13}
+OP11 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES |= {"op11_exact_dedup": OP11, "op12_conversation_repair": OP12, "op13_turn_reassembly": OP13}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, urls
-from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, reassembly, repair, sharding, simhash, toxicity, url_filter, warc
+from quillspark.llm import decontam, embed_dedup, langid, line_dedup, mixing, radix, reassembly, repair, sharding, simhash, toxicity, url_filter, warc
 from quillspark.llm.common import sized_join, word_count
 from quillspark.session import table
 from quillspark.storage import materialise
@@ -119,6 +119,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and survivor of every document among those of equal text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    found = radix.exact_groups(docs, F.col("doc_id"), F.col("text"), ["doc_id", "text_sha256"])
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every damaged conversation."""
     turns = table(spark, sf_dir, "conversations")
@@ -134,4 +141,4 @@ def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event", "conv_id", "turn", "batch", F.sha2("payload", 256).alias("sha256"), "n_missing", "n_breaks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op7_toxicity, op8_embedding_dedup, op9_line_dedup, op10_language_id, op12_conversation_repair, op13_turn_reassembly)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_decontamination, op4_sharding, op5_simhash, op6_warc, op7_toxicity, op8_embedding_dedup, op9_line_dedup, op10_language_id, op11_exact_dedup, op12_conversation_repair, op13_turn_reassembly)}
