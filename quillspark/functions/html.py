@@ -6,22 +6,41 @@ the five XML entities and the no-break space are decoded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import clean_markdown, word_count
 
-HIDDEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>"
-TAG = r"<[^>]*>"
+#: What is hidden up to its end, or to the end of the page if it has none; so no part of a page is searched twice.
+HIDDEN = r"(?is)<script\b[^>]*(?:\z|>.*?(?:</script\s*>|\z))|<style\b[^>]*(?:\z|>.*?(?:</style\s*>|\z))|<!--.*?(?:-->|\z)"
+#: Names of elements that end a line.
+BLOCK = r"(?i)\A/?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def without_tags(text: Column, named: Callable[[Column], Column], made: str) -> Column:
+    """`made` for each tag: from the first `<` whose following text is `named`, to the next `>`.
+
+    The text is cut behind each `>` and each part at `<`, which reads it once,
+    while a pattern reads on to the end at every `<` that nothing closes.
+    """
+
+    def kept(part: Column) -> Column:
+        pieces = F.split(part, "<")
+        at = F.array_position(F.transform(pieces, lambda x, k: (k > 0) & named(x)), True).cast("int")
+        head = F.concat(F.array_join(F.slice(pieces, F.lit(1), at - 1), "<"), F.lit(made))
+        return F.when(part.endswith(">") & (at > 0), head).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, "(?<=>)"), kept), "")
+
+
 def html_text(html: Column) -> Column:
     """Text with a line for each block."""
     text = F.regexp_replace(html, HIDDEN, "\n")
-    text = F.regexp_replace(text, BLOCK, "\n")
-    text = F.regexp_replace(text, TAG, "")
+    text = without_tags(text, lambda x: x.rlike(BLOCK), "\n")
+    text = without_tags(text, lambda x: F.lit(True), "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
@@ -33,24 +52,43 @@ def html_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-#: What becomes Markdown, in this order: pattern, and replacement with $1 and $2 for its groups.
-MARKDOWN = (
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", "\n"),
-    *((rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n") for level in range(1, 7)),
-    (r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", "\n```\n$1\n```\n"),
-    (r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`"),
-    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
-    (r'(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)"),
-    (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)</p\s*>", "\n\n"),
-)
+def elements(text: Column, name: str, made: Callable[[Column, Column], Column]) -> Column:
+    """What is made of an element's attributes and content; an element that another of its name opens within, or that nothing closes, stays."""
+    pieces = F.split(text, rf"(?i)<(?={name}\b)")
+
+    def element(piece: Column, i: Column) -> Column:
+        halves = F.split(piece, rf"(?i)</{name}\s*>", 2)
+        head = F.get(halves, F.lit(0))
+        attributes = F.substring_index(head, ">", 1)
+        content = F.substring(head, F.length(attributes) + 2, F.length(head))
+        whole = (F.size(halves) == 2) & F.contains(head, F.lit(">"))
+        return F.when(i == 0, piece).when(whole, F.concat(made(attributes, content), F.get(halves, F.lit(1)))).otherwise(F.concat(F.lit("<"), piece))
+
+    return F.array_join(F.transform(pieces, element), "")
+
+
+def _link(attributes: Column, content: Column) -> Column:
+    href = F.regexp_extract(attributes, r'(?i)\bhref\s*=\s*"([^"]*)"', 1)
+    given = attributes.rlike(r'(?i)\bhref\s*=\s*"[^"]*"')
+    return F.when(given, F.concat(F.lit("["), content, F.lit("]("), href, F.lit(")"))).otherwise(F.concat(F.lit("<"), attributes, F.lit(">"), content))
+
+
+def _around(before: str, after: str, trimmed: bool = False) -> Callable[[Column, Column], Column]:
+    return lambda attributes, content: F.concat(F.lit(before), F.btrim(content, F.lit("\t\n\x0b\x0c\r ")) if trimmed else content, F.lit(after))
 
 
 def markdown(html: Column) -> Column:
     """Markdown of a page: headings, list items, links, emphasis and code; all else as `html_text` gives it."""
     own = F.regexp_replace(html, HIDDEN, "\n")
-    for pattern, made in MARKDOWN:
-        own = F.regexp_replace(own, pattern, made)
+    own = elements(own, "head", lambda attributes, content: F.lit("\n"))
+    for level in range(1, 7):
+        own = elements(own, f"h{level}", _around("\n\n" + "#" * level + " ", "\n\n", trimmed=True))
+    own = elements(own, "pre", _around("\n```\n", "\n```\n"))
+    own = elements(own, "code", _around("`", "`"))
+    own = elements(own, "(?:b|strong)", _around("**", "**"))
+    own = elements(own, "a", _link)
+    own = without_tags(own, lambda x: x.rlike(r"(?i)\Ali\b"), "\n- ")
+    own = without_tags(own, lambda x: x.rlike(r"(?i)\A/p\s*>"), "\n\n")
     return clean_markdown(html_text(own))
 
 

@@ -417,7 +417,19 @@ def apply_candidates(spark, sf_dir):
     return discovery.apply_candidates(fresh_candidates(spark, sf_dir)).select("source_id", "local_path", "priority", "split", "enabled")
 
 
-BLOCK_RE, HIDDEN_RE = H.BLOCK, H.HIDDEN.replace("(?is)", "(?is)")
+# The same rules as patterns, which only SQL uses: on long pages they are slower than the columns' way.
+HIDDEN_RE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+BLOCK_RE = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>"
+MARKDOWN_RE = (
+    (r"(?is)<head\b[^>]*>.*?</head\s*>", "\n"),
+    *((rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n") for level in range(1, 7)),
+    (r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", "\n```\n$1\n```\n"),
+    (r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`"),
+    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
+    (r'(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)"),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)</p\s*>", "\n\n"),
+)
 HTML = f"regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN_RE}', chr(10), 'g'), '{BLOCK_RE}', chr(10), 'g'), '<[^>]*>', '', 'g')"
 for _entity, _char in H.ENTITIES:
     HTML = f"replace({HTML}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
@@ -467,15 +479,14 @@ def vtt_parse(spark, sf_dir):
 
 
 def timed(spark, sf_dir) -> DataFrame:
-    """Segments of eight words of each document, nine seconds each, with a pause after every seventh."""
-    w = F.filter(F.split("text", " "), lambda x: ~x.rlike(r"[^a-zA-Z]") & (x != ""))
+    """Segments of eight words, and all words, of each document, nine seconds each, with a pause after every seventh."""
     last = F.floor(F.size("w") / 8).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda k: S.section(index=k, text=F.array_join(F.slice("w", k * 8 + 1, 8), " "), start_time_s=k * 9.0 + F.floor(k / 7) * 20, end_time_s=k * 9.0 + F.floor(k / 7) * 20 + 9))
-    return documents(spark, sf_dir).withColumn("w", w).select("doc_id", parts.alias("sections"))
+    return documents(spark, sf_dir).withColumn("w", T.words(F.col("text"))).select("doc_id", parts.alias("sections"))
 
 
 MERGED = f"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '[^a-zA-Z]')) AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, {D.words("text")} AS w FROM documents),
 raw AS (SELECT doc_id, k, array_to_string(w[k * 8 + 1:k * 8 + 8], ' ') AS text, k * 9 + k // 7 * 20 AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) // 8 + 1)) AS k FROM w)),
 seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, text, s FROM raw WHERE text <> ''),
 fold AS (
@@ -1076,7 +1087,7 @@ def eval_report(spark, sf_dir):
 
 def markdown_sql(text: str) -> str:
     own = f"regexp_replace({text}, '{HIDDEN_RE}', chr(10), 'g')"
-    for pattern, made in H.MARKDOWN:
+    for pattern, made in MARKDOWN_RE:
         to = made.replace("$", chr(92)).replace(chr(10), "' || chr(10) || '")
         own = f"regexp_replace({own}, '{pattern}', '{to}', 'g')"
     own = f"regexp_replace(regexp_replace(regexp_replace({own}, '{HIDDEN_RE}', chr(10), 'g'), '{BLOCK_RE}', chr(10), 'g'), '<[^>]*>', '', 'g')"
