@@ -5,39 +5,62 @@ paragraphs, then sentences, then words; parts are packed into chunks in order;
 chunks that are too small join a neighbour or go; chunks cut from long sections
 begin with the last words of the one before.
 
-Packing and joining only need the number of words of each part, so the fold
-works on integers and the texts are joined once at the end. It is sequential
-within a document and independent between documents; it runs as an Arrow UDF
-over arrays of sections, and nothing is shuffled.
+All of it is expressions over a document's arrays, in the JVM: three folds, of
+pieces to parts, of parts to packs and of packs to chunks. What a fold has open
+holds no more than a part, a pack or two of them; what is done is appended once.
+Nothing is shuffled, and documents don't depend on each other.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 SECTION = (
     "struct<index: int, text: string, raw_text: string, heading: string, page_number: int, slide_number: int, "
     "start_time_s: double, end_time_s: double, speaker: string, confidence: double, extraction_method: string>"
 )
-CHUNK = (
-    "struct<chunk_index: int, text: string, word_count: int, source_section_indexes: array<int>, source_headings: array<string>, "
-    "source_pages: array<int>, source_slides: array<int>, start_time_s: double, end_time_s: double, split_reason: string>"
-)
 SINGLE, MERGED, SPLIT = "single_section", "merged_small_sections", "split_oversized_section"
+#: What a chunk says of the sections it comes from.
+ORIGIN = ("heading", "page_number", "slide_number", "start_time_s", "end_time_s")
+ORIGINS = "struct<heading: string, page_number: int, slide_number: int, start_time_s: double, end_time_s: double>"
+#: A piece of a section: `sec` counts sections, `kind` is how it may be joined, `run` counts the sentences that were cut into words.
+PIECE = f"struct<sec: int, index: int, text: string, n: int, kind: string, run: int, origin: {ORIGINS}>"
+PART = f"struct<sec: int, index: int, text: string, n: int, origin: {ORIGINS}, cut: boolean, opens: boolean>"
+#: A pack of parts, and a chunk made of packs.
+PACK = f"struct<n: int, sections: array<int>, reason: string, texts: array<string>, origins: array<{ORIGINS}>>"
+WHOLE, TEXT, WORD = "whole", "text", "word"
+Measure = Callable[[Column], Column]
+
+
+def each(size: Callable[[Column], Column]) -> Measure:
+    """A measure of arrays of texts from an expression for one text."""
+    return lambda texts: F.transform(texts, size)
+
+
+def counter(size: Callable[[str], int]) -> Measure:
+    """A measure of arrays of texts from a Python function for one text (a tokenizer's count, say), by Arrow batches."""
+
+    @F.pandas_udf("array<int>")
+    def measured(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if texts is None else [None if t is None else size(t) for t in texts] for texts in batch])
+
+    return measured.asNondeterministic()  # else projects are merged, and a Python function can't stand inside another expression's lambda
 
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in words, or in the unit that `size` counts in a text (tokens, say).
+    """Sizes in words, or in the unit that `size` measures: array of texts to array of int.
 
-    Long sentences are cut after words, so that no part holds more than `most`
-    unless a single word does; overlap is always in words.
+    A long sentence is cut after words whose own sizes add up to `most` at most,
+    so that no part holds more than `most` unless a single word does; overlap is
+    always in words.
     """
 
     target: int = 450
@@ -45,153 +68,193 @@ class ChunkConfig:
     least: int = 120
     overlap: int = 60
     keep_boundaries: bool = False
-    size: Callable[[str], int] | None = None
+    size: Measure | None = None
 
     def __post_init__(self) -> None:
         if self.target <= 0 or self.most < self.target or self.least < 0 or self.overlap < 0:
             raise ValueError("sizes must satisfy 0 < target <= most, least >= 0 and overlap >= 0")
 
 
-def words_in(text: str) -> int:
-    return len(text.split())
-
-
-def _runs(words: list[str], most: int, size: Callable[[str], int]) -> Iterator[tuple[int, str]]:
-    """Runs of words of `most` units at most."""
-    at = 0
-    while at < len(words):
-        end = min(at + most, len(words))
-        while end > at + 1 and size(" ".join(words[at:end])) > most:
-            end = at + max(1, (end - at) * 3 // 4)
-        run = " ".join(words[at:end])
-        yield size(run), run
-        at = end
-
-
-def _strings(text: str, most: int, size: Callable[[str], int]):
-    """Pieces of a long section, with the units of each, and whether it must stand alone."""
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n+", text))):
-        for piece in [paragraph] if size(paragraph) <= most else re.split(r"(?<=[.!?])\s+", paragraph):
-            n = size(piece)
-            if n > most:
-                yield from ((*run, True) for run in _runs(piece.split(), most, size))
-            elif piece.strip():
-                yield n, piece.strip(), False
-
-
-def parts_of(text: str, most: int, size: Callable[[str], int] = words_in) -> list[tuple[int, str]]:
-    """(units, text) of the parts of a section; one part if it isn't long."""
-    whole = size(text)
-    if whole <= most:
-        return [(whole, text)]
-    parts, held, words = [], [], 0
-    for n, piece, alone in _strings(text, most, size):
-        if words and (alone or words + n > most):
-            parts.append((words, "\n\n".join(held)))
-            held, words = [], 0
-        if alone:
-            parts.append((n, piece))
-        else:
-            held, words = [*held, piece], words + n
-    if held:
-        parts.append((words, "\n\n".join(held)))
-    return parts
-
-
-@dataclass
-class _Pack:
-    """A chunk as the numbers of its parts."""
-
-    parts: list[int]
-    words: int
-    sections: list[int]
-    reason: str
-
-    def joined(self, other: _Pack) -> _Pack:
-        sections = self.sections + [s for s in other.sections if s not in self.sections]
-        reason = MERGED if len(sections) > 1 else SPLIT if other.reason == SPLIT else self.reason
-        return _Pack(self.parts + other.parts, self.words + other.words, sections, reason)
-
-
-def pack(parts: list[tuple[int, int, bool, bool]], config: ChunkConfig) -> list[_Pack]:
-    """Packs of parts (words, section, first of its section, section was cut)."""
-    packs: list[_Pack] = []
-    now: _Pack | None = None
-    for number, (words, section, first, cut) in enumerate(parts):
-        if now and (now.words + words > config.most or (config.keep_boundaries and first and section != now.sections[-1])):
-            packs.append(now)
-            now = None
-        now = now or _Pack([], 0, [], SINGLE)
-        now.parts.append(number)
-        now.words += words
-        if section not in now.sections:
-            now.sections.append(section)
-        now.reason = SPLIT if cut else MERGED if len(now.sections) > 1 else SINGLE
-        if now.words >= config.target:
-            packs.append(now)
-            now = None
-    return packs + ([now] if now else [])
-
-
-def join_small(packs: list[_Pack], config: ChunkConfig) -> list[_Pack]:
-    """Packs of `least` words: small ones go into the next, else the last kept, else they are dropped."""
-    if not config.least or len(packs) < 2:
-        return packs
-    kept: list[_Pack] = []
-    seen: list[_Pack] = []
-    carried: _Pack | None = None
-    for number, own in enumerate(packs):
-        own = carried.joined(own) if carried else own
-        carried = None
-        if own.words >= config.least:
-            kept.append(own)
-        elif number + 1 < len(packs) and own.words + packs[number + 1].words <= config.most:
-            carried = own
-        elif kept and kept[-1].words + own.words <= config.most:
-            kept[-1] = kept[-1].joined(own)
-        seen.append(own)
-    return kept or [max(seen, key=lambda p: p.words)]
-
-
-def chunk_sections(sections: list[dict], config: ChunkConfig) -> list[dict]:
-    """Chunks of one document."""
-    numbers, texts, whose = [], [], []
-    for section in sections:
-        cut = parts_of(section["text"] or "", config.most, config.size or words_in)
-        for k, (words, text) in enumerate(cut):
-            if words:
-                numbers.append((words, section["index"], k == 0, len(cut) > 1))
-                texts.append(text.strip())
-                whose.append(section)
-    chunks, tail = [], ""
-    for index, own in enumerate(join_small(pack(numbers, config), config)):
-        body = "\n\n".join(texts[p] for p in own.parts)
-        text = f"{tail}\n\n{body}" if tail and own.reason == SPLIT else body
-        tail = " ".join(body.split()[-config.overlap :]) if config.overlap and own.reason == SPLIT else ""
-        from_ = [whose[p] for p in own.parts]
-        every = lambda key, from_=from_: sorted({s[key] for s in from_ if s.get(key) is not None})
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def changed(x: Column, **new: Column) -> Column:
+    return F.struct(*[new.get(c, x[c]).alias(c) for c in ("sec", "index", "text", "n", "kind", "run", "origin")])
+
+
+def sized(out: DataFrame, size: Measure) -> DataFrame:
+    """Pieces `_p` with their sizes where these aren't known yet."""
+    measured = out.withColumn("_n", size(F.transform("_p", lambda x: F.when(x["n"].isNull(), x["text"]))))
+    return measured.withColumn("_p", F.zip_with("_p", "_n", lambda x, n: changed(x, n=F.coalesce(x["n"], n).cast("int")))).drop("_n")
+
+
+def counted(out: DataFrame) -> DataFrame:
+    return out.withColumn("_p", F.transform("_p", lambda x: changed(x, n=F.coalesce(x["n"], T.word_count(x["text"])).cast("int"))))
+
+
+def cut_where_long(pieces: str, most: int, cut: Callable[[Column], Column], kind: str) -> Column:
+    """Pieces of more than `most` units as what `cut` makes of their text, which isn't sized."""
+
+    def smaller(x: Column, i: Column) -> Column:
+        parts = F.transform(cut(x["text"]), lambda t: changed(x, text=t, n=F.lit(None).cast("int"), kind=F.lit(kind), run=i.cast("int")))
+        return F.when(x["n"] > most, parts).otherwise(F.array(x))
+
+    return F.flatten(F.transform(pieces, smaller))
+
+
+def parts(pieces: str, most: int) -> Column:
+    """Parts of `most` units at most: pieces of a section joined in order; runs of words stand alone."""
+    start = F.struct(none(PIECE).alias("done"), F.lit(None).cast(f"struct<n: int, texts: array<string>, last: {PIECE}>").alias("open"))
+
+    def closed(acc: Column) -> Column:
+        now = acc["open"]
+        text = F.when(now["last"]["kind"] == WORD, F.array_join(now["texts"], " ")).otherwise(F.array_join(now["texts"], "\n\n"))
+        return F.when(now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(changed(now["last"], text=text, n=now["n"]))))
+
+    def add(acc: Column, x: Column) -> Column:
+        now, last = acc["open"], acc["open"]["last"]
+        alike = (x["kind"] != WHOLE) & (last["kind"] == x["kind"]) & (last["sec"] == x["sec"]) & ((x["kind"] != WORD) | (last["run"] == x["run"]))
+        joins = F.coalesce(alike & ((now["n"] + x["n"] <= most) | (now["n"] == 0)), F.lit(False))
+        n = F.when(joins, now["n"] + x["n"]).otherwise(x["n"])
+        texts = F.when(joins, F.concat(now["texts"], F.array(x["text"]))).otherwise(F.array(x["text"]))
+        return F.struct(F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"), F.struct(n.alias("n"), texts.alias("texts"), x.alias("last")).alias("open"))
+
+    return F.aggregate(pieces, start, add, closed)
+
+
+def beside_others(made: str) -> Column:
+    """Parts with text, and whether their section was cut and begins with them."""
+
+    nothing = F.array(F.lit(None).cast("int"))
+
+    def placed(all_: Column) -> Column:
+        whose = F.transform(all_, lambda x: x["sec"])
+        before = F.slice(F.concat(nothing, whose), F.lit(1), F.size(all_))
+        after = F.concat(F.slice(whose, F.lit(2), F.greatest(F.size(all_), F.lit(1))), F.slice(nothing, F.lit(1), F.size(all_)))
+        pairs = F.zip_with(all_, before, lambda x, b: F.struct(x.alias("x"), (~b.eqNullSafe(x["sec"])).alias("opens")))
+        zipped = F.zip_with(pairs, after, lambda z, a: F.struct(z["x"].alias("x"), z["opens"].alias("opens"), (~a.eqNullSafe(z["x"]["sec"])).alias("ends")))
+        row = lambda z: F.struct(
+            *[z["x"][c].alias(c) for c in ("sec", "index")], T.strip(z["x"]["text"]).alias("text"), *[z["x"][c].alias(c) for c in ("n", "origin")],
+            (~z["opens"] | ~z["ends"]).alias("cut"), z["opens"].alias("opens"),
+        )
+        return F.filter(F.transform(zipped, row), lambda x: x["n"] > 0)
+
+    return let(F.col(made), placed)
+
+
+def packs(made: str, config: ChunkConfig) -> Column:
+    """Parts packed in order: a pack ends at `target` units, or before `most` would be exceeded."""
+    start = F.struct(none(PACK).alias("done"), F.lit(None).cast(PACK).alias("open"))
+    done = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+
+    def extended(now: Column, x: Column) -> Column:
+        known = F.when(F.array_contains(now["sections"], x["index"]), now["sections"]).otherwise(F.concat(now["sections"], F.array(x["index"])))
+        sections = F.coalesce(known, F.array(x["index"]))
+        reason = F.when(x["cut"], SPLIT).when(F.size(sections) > 1, MERGED).otherwise(SINGLE)
+        return F.struct(
+            (F.coalesce(now["n"], F.lit(0)) + x["n"]).alias("n"), sections.alias("sections"), reason.alias("reason"),
+            F.coalesce(F.concat(now["texts"], F.array(x["text"])), F.array(x["text"])).alias("texts"), F.coalesce(F.concat(now["origins"], F.array(x["origin"])), F.array(x["origin"])).alias("origins"),
+        )
+
+    def add(acc: Column, x: Column) -> Column:
+        full = acc["open"]["n"] + x["n"] > config.most
+        if config.keep_boundaries:
+            full = full | (x["opens"] & (F.element_at(acc["open"]["sections"], -1) != x["index"]))
+        fresh = F.coalesce(full, F.lit(True))
+        now = F.when(~fresh, acc["open"])
+        return let(F.struct(F.when(fresh, done(acc)).otherwise(acc["done"]).alias("done"), extended(now, x).alias("open")), lambda a: F.struct(F.when(a["open"]["n"] >= config.target, done(a)).otherwise(a["done"]).alias("done"), F.when(a["open"]["n"] < config.target, a["open"]).alias("open")))
+
+    return F.aggregate(made, start, add, done)
+
+
+def joined(one: Column, two: Column) -> Column:
+    """Two packs as one."""
+    sections = F.array_union(one["sections"], two["sections"])
+    reason = F.when(F.size(sections) > 1, MERGED).when(two["reason"] == SPLIT, SPLIT).otherwise(one["reason"])
+    return F.struct((one["n"] + two["n"]).alias("n"), sections.alias("sections"), reason.alias("reason"), F.concat(one["texts"], two["texts"]).alias("texts"), F.concat(one["origins"], two["origins"]).alias("origins"))
+
+
+def without_small(made: str, config: ChunkConfig) -> Column:
+    """Packs of `least` units: a small one goes into the next, else into the last that was kept, else it is dropped; if none is left, the largest stays."""
+    if not config.least:
+        return F.col(made)
+    start = F.struct(none(PACK).alias("kept"), F.lit(None).cast(PACK).alias("carried"), F.lit(None).cast(PACK).alias("largest"))
+
+    def add(acc: Column, x: Column) -> Column:
+        def judged(own: Column) -> Column:
+            last = F.try_element_at(acc["kept"], F.lit(-1))
+            large = own["n"] >= config.least
+            carries = ~large & F.coalesce(own["n"] + x["next"] <= config.most, F.lit(False))
+            back = ~large & ~carries & (F.size(acc["kept"]) > 0) & F.coalesce(last["n"] + own["n"] <= config.most, F.lit(False))
+            kept = F.when(large, F.concat(acc["kept"], F.array(own))).when(back, F.concat(F.slice(acc["kept"], F.lit(1), F.size(acc["kept"]) - 1), F.array(joined(last, own)))).otherwise(acc["kept"])
+            largest = F.when(F.coalesce(own["n"] <= acc["largest"]["n"], F.lit(False)), acc["largest"]).otherwise(own)
+            return F.struct(kept.alias("kept"), F.when(carries, own).alias("carried"), largest.alias("largest"))
+
+        return let(F.when(acc["carried"].isNull(), x["pack"]).otherwise(joined(acc["carried"], x["pack"])), judged)
+
+    def folded(all_: Column) -> Column:
+        sizes = F.transform(all_, lambda p: p["n"])
+        after = F.concat(F.slice(sizes, F.lit(2), F.greatest(F.size(all_), F.lit(1))), F.array(F.lit(None).cast("int")))
+        rows = F.zip_with(all_, F.slice(after, F.lit(1), F.size(all_)), lambda p, n: F.struct(p.alias("pack"), n.alias("next")))
+        end = F.aggregate(rows, start, add, lambda acc: F.when(F.size(acc["kept"]) > 0, acc["kept"]).otherwise(F.array(acc["largest"])))
+        return F.when(F.size(all_) < 2, all_).otherwise(end)
+
+    return let(F.col(made), folded)
+
+
+def chunk_structs(made: str, config: ChunkConfig) -> Column:
+    """Packs as chunks, with the last words of the one before where both were cut from long sections."""
+
+    def of_bodies(bodies: Column) -> Column:
+        tails = F.transform(bodies, lambda b: F.when(F.lit(config.overlap > 0) & (b["reason"] == SPLIT), b["tail"]))
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), tails), F.lit(1), F.size(bodies))
+        texts = F.zip_with(bodies, before, lambda b, t: F.struct(b.alias("b"), F.when((b["reason"] == SPLIT) & t.isNotNull(), F.concat(t, F.lit("\n\n"), b["body"])).otherwise(b["body"]).alias("text")))
+        return F.transform(texts, chunk)
+
+    def chunk(x: Column, i: Column) -> Column:
+        def every(field: str) -> Column:
+            return F.array_sort(F.array_distinct(F.filter(F.transform(x["b"]["origins"], lambda o: o[field]), lambda v: v.isNotNull())))
+
         starts, ends = every("start_time_s"), every("end_time_s")
-        timed = bool(starts and ends)
-        chunks.append({
-            "chunk_index": index, "text": text, "word_count": len(text.split()), "source_section_indexes": sorted(own.sections),
-            "source_headings": [h for h in every("heading") if h], "source_pages": every("page_number"), "source_slides": every("slide_number"),
-            "start_time_s": starts[0] if timed else None, "end_time_s": ends[-1] if timed else None, "split_reason": own.reason,
-        })
-    return chunks
+        timed = (F.size(starts) > 0) & (F.size(ends) > 0)
+        return F.struct(
+            i.cast("int").alias("chunk_index"), x["text"].alias("text"), T.word_count(x["text"]).alias("word_count"), F.array_sort(x["b"]["sections"]).alias("source_section_indexes"),
+            F.filter(every("heading"), lambda h: h != "").alias("source_headings"), every("page_number").alias("source_pages"), every("slide_number").alias("source_slides"),
+            F.when(timed, F.get(starts, F.lit(0))).alias("start_time_s"), F.when(timed, F.get(ends, F.size(ends) - 1)).alias("end_time_s"), x["b"]["reason"].alias("split_reason"),
+        )
 
+    def body(p: Column) -> Column:
+        return let(F.array_join(p["texts"], "\n\n"), lambda t: F.struct(t.alias("body"), p["sections"], p["origins"], p["reason"], F.when(p["reason"] == SPLIT, last_words(t)).alias("tail")))
 
-def chunks(sections: Column, config: ChunkConfig | None = None) -> Column:
-    """Array of chunks of an array of sections; null has none."""
-    config = config or ChunkConfig()
+    def last_words(t: Column) -> Column:
+        return let(T.words(t), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - max(config.overlap, 1) + 1, F.lit(1)), F.lit(max(config.overlap, 1))), " "))
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([chunk_sections([] if s is None else list(s), config) for s in batch])
+    return let(F.transform(made, body), of_bodies)
 
-    return run(sections)
+
+def with_chunks(docs: DataFrame, sections: str, config: ChunkConfig) -> DataFrame:
+    """`docs` with the array `_chunks`; documents without sections have none."""
+    size = (lambda out: sized(out, config.size)) if config.size else counted
+    origin = lambda s: F.struct(*[s[c].alias(c) for c in ORIGIN])
+    piece = lambda s, i: F.struct(i.cast("int").alias("sec"), s["index"].alias("index"), F.coalesce(s["text"], F.lit("")).alias("text"), F.lit(None).cast("int").alias("n"), F.lit(WHOLE).alias("kind"), F.lit(0).alias("run"), origin(s).alias("origin"))
+    out = size(docs.withColumn("_p", F.transform(F.coalesce(sections, none(SECTION)), piece)))
+    for cut, kind in ((T.paragraphs, TEXT), (T.sentences, TEXT), (T.words, WORD)):
+        out = size(out.withColumn("_p", cut_where_long("_p", config.most, cut, kind)))
+    out = out.withColumn("_p", parts("_p", config.most)).withColumn("_p", beside_others("_p"))
+    return out.withColumn("_p", packs("_p", config)).withColumn("_p", without_small("_p", config)).withColumn("_chunks", chunk_structs("_p", config)).drop("_p")
 
 
 def chunk_documents(docs: DataFrame, sections: str = "sections", config: ChunkConfig | None = None) -> DataFrame:
-    """A row for each chunk: all columns of `docs` but the sections, and those of the chunk."""
+    """A row for each chunk: all columns of `docs` but the sections, and those of the chunk.
+
+    `explode` would have its input filtered by size first, which chunks twice.
+    """
     keep = [c for c in docs.columns if c != sections]
-    return docs.withColumn("_chunks", chunks(F.col(sections), config)).select(*keep, F.explode("_chunks").alias("chunk")).select(*keep, "chunk.*")
+    made = with_chunks(docs, sections, config or ChunkConfig())
+    return made.select(*keep, F.explode_outer("_chunks").alias("chunk")).filter("chunk is not null").select(*keep, "chunk.*")

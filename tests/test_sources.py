@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import cli
 from quillspark.functions import html
 from quillspark.functions import names as N
-from quillspark.operators import chunking, discovery, evaluation, selection, transcript
+from quillspark.operators import discovery, evaluation, selection, transcript
 from quillspark.order import ordinal
 from quillspark.sources import files, manifest, pdf, speech
 
@@ -113,14 +113,6 @@ def test_places_are_global(spark):
     assert all(r["at"] == r["v"] for r in got)
 
 
-def test_sizes_in_another_unit():
-    text = "one two three. " * 20
-    chars = chunking.ChunkConfig(target=40, most=60, least=0, overlap=0, size=len)
-    sections = [{"index": 0, "text": text.strip()}, {"index": 1, "text": "y" * 200 + " end"}]
-    got = chunking.chunk_sections(sections, chars)
-    assert all(len(c["text"]) <= 70 or "y" * 200 in c["text"] for c in got) and " ".join(c["text"] for c in got).split() == [w for s in sections for w in s["text"].split()]
-
-
 def test_judges_may_fail(spark):
     rows = spark.createDataFrame([(i, "src", "{}", i != 4) for i in range(5)], "task_id long, source_content string, raw_output string, json_valid boolean")
     said = F.when(F.col("task_id") == 0, '{"groundedness":4,"completeness":3,"schema_quality":5}').when(F.col("task_id") == 1, '{"groundedness":0,"completeness":3,"schema_quality":5}').when(F.col("task_id") == 2, "no")
