@@ -195,7 +195,7 @@ def repair_conversations(turns: DataFrame, rows: int = ROWS, size: int = BYTES,
     return whole, repair_long(turns.join(long, same, "left_semi"), block) if some else None
 
 
-def block_tables(key, table: pa.Table) -> pa.Table:
+def block_tables(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Costs from each state to each other, and the first and last initials, of a block."""
     rows = table.sort_by("pos").to_pylist()
     turns = [(r["initial"], r["n"], r["retainable"], r["cut"]) for r in rows]
@@ -210,7 +210,7 @@ PATHS = "key string, block long, leaves array<long>"
 STATES = "key string, block long, state long"
 
 
-def exit_costs(key, table: pa.Table) -> pa.Table:
+def exit_costs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """What leaving each block in each state costs, from the last block to the first; whether its border is illegal."""
     rows = table.sort_by("block").to_pylist()
     exits, out = LAST, []
@@ -221,7 +221,7 @@ def exit_costs(key, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, arrow_schema(EXITS))
 
 
-def block_paths(key, table: pa.Table) -> pa.Table:
+def block_paths(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The state in which a block is left, for each in which it is entered."""
     rows = table.sort_by("pos").to_pylist()
     turns = [(r["initial"], r["n"], r["retainable"], r["cut"]) for r in rows]
@@ -234,7 +234,7 @@ def block_paths(key, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{"key": key[0].as_py(), "block": key[1].as_py(), "leaves": leaves}], arrow_schema(PATHS))
 
 
-def entered(key, table: pa.Table) -> pa.Table:
+def entered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The state in which each block is entered, from the first to the last."""
     state, out = START, []
     for r in table.sort_by("block").to_pylist():
@@ -243,7 +243,7 @@ def entered(key, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, arrow_schema(STATES))
 
 
-def mend_block(key, table: pa.Table) -> pa.Table:
+def mend_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A piece: a block's part of the repair; what it costs is the difference of what its ends cost."""
     rows = table.sort_by("pos").to_pylist()
     turns, found = examine(rows, None)

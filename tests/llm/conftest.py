@@ -9,6 +9,7 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int, row string",
     "pages": "page_id long, url string, html string, host string, lines string, digest string",
     "benchmark": "item_id long, text string, words string, window string",
+    "conversations": "conv_id long, turn long, role string, text string, row string, n int, batch int, first int, block int, key string",
     "embeddings": "vec_id long, embedding array<float>, label int, id long, part int",
 }
 WORDS = {
@@ -41,6 +42,25 @@ def make_documents() -> list[tuple]:
     return [(i, t, lang, s, len(t or ""), "x", 1, 2, 3, "w", "l") for i, t, lang, s in rows]
 
 
+def make_conversations() -> list[tuple]:
+    """Ordinary ones, and some with nulls in any column, ties, repeated rows, gaps, odd roles and a length that needs blocks."""
+    rng = random.Random(8)
+    roles = ["user", "assistant"]
+    rows = []
+    for c in range(60):
+        begin = c % 2
+        rows += [(c, begin + k, "system" if begin == 0 and k == 0 and c % 4 == 0 else roles[(k + (c % 4 == 0)) % 2], sentence(rng, "en", rng.randint(0, 6)) + rng.choice([".", "?", "!", "", " .\n", "\u00a0"])) for k in range(rng.randint(1, 9))]
+    rows += [(100, k, rng.choice([*roles, "tool", "user"]), rng.choice(["yes.", "no", "", f"turn {k}."])) for k in range(300)]
+    rows += [(100, 7, "user", "yes.")] * 40
+    rows += [
+        (200, None, "user", "first."), (200, None, "user", "first."), (200, None, None, None), (200, 3, "assistant", "b."), (200, 3, "assistant", "a."), (200, 3, "assistant", "a."),
+        (201, None, "user", "alone."), (202, 5, None, "x."), (202, 6, "", "y."), (202, -3, "assistant", "z"), (203, 1, "user", " \t\n "), (203, 2, "ux", "odd."), (203, 9, "user", "far."),
+        (None, 1, "user", "nobody's."), (None, 2, "assistant", "nobody's?"), (None, None, None, None), (204, 1, "user", "long " * 30000 + "."), (204, 2, "assistant", "ü" * 9000),
+        (205, 1, "a|b", "c"), (205, 1, "a", "b|c"), (205, 2, "a", "d|"), (205, 2, "a", "d|"),
+    ]
+    return [(*r, "x", 1, 2, 3, 4, "k") for r in rows]
+
+
 def make_tables() -> dict[str, list[tuple]]:
     rng = random.Random(6)
     docs = make_documents()
@@ -64,6 +84,7 @@ def make_tables() -> dict[str, list[tuple]]:
         "labels": [(d[0], int(d[0] % 4 > 0), int(d[0] % 5 == 0), "r") for d in docs if d[0] is not None and d[0] < 150] + [(1, None, None, "r"), (1, 1, 0, "r"), (9999, 1, 1, "r"), (None, 0, 1, "r")],
         "pages": pages,
         "benchmark": [(1, passage, "w", "w"), (2, "Word", "w", "w"), (3, None, "w", "w"), (4, "?!", "w", "w"), (10, passage.upper(), "w", "w"), (None, docs[20][1], "w", "w"), (5, docs[21][1], "w", "w"), (5, docs[21][1], "w", "w"), (6, "never seen anywhere at all", "w", "w")],
+        "conversations": make_conversations(),
         "embeddings": [(i, v, lab, 7, 8) for i, v, lab in vectors + odd],
     }
 
