@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from quillspark import storage
 from quillspark.functions import html
 from quillspark.functions import text as T
-from quillspark.operators import chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript
+from quillspark.operators import answers, chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript, validation
 from quillspark.session import get_session
 from quillspark.sources import files, manifest
-from quillspark.streaming import incremental
 
 
 def build_pack(args: argparse.Namespace) -> int:
@@ -88,9 +87,10 @@ def enrich(args: argparse.Namespace) -> int:
     """Notes for the tasks that have none, by a model given as package.module:function."""
     spark = get_session("enrich")
     tasks = spark.read.json(args.tasks)
-    before = lambda name: incremental._ids(spark, f"{args.out}/{name}")
+    before = lambda name: storage.committed(spark, args.out, name, "task_id string")
+    store = answers.AnswerStore(spark, f"{args.out}/answers")
     try:
-        enrichment.run(tasks, before("notes"), before("rejects"), service(args.model), args.out, args.sample, args.most_rejects).show(truncate=False)
+        enrichment.run(tasks, before("notes"), before("rejects"), service(args.model), args.out, args.sample, args.most_rejects, store, args.model).show(truncate=False)
     except enrichment.TooManyRejects as error:
         print(error)
         return 1
@@ -101,19 +101,11 @@ def evaluate(args: argparse.Namespace) -> int:
     """Metrics of a model, given as package.module:function, over references; answers are kept for the next run."""
     spark = get_session("evaluate")
     references = selection.first(spark.read.json(args.references), args.limit, "task_id")
-    path = f"{args.out}/outputs"
-    try:
-        cached = storage.materialise(spark.read.parquet(path), "cached")
-    except AnalysisException:
-        cached = None
-    rows = evaluation.evaluate(references, service(args.model), cached, args.name)
-    rows = storage.materialise(rows, "evaluated")
-    new = rows.select("task_id", F.lit(args.name).alias("model"), "raw_output")
-    if cached is not None:
-        new = new.join(evaluation.known_outputs(cached, args.name), "task_id", "left_anti")
-    new.write.mode("append").parquet(path)
+    store = answers.AnswerStore(spark, f"{args.out}/answers")
+    rows = evaluation.evaluate(references, service(args.model), model=args.name, store=store)
     if args.judge:
-        rows = evaluation.judge(rows, service(args.judge))
+        rows = evaluation.judge(rows, service(args.judge), judge_name=args.judge, store=store)
+    rows.select("task_id", "raw_output", *[c for c in ("judge_error", *validation.RUBRIC) if c in rows.columns]).write.mode("overwrite").parquet(f"{args.out}/outputs/model={args.name}")
     row = evaluation.metrics(rows)
     evaluation.write_metrics(row, f"{args.out}/metrics-{args.name}")
     evaluation.rounded(row).show(truncate=False)

@@ -8,19 +8,16 @@ that were stored, and all that follows sees the same answers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quillspark.operators.answers import AnswerStore, Model
 from quillspark.operators.pack import retry_prompt
-from quillspark.operators.validation import note_errors, parsed
-from quillspark.storage import materialise
-
-#: A model's answer: text or error, and the tokens that were billed.
-ANSWER = "struct<text: string, error: string, input_tokens: int, output_tokens: int>"
-Model = Callable[[Column], Column]
+from quillspark.operators.validation import checked
+from quillspark.storage import Run, materialise
 
 
 class TooManyRejects(RuntimeError):
@@ -32,11 +29,13 @@ def pending(tasks: DataFrame, done: DataFrame, rejected: DataFrame) -> DataFrame
     return tasks.join(done.select("task_id"), "task_id", "left_anti").join(rejected.select("task_id"), "task_id", "left_anti")
 
 
-def attempt(tasks: DataFrame, model: Model, prompt: Column, name: str) -> DataFrame:
+def attempt(tasks: DataFrame, model: Model, prompt: Column, name: str, store: AnswerStore | None = None, asker: str = "") -> DataFrame:
     """Tasks with answer, note (JSON or null) and errors of one round, written once."""
-    asked = materialise(tasks.withColumn("answer", model(prompt)), f"{name}-answers")
-    checked = asked.withColumn("errors", F.when(F.col("answer.error").isNotNull(), F.array(F.concat(F.lit("request failed: "), F.col("answer.error")))).otherwise(note_errors(F.col("answer.text"))))
-    return materialise(checked.withColumn("note", F.when(F.size("errors") == 0, parsed(F.col("answer.text"))["json"])), name)
+    asked = (store or AnswerStore(tasks.sparkSession)).ask(tasks, f"teacher:{asker}", prompt, model)
+    read = asked.withColumn("_checked", checked(F.col("answer.text")))
+    failed = F.when(F.col("answer.error").isNotNull(), F.array(F.concat(F.lit("request failed: "), F.col("answer.error"))))
+    made = materialise(read.withColumn("errors", F.coalesce(failed, F.col("_checked.errors"))), name)
+    return made.withColumn("note", F.when(F.size("errors") == 0, F.col("_checked.json"))).drop("_checked")
 
 
 @dataclass
@@ -48,11 +47,12 @@ class Rounds:
     attempts: DataFrame
 
 
-def enrich(tasks: DataFrame, model: Model) -> Rounds:
-    """Notes and rejects for tasks (task_id, prompt, ...)."""
-    first = attempt(tasks, model, F.col("prompt"), "first-round")
+def enrich(tasks: DataFrame, model: Model, store: AnswerStore | None = None, asker: str = "") -> Rounds:
+    """Notes and rejects for tasks (task_id, prompt, ...); answers in `store` aren't asked for again."""
+    store = store or AnswerStore(tasks.sparkSession)
+    first = attempt(tasks, model, F.col("prompt"), "first-round", store, asker)
     failed = first.filter("note is null").withColumn("prompt", retry_prompt(F.col("prompt"), F.col("errors"))).drop("answer", "errors", "note")
-    second = attempt(failed, model, F.col("prompt"), "second-round")
+    second = attempt(failed, model, F.col("prompt"), "second-round", store, asker)
     attempts = first.withColumn("retried", F.lit(False)).unionByName(second.withColumn("retried", F.lit(True)))
     notes = attempts.filter("note is not null")
     return Rounds(notes, second.filter("note is null"), attempts)
@@ -75,20 +75,34 @@ def guard(rejected: int, total: int, most: float = 0.05) -> None:
         raise TooManyRejects(f"{rejected} of {total} tasks are rejected")
 
 
-def run(tasks: DataFrame, done: DataFrame, rejected: DataFrame, model: Model, path: str, sample: int | None = None, most_rejects: float = 0.05) -> DataFrame:
-    """Enrich what is pending, append notes and rejects below `path`, return the summary.
+def append(rounds: Rounds, run: Run) -> tuple[int, int]:
+    """Commit notes, rejects and their numbers as one run; how many tasks were asked and rejected, observed as they are written."""
+    keep = [c for c in ("task_id", "split", "source_id") if c in rounds.notes.columns]
+    noted, rejected = Observation("notes"), Observation("rejects")
+    run.write("notes", rounds.notes.select(*keep, F.col("note").alias("study_note"), "answer.input_tokens", "answer.output_tokens", "retried").observe(noted, F.count("*").alias("n")))
+    run.write("rejects", rounds.rejects.select(*keep, "errors").observe(rejected, F.count("*").alias("n")))
+    bad = rejected.get["n"]
+    asked = noted.get["n"] + bad
+    run.write("counts", run.spark.range(1).select(F.lit(asked).cast("long").alias("asked"), F.lit(bad).cast("long").alias("rejected")))
+    run.commit()
+    return asked, bad
+
+
+def run(tasks: DataFrame, done: DataFrame, rejected: DataFrame, model: Model, path: str, sample: int | None = None, most_rejects: float = 0.05, store: AnswerStore | None = None, asker: str = "", run_id: str | None = None) -> DataFrame:
+    """Enrich what is pending, append notes and rejects below `path` as one run, return the summary.
 
-    `sample` takes the first tasks by `ord`, if tasks have that column, else by id.
+    A run that fails before both are written leaves nothing that counts (see
+    `storage.committed`), and its tasks are still pending; with a `store` that
+    outlives it their answers aren't paid for again. `sample` takes the first
+    tasks by `ord`, if tasks have that column, else by id.
     """
     total, before, old = tasks.count(), done.count(), rejected.count()
     todo = pending(tasks, done, rejected)
     if sample is not None:
         todo = todo.orderBy("ord" if "ord" in tasks.columns else "task_id").limit(sample)
-    rounds = enrich(todo, model)
-    keep = [c for c in ("task_id", "split", "source_id") if c in tasks.columns]
-    rounds.notes.select(*keep, F.col("note").alias("study_note"), "answer.input_tokens", "answer.output_tokens", "retried").write.mode("append").parquet(f"{path}/notes")
-    rounds.rejects.select(*keep, "errors").write.mode("append").parquet(f"{path}/rejects")
-    guard(old + rounds.rejects.count(), total, most_rejects)  # beyond the limit no summary is written
+    rounds = enrich(todo, model, store, asker)
+    _, bad = append(rounds, Run(tasks.sparkSession, path, run_id or uuid.uuid4().hex))
+    guard(old + bad, total, most_rejects)  # beyond the limit no summary is written
     row = summary(rounds.attempts, total, before)
     row.coalesce(1).write.mode("append").json(f"{path}/summary")
     return row

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import groundedness_form, is_grounded, strip
-from quillspark.operators.validation import RUBRIC, note_errors, parsed, verdict
+from quillspark.operators.answers import AnswerStore
+from quillspark.operators.validation import RUBRIC, checked, verdict
+from quillspark.storage import materialise
 
 #: The parts of a note that name things.
 CLAIMS = "important_features_or_tools array<struct<name: string, important_parameters: array<struct<parameter: string>>>>, key_concepts array<struct<concept: string>>"
@@ -39,48 +41,51 @@ def known_outputs(cached: DataFrame, model: str | None = None) -> DataFrame:
     return own.groupBy("task_id").agg(F.min("raw_output").alias("raw_output"))
 
 
-def evaluate(references: DataFrame, generate: Callable[[Column], Column], cached: DataFrame | None = None, model: str | None = None) -> DataFrame:
-    """References with raw_output, json_valid, schema_errors, schema_valid and groundedness.
+def evaluate(references: DataFrame, generate: Callable[[Column], Column], cached: DataFrame | None = None, model: str | None = None, store: AnswerStore | None = None) -> DataFrame:
+    """References with raw_output, json_valid, schema_errors, schema_valid and groundedness, written once.
 
     `generate` gives the model's answer to a source. Answers in `cached`
-    (task_id, raw_output, and model if it holds several) are used again; only
-    the others are generated.
+    (task_id, raw_output, and model if it holds several) and in `store` are used
+    again; only the others are generated, once each.
     """
+    store = store or AnswerStore(references.sparkSession)
+    asked = lambda rows: store.ask(rows, f"model:{model or ''}", F.col("source_content"), generate, "_answer").withColumn("raw_output", F.col("_answer.text")).drop("_answer")
     if cached is None:
-        rows = references.withColumn("raw_output", generate(F.col("source_content")))
+        rows = asked(references)
     else:
         known = known_outputs(cached, model)
-        hits = references.join(known, "task_id")
-        misses = references.join(known, "task_id", "left_anti").withColumn("raw_output", generate(F.col("source_content")))
-        rows = hits.unionByName(misses)
-    rows = rows.withColumn("_parsed", parsed(F.col("raw_output"))).withColumn("schema_errors", note_errors(F.col("raw_output")))
-    rows = rows.withColumns({"json_valid": F.col("_parsed.json").isNotNull(), "schema_valid": F.size("schema_errors") == 0})
-    scored = with_groundedness(rows, F.coalesce(claimed_names(F.col("_parsed.json")), F.array().cast("array<string>")), F.col("source_content"))
-    return scored.withColumns({c: F.when(F.col("json_valid"), F.col(c)) for c in ("score", "claimed", "ungrounded")}).drop("_parsed")
+        rows = references.join(known, "task_id").unionByName(asked(references.join(known, "task_id", "left_anti")))
+    rows = materialise(rows.withColumn("_checked", checked(F.col("raw_output"))), "evaluated")
+    rows = rows.withColumns({"schema_errors": F.col("_checked.errors"), "json_valid": F.col("_checked.json").isNotNull(), "schema_valid": F.size("_checked.errors") == 0})
+    scored = with_groundedness(rows, F.coalesce(claimed_names(F.col("_checked.json")), F.array().cast("array<string>")), F.col("source_content"))
+    return scored.withColumns({c: F.when(F.col("json_valid"), F.col(c)) for c in ("score", "claimed", "ungrounded")}).drop("_checked")
 
 
-def judge(rows: DataFrame, ask: Callable[[Column], Column], cached: DataFrame | None = None, judge_name: str | None = None) -> DataFrame:
-    """Evaluated rows with the rubric's scores and judge_error.
+def judge(rows: DataFrame, ask: Callable[[Column], Column], cached: DataFrame | None = None, judge_name: str | None = None, store: AnswerStore | None = None) -> DataFrame:
+    """Evaluated rows with the rubric's scores and judge_error, written once.
 
     `ask` gives a judge's answer (struct text, error) to a prompt of source and
     output; only outputs that are valid JSON are judged. An answer that failed,
     is no object or lacks a score of 1 to 5 is an error of its row, without
-    scores. Verdicts in `cached` (task_id, judge_name, raw_output, answer) are
-    used again for the same judge and output.
+    scores. Verdicts in `cached` (task_id, judge_name, raw_output, answer) and in
+    `store` are used again for the same judge and output.
     """
+    store = store or AnswerStore(rows.sparkSession)
     prompt = F.concat_ws("\n\n", F.lit("Rate how well the notes keep to the source."), F.col("source_content"), F.col("raw_output"))
+    answered = lambda some: store.ask(some, f"judge:{judge_name or ''}", prompt, ask)
     asked = rows.filter("json_valid")
     if cached is None:
-        answered = asked.withColumn("answer", ask(prompt))
+        given = answered(asked)
     else:
         keys = ["task_id", "raw_output"]
-        known = cached.filter(F.col("judge_name").eqNullSafe(F.lit(judge_name))).groupBy(*keys).agg(F.min("answer").alias("answer"))
-        answered = asked.join(known, keys).unionByName(asked.join(known, keys, "left_anti").withColumn("answer", ask(prompt)))
-    read = answered.withColumn("_read", parsed(F.col("answer.text")))
-    given = read.withColumn("_verdict", verdict(F.try_parse_json("_read.json")))
+        known = cached.filter(F.col("judge_name").eqNullSafe(F.lit(judge_name))).groupBy(*keys).agg(F.min(F.struct("answer.text", "answer.error")).alias("_known"))
+        new = answered(asked.join(known, keys, "left_anti"))
+        old = asked.join(known, keys).withColumn("answer", F.struct("_known.text", "_known.error", F.lit(None).cast("int").alias("input_tokens"), F.lit(None).cast("int").alias("output_tokens"))).drop("_known")
+        given = old.unionByName(new)
+    read = materialise(given.withColumn("_read", checked(F.col("answer.text"))), "judged").withColumn("_verdict", verdict(F.try_parse_json("_read.json")))
     error = F.coalesce(F.col("answer.error"), F.col("_read.error"), F.col("_verdict.error"))
-    scored = given.withColumn("judge_error", error).withColumns({k: F.when(F.col("judge_error").isNull(), F.col(f"_verdict.{k}")) for k in RUBRIC})
-    none = rows.filter("not json_valid").withColumns({"answer": F.lit(None).cast(given.schema["answer"].dataType), "judge_error": F.lit(None).cast("string")} | {k: F.lit(None).cast("int") for k in RUBRIC})
+    scored = read.withColumn("judge_error", error).withColumns({k: F.when(F.col("judge_error").isNull(), F.col(f"_verdict.{k}")) for k in RUBRIC})
+    none = rows.filter("not json_valid").withColumns({"answer": F.lit(None).cast(read.schema["answer"].dataType), "judge_error": F.lit(None).cast("string")} | {k: F.lit(None).cast("int") for k in RUBRIC})
     return scored.drop("_read", "_verdict").unionByName(none)
 
 

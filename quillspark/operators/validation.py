@@ -81,24 +81,14 @@ def parse_object(text: str | None) -> tuple[dict | None, str | None]:
     return None, "the answer holds no JSON object" if len(spans) == 1 else "the answer holds invalid JSON"
 
 
-def parsed(answer: Column) -> Column:
-    """Struct json (canonical text of the object, or null) and error, of a raw answer."""
+def checked(answer: Column) -> Column:
+    """Struct json (canonical text of the object, or null), error (why there is none) and errors of a raw answer, parsed once; a valid note has no errors."""
 
-    @F.pandas_udf("json string, error string")
+    @F.pandas_udf("json string, error string, errors array<string>")
     def run(batch: pd.Series) -> pd.DataFrame:
         found = [parse_object(t) for t in batch]
-        return pd.DataFrame({"json": [None if o is None else json.dumps(o, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for o, _ in found], "error": [e for _, e in found]})
-
-    return run(sanitize_response(F.coalesce(answer, F.lit(""))))
-
-
-def note_errors(answer: Column) -> Column:
-    """Array of errors of a raw answer; empty for a valid note."""
-
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        found = [parse_object(t) for t in batch]
-        return pd.Series([[e] if o is None else note_problems(o) for o, e in found])
+        json_ = [None if o is None else json.dumps(o, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for o, _ in found]
+        return pd.DataFrame({"json": json_, "error": [e for _, e in found], "errors": [[e] if o is None else note_problems(o) for o, e in found]})
 
     return run(sanitize_response(F.coalesce(answer, F.lit(""))))
 

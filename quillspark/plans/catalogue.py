@@ -560,7 +560,7 @@ def sanitize(spark, sf_dir):
 
 @query(f"WITH {ANSWERS} SELECT doc_id, doc_id % 6 < 3 AS ok, CASE WHEN doc_id % 6 < 3 THEN json->>'$.title' END AS title, CASE doc_id % 6 WHEN 3 THEN 'the answer holds no JSON object' WHEN 4 THEN 'the answer holds invalid JSON' WHEN 5 THEN 'the answer is no JSON object' END AS error FROM answers")
 def json_extract(spark, sf_dir):
-    rows = answers(spark, sf_dir).withColumn("p", validation.parsed(F.col("answer")))
+    rows = answers(spark, sf_dir).withColumn("p", validation.checked(F.col("answer")))
     return rows.select("doc_id", F.col("p.json").isNotNull().alias("ok"), F.get_json_object("p.json", "$.title").alias("title"), "p.error")
 
 
@@ -577,7 +577,7 @@ NOTE_ERRORS = """list_filter([
 
 @query(f"WITH {ANSWERS} SELECT doc_id, len({NOTE_ERRORS})::INT AS n_errors, array_to_string({NOTE_ERRORS}, '; ') AS errors FROM answers")
 def note_errors(spark, sf_dir):
-    rows = answers(spark, sf_dir).withColumn("e", validation.note_errors(F.col("json")))
+    rows = answers(spark, sf_dir).withColumn("e", validation.checked(F.col("json"))["errors"])
     return rows.select("doc_id", F.size("e").alias("n_errors"), F.array_join("e", "; ").alias("errors"))
 
 
@@ -1023,9 +1023,8 @@ def pack_files(spark, sf_dir):
 def reject_log(spark, sf_dir):
     """Rejects as they are appended to the log, and never asked again."""
     path = storage.new_path(spark, "enriched")
-    found = attempts(spark, sf_dir)
-    found.rejects.select("task_id", "errors").write.mode("append").parquet(f"{path}/rejects")
-    return spark.read.parquet(f"{path}/rejects").select("task_id")
+    enrichment.append(attempts(spark, sf_dir), storage.Run(spark, path, "first"))
+    return storage.committed(spark, path, "rejects", "task_id string")
 
 
 # Provenance, selection, judges

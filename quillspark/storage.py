@@ -56,3 +56,47 @@ def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     path = new_path(spark, name)
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _marker(spark: SparkSession, path: str, run: str = ""):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_runs/{run}" if run else f"{path}/_runs")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Run:
+    """Tables that are appended together: none of them counts before the marker of the run is there.
+
+    A run that fails between two tables leaves files that nobody reads; run again
+    under its id it writes them anew, and one that has been committed is left as it is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run: str) -> None:
+        self.spark, self.path, self.run = spark, path.rstrip("/"), run
+
+    @property
+    def done(self) -> bool:
+        at, system = _marker(self.spark, self.path, self.run)
+        return system.exists(at)
+
+    def write(self, table: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/run={self.run}")
+
+    def commit(self) -> None:
+        """Creating the marker either succeeds or fails, so the run's tables appear at once."""
+        at, system = _marker(self.spark, self.path, self.run)
+        system.create(at, False).close()
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}/run={self.run}")
+
+
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the runs below `path` whose marker is there."""
+    at, system = _marker(spark, path.rstrip("/"))
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def committed(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """A table of all committed runs; of runs that have more columns than `schema`, those in it."""
+    paths = [f"{path.rstrip('/')}/{table}/run={run}" for run in committed_runs(spark, path)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

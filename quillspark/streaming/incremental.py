@@ -10,32 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from quillspark.operators.enrichment import Model, enrich, guard, pending
-
-
-def _ids(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path).select("task_id")
-    except AnalysisException:
-        return spark.createDataFrame([], "task_id string")
+from quillspark.operators.answers import AnswerStore, Model
+from quillspark.operators.enrichment import append, enrich, guard, pending
+from quillspark.storage import Run, committed
 
 
 def enrich_stream(spark: SparkSession, tasks_path: str, schema: str, model: Model, path: str, checkpoint: str, most_rejects: float = 0.05, least_tasks: int = 20) -> StreamingQuery:
     """Start a query that enriches all JSON tasks there are and ends.
 
-    It fails once more than the share `most_rejects` of the tasks that were asked
-    so far is rejected, `least_tasks` of them at least; what was stored stays.
+    Each batch is a run under its own number, so one that was committed before a
+    failure is left out when it comes again. The query fails once more than the
+    share `most_rejects` of the tasks that were asked so far is rejected,
+    `least_tasks` of them at least; what was stored stays.
     """
+    store = AnswerStore(spark, f"{path}/answers")
 
     def batch(rows: DataFrame, number: int) -> None:
-        todo = pending(rows.dropDuplicates(["task_id"]), _ids(spark, f"{path}/notes"), _ids(spark, f"{path}/rejects"))
-        rounds = enrich(todo, model)
-        rounds.notes.select("task_id", F.col("note").alias("study_note")).write.mode("append").parquet(f"{path}/notes")
-        rounds.rejects.select("task_id", "errors").write.mode("append").parquet(f"{path}/rejects")
-        rejected = _ids(spark, f"{path}/rejects").count()
-        asked = rejected + _ids(spark, f"{path}/notes").count()
+        run = Run(spark, path, f"batch-{number}")
+        if run.done:
+            return
+        ids = lambda table: committed(spark, path, table, "task_id string")
+        append(enrich(pending(rows.dropDuplicates(["task_id"]), ids("notes"), ids("rejects")), model, store), run)
+        asked, rejected = committed(spark, path, "counts", "asked long, rejected long").agg(F.sum("asked"), F.sum("rejected")).first()
         if asked >= least_tasks:
             guard(rejected, asked, most_rejects)
 
