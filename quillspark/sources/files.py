@@ -138,11 +138,11 @@ def decoded(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFrame) -> DataFrame:
-    """path (below `folder`), suffix, title, sections of files below `folder`, given as a list or as rows (path).
+    """path (below `folder`), suffix, title, sections, error of files below `folder`, given as a list or as rows (path).
 
     Text formats are parsed by column expressions; others by their reader. Files
-    of which nothing is left are rows without sections; a file without a reader
-    is an error.
+    of which nothing is left, or that their reader can't read, are rows without
+    sections, the latter with the error; a file without a reader is an error.
     """
     rows = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
     kind = reader_of(F.col("path"))
@@ -155,7 +155,7 @@ def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFram
     is_kind = lambda k: F.col("kind") == k
     own = F.when(is_kind("text"), S.text_sections(F.col("text"))).when(is_kind("markdown"), S.markdown_sections(F.col("text"))).otherwise(S.vtt_sections(F.col("text")))
     title = F.when(is_kind("markdown"), T.markdown_title(F.col("text"), stem)).when(is_kind("text"), T.text_title(F.col("text"), stem)).otherwise(stem)
-    out = text.select("path", "suffix", title.alias("title"), own.alias("sections"))
+    out = text.select("path", "suffix", title.alias("title"), own.alias("sections"), F.lit(None).cast("string").alias("error"))
     if not _readers:
         return out
     readers = dict(_readers)
@@ -166,10 +166,13 @@ def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFram
             made = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 own_suffix = path[path.rindex(".") :].lower()
-                found = [dict.fromkeys(names) | s for s in readers[own_suffix](path, bytes(content))]
-                made.append((path, own_suffix, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], found))
+                try:
+                    found, error = [dict.fromkeys(names) | s for s in readers[own_suffix](path, bytes(content))], None
+                except Exception as why:  # a bad file is a row that says so, and the others are read
+                    found, error = [], f"{type(why).__name__}: {why}"
+                made.append((path, own_suffix, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], found, error))
             if made:
-                yield pd.DataFrame(made, columns=["path", "suffix", "title", "sections"])
+                yield pd.DataFrame(made, columns=["path", "suffix", "title", "sections", "error"])
 
     other = contents(spark, folder, rows.filter(kind == "registered"))
-    return out.unionByName(other.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>"))
+    return out.unionByName(other.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>, error string"))
