@@ -7,7 +7,6 @@ read on the executors, a file at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +18,7 @@ from quillspark.functions import text as T
 from quillspark.functions.text import MEDIA_SUFFIXES
 from quillspark.operators.chunking import SECTION
 from quillspark.sources import sections as S
-from quillspark.storage import materialise
+from quillspark.storage import arrow_filesystem, materialise
 
 #: Names that file managers leave behind.
 JUNK = ("Thumbs.db", ".DS_Store", "__MACOSX")
@@ -76,8 +75,7 @@ def root_of(spark: SparkSession, folder: str) -> str:
         raise FileNotFoundError(folder)
     if not system.getFileStatus(path).isDirectory():
         raise NotADirectoryError(folder)
-    own = system.makeQualified(path).toString().rstrip("/")
-    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", own))
+    return system.makeQualified(path).toString().rstrip("/")
 
 
 def list_tree(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -85,7 +83,7 @@ def list_tree(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     root = root_of(spark, folder)
 
     def entries(batches):
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = arrow_filesystem(root)
         for batch in batches:
             for below in batch["path"]:
                 rows = []
@@ -122,7 +120,7 @@ def contents(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
     root = root_of(spark, folder)
 
     def read(batches):
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = arrow_filesystem(root)
         for batch in batches:
             for path in batch["path"]:
                 with system.open_input_file(f"{base}/{path}") as source:

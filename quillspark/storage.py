@@ -9,6 +9,7 @@ executor's own disk holds the only copy.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,6 +48,18 @@ def clear(spark: SparkSession) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def arrow_uri(uri: str) -> str:
+    """A path as Hadoop names it, as Arrow's file systems name it."""
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri))
+
+
+def arrow_filesystem(uri: str):
+    """(file system, path in it) of a path that executors read or write without Spark."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and return the table as read back.
 

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import cli
+from quillspark import cli, storage
 from quillspark.functions import html
 from quillspark.functions import names as N
 from quillspark.operators import discovery, evaluation, selection, transcript
@@ -175,3 +175,8 @@ def test_command_line_fetches_and_transcribes(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/t").first()["text"] == "hello there you are"
     (tmp_path / "w").mkdir()
     assert cli.main(["transcripts", f"file://{tmp_path}/w", f"{tmp_path}/t2"]) == 1
+
+
+@pytest.mark.parametrize("uri, own", [("s3a://b/x", "s3://b/x"), ("s3n://b", "s3://b"), ("s3://b/x", "s3://b/x"), ("file:/tmp/x", "file:///tmp/x"), ("file:///tmp/x", "file:///tmp/x"), ("hdfs://h:1/x", "hdfs://h:1/x"), ("gs://b/s3a:x", "gs://b/s3a:x")])
+def test_paths_of_hadoop_as_arrow_names_them(uri, own):
+    assert storage.arrow_uri(uri) == own
