@@ -32,8 +32,8 @@ from quillspark.llm.unions import join
 from quillspark.storage import materialise
 
 COSINE = 0.93
-#: Nodes of a part, nodes that share a task, points of a leaf, pairs of points that are compared at once instead of going down.
-PART, CELL_NODES, LEAF, BLOCK = 4096, 4096, 32, 1 << 16
+#: Nodes of a part, nodes that share a task, points of a leaf.
+PART, CELL_NODES, LEAF = 4096, 4096, 32
 #: Rows of a product of points or centres that are held at once.
 ROWS = 512
 #: Room for rounding when whole nodes are pruned or linked.
@@ -85,8 +85,13 @@ def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
     return root
 
 
-def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each point (weighted), and its root in the forest of links."""
+def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosine: float, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each point (weighted), and its root in the forest of links; `seen` counts the pairs of points that were pruned, linked whole and compared."""
+    seen = {} if seen is None else seen
+
+    def count(what: str, pairs: int) -> None:
+        seen[what] = seen.get(what, 0) + int(pairs)
+
     reach = float(np.sqrt(2 - 2 * cosine))
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
     a_side: list[np.ndarray] = []
@@ -111,16 +116,20 @@ def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosi
         if same and len(p.points) == 1:
             continue
         gap = 0.0 if same else float(np.sqrt(max(2 - 2 * float(x[p.centre] @ x[q.centre]), 0)))
+        pairs = len(p.points) * len(q.points) if not same else len(p.points) * (len(p.points) - 1) // 2
         if gap > reach + p.radius + q.radius + SLACK:
+            count("pruned", pairs)
             continue
         if gap + p.radius + q.radius <= reach - SLACK:  # all points of both
+            count("whole", pairs)
             a, b = p.points, q.points
             links[a] += weight[b].sum() - (weight[a] if same else 0)
             if not same:
                 links[b] += weight[a].sum()
             linked(np.full(len(a) + len(b), a[0]), np.concatenate((a, b)))
             continue
-        if not (p.children or q.children) or len(p.points) * len(q.points) <= BLOCK:
+        if not (p.children or q.children):
+            count("compared", pairs)
             hits = x[p.points] @ x[q.points].T >= cosine
             if same:
                 np.fill_diagonal(hits, False)
@@ -142,6 +151,9 @@ def dual_walk(x: np.ndarray, weight: np.ndarray, first: Node, second: Node, cosi
             if same:
                 near = np.triu(near, k + 1)
             todo += [(left[k + i], right[j]) for i, j in zip(*np.nonzero(near), strict=True)]
+            away = ~np.triu(~near, k + 1) if same else near
+            sizes = np.array([len(c.points) for c in left[k : k + ROWS]]), np.array([len(c.points) for c in right])
+            count("pruned", sizes[0] @ (~away) @ sizes[1])
     if a_side:
         label = join(label, np.concatenate(a_side), np.concatenate(b_side))
     return links, label

@@ -29,12 +29,11 @@ from urllib.parse import quote
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import sized_join
-from quillspark.storage import materialise, new_path
+from quillspark.storage import arrow_filesystem, materialise, new_path
 
 MIN_BYTES = 100
 #: Uncompressed bytes of an archive, of the dictionary's sample, and of the dictionary.
@@ -96,7 +95,7 @@ class Archive:
 
     def start(self) -> None:
         raw = build_dictionary(self.held)
-        system, path = fs.FileSystem.from_uri(self.path)
+        system, path = arrow_filesystem(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         # The stream would compress by the suffix if left to itself.
         self.out = system.open_output_stream(path, compression=None)
@@ -133,7 +132,7 @@ def write_partition(batches, folder: str):
 
 def read_archive(path: str):
     """(headers, payload) of each record; digests of stored payloads are verified."""
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = arrow_filesystem(path)
     with system.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICT_FRAME:

@@ -309,3 +309,41 @@ def test_lines_are_cut_by_their_share_of_a_host(spark):
             held = lambda x, site=site: sum(x in s for s in site)
             want = None if lines is None else [x for x in lines if not (held(x) > 1 and held(x) > 0.5 * len(site))]
             assert got[i] == (lines, want), i
+
+
+def test_archives_go_where_hadoop_paths_point(tmp_path, monkeypatch):
+    """`s3a` is Hadoop's name of a scheme that Arrow knows under another."""
+    from pyarrow import fs
+
+    from quillspark import storage
+    from quillspark.llm import warc
+
+    class Local:
+        @staticmethod
+        def from_uri(uri):
+            assert uri.startswith("s3://bucket/"), uri
+            return fs.LocalFileSystem(), uri.replace("s3://bucket", str(tmp_path))
+
+    monkeypatch.setattr(fs, "FileSystem", Local)
+    archive = warc.Archive("s3a://bucket/checkpoints/warc")
+    archive.add(warc.record(1, "http://a/", b"payload", "d", None))
+    done = archive.close()
+    with pytest.raises(ValueError, match="damaged"):  # the digest above isn't the payload's
+        list(warc.read_archive(done["path"]))
+    assert storage.arrow_uri(done["path"]).startswith("s3://bucket/checkpoints/warc/")
+
+
+def test_the_walk_prunes_by_radii_and_loses_no_link():
+    from quillspark.llm import embed_dedup
+
+    rng = np.random.default_rng(3)
+    centres = embed_dedup.unit(list(rng.normal(size=(12, 16))))
+    x = embed_dedup.unit([c + rng.normal(size=16) * scale for c in centres for scale in (0.01, 0.05, 0.12) for _ in range(40)])
+    root, seen = embed_dedup.cover_tree(x, np.arange(len(x))), {}
+    links, label = embed_dedup.dual_walk(x, np.ones(len(x), np.int64), root, root, 0.93, seen)
+    hits = x @ x.T >= 0.93
+    np.fill_diagonal(hits, False)
+    assert (links == hits.sum(axis=1)).all()
+    assert sum(seen.values()) == len(x) * (len(x) - 1) // 2 and seen["pruned"] > 0 and seen["whole"] > 0 and seen["compared"] > 0
+    linked = {(i, j) for i, j in zip(*np.nonzero(hits), strict=True)}
+    assert all((label[i] == label[j]) for i, j in linked)
