@@ -385,6 +385,38 @@ def topic_match(spark, sf_dir):
     return normal_urls(spark, sf_dir).filter("url is not null").select("page_id", F.array_join(discovery.topic_buckets(discovery.url_path(F.col("url")), RULES), ",").alias("buckets"))
 
 
+@query(f"{PATHS} SELECT page_id, array_to_string({BUCKET_LIST}, ',') AS buckets FROM p")
+def topic_table(spark, sf_dir):
+    """The same rules as a table, joined with the pages' paths."""
+    rules = spark.createDataFrame([(i, bucket, prefix) for i, (bucket, prefixes) in enumerate(RULES.items()) for prefix in prefixes], "ord int, bucket string, prefix string")
+    rows = normal_urls(spark, sf_dir).filter("url is not null")
+    return discovery.match_prefix_rules(rows, discovery.url_path(F.col("url")), rules).select("page_id", F.array_join("buckets", ",").alias("buckets"))
+
+
+@query(r"""
+SELECT DISTINCT 'https://x/' || page_id || '/' || coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS loc FROM pages WHERE page_id % 5 > 0
+UNION SELECT DISTINCT 'https://x/' || page_id AS loc FROM pages WHERE page_id % 5 = 0""")
+def sitemap_index(spark, sf_dir):
+    """Pages as sitemap files that an index names, read through it."""
+    path = storage.new_path(spark, "sitemaps")
+    place = F.coalesce(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1), F.lit(""))
+    loc = F.concat(F.lit("https://x/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("/"), place)).otherwise(""))
+    safe = F.replace(F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = table(spark, sf_dir, "pages")
+    plain = F.concat(F.lit("<url><loc> "), safe, F.lit(" </loc><lastmod>2024-01-01</lastmod></url>"))
+    prefixed = F.concat(F.lit("<s:url><s:loc>"), safe, F.lit("</s:loc></s:url>"))
+    body = F.when(F.col("page_id") % 2 == 0, plain).otherwise(prefixed)
+    rows = pages.select(F.floor(F.col("page_id") / 1000).alias("part"), "page_id", body.alias("body"))
+    # A sitemap holds a thousand pages, and the index names all sitemaps.
+    text = F.concat(F.lit('<urlset xmlns="http://x/0.9" xmlns:s="http://x/0.9">'), F.array_join(F.collect_list("body"), "\n"), F.lit("</urlset>")).alias("value")
+    rows.groupBy("part").agg(text).write.partitionBy("part").text(path)
+    entry = F.concat(F.lit("<sitemap><loc>https://x/part="), "part", F.lit("</loc></sitemap>"))
+    named = rows.select("part").distinct().agg(F.concat(F.lit("<sitemapindex><sitemap><loc>https://x/index</loc></sitemap><sitemap><loc>other</loc></sitemap>"), F.array_join(F.collect_list(entry), ""), F.lit("</sitemapindex>")).alias("value"))
+    named.write.text(f"{path}/index")
+    local = lambda at: F.when(at.startswith("https://x/"), F.concat(F.lit(f"{path}/"), F.substring(at, 11, 1000)))
+    return discovery.read_sitemaps(spark, [f"{path}/index"], local)
+
+
 CANDIDATES = f"""{PATHS}, c AS (SELECT page_id, url AS original_url, page_id % 2 AS grp, 'doc_' || {D.slug("regexp_replace(path, '^/+|/+$', '', 'g')", 60, 'index')} AS source_id, array_to_string({BUCKET_LIST}, ',') AS buckets
   FROM p WHERE NOT {sql_prefix('path', EXCLUDED)} AND len({BUCKET_LIST}) > 0),
 merged AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY grp, page_id) = 1),

@@ -357,3 +357,44 @@ def test_written_tables_are_cleared(spark):
     storage.clear(spark)
     assert not storage._written
     storage._written.extend(before)
+
+
+# Rules as a table, sitemaps of sitemaps
+
+
+def test_rules_as_a_table_fit_like_rules_as_literals(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["a", "ab", "b", "c/", "A", "", "d//", "e.f"]
+    made = lambda n: "/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, n)))
+    rules = {f"r{i}": [made(3) for _ in range(rng.randint(1, 3))] for i in range(60)}
+    rules["odd"] = ["", "b", "/zz/", "/zz"]
+    rules["none"] = ["/never/"]
+    paths = [(i, made(5)) for i in range(300)] + [(900, None), (901, ""), (902, "b/x"), (903, "/zz"), (904, "/never"), (905, "/neverx")]
+    rows = spark.createDataFrame(paths, "id int, p string")
+    table = spark.createDataFrame([(i, b, p) for i, (b, ps) in enumerate(rules.items()) for p in ps] + [(99, "null", None)], "ord int, bucket string, prefix string")
+    want = {r["id"]: r["b"] for r in rows.select("id", F.coalesce(discovery.topic_buckets(F.col("p"), rules), F.array().cast("array<string>")).alias("b")).collect()}
+    for most in (200_000, 0):
+        got = {r["id"]: r["buckets"] for r in discovery.match_prefix_rules(rows, F.col("p"), table, broadcast_rows=most).collect()}
+        assert got == want
+    assert {"odd", "none"} <= set(want[904]) and "none" not in want[905]
+
+
+def test_ten_thousand_rules(spark):
+    rules = spark.range(10_000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("b"), F.col("id") % 100).alias("bucket"), F.concat(F.lit("/s"), F.col("id"), F.lit("/")).alias("prefix"))
+    rows = spark.range(20_000).select("id", F.concat(F.lit("/s"), F.col("id"), F.lit("/x")).alias("p"))
+    found = discovery.match_prefix_rules(rows, F.col("p"), rules)
+    assert found.filter(F.size("buckets") == 1).count() == 10_000 and found.filter((F.size("buckets") == 1) & (F.col("buckets")[0] == F.concat(F.lit("b"), F.col("id") % 100))).count() == 10_000
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_of_sitemaps_gives_their_union(spark, tmp_path):
+    page = "<url><loc> https://x/{} </loc><priority>1</priority></url>"
+    (tmp_path / "one.xml").write_text('<?xml version="1.0"?><urlset xmlns="u">' + page.format("a") + page.format("b&amp;c") + "<url><loc></loc></url></urlset>")
+    (tmp_path / "two.xml").write_text('<s:urlset xmlns:s="u"><s:url><s:loc>https://x/d</s:loc></s:url>' + page.format("a") + "</s:urlset>")
+    (tmp_path / "index.xml").write_text("<sitemapindex>" + "".join(f"<sitemap><loc>https://x/{n}.xml</loc></sitemap>" for n in ("one", "two", "index", "gone")) + "</sitemapindex>")
+    local = lambda at: F.when(~at.contains("gone"), F.replace(at, F.lit("https://x/"), F.lit(f"file://{tmp_path}/")))
+    got = [r["loc"] for r in discovery.read_sitemaps(spark, [f"file://{tmp_path}/index.xml"], local).collect()]
+    assert sorted(got) == ["https://x/a", "https://x/b&c", "https://x/d"]
+    assert discovery.read_sitemaps(spark, [f"file://{tmp_path}/one.xml"]).count() == 2
