@@ -14,7 +14,7 @@ from quillspark.functions import html
 from quillspark.functions import text as T
 from quillspark.operators import answers, chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript, validation
 from quillspark.session import get_session
-from quillspark.sources import files, manifest
+from quillspark.sources import files, jsonl, manifest
 
 
 def build_pack(args: argparse.Namespace) -> int:
@@ -86,7 +86,7 @@ def discover(args: argparse.Namespace) -> int:
 def enrich(args: argparse.Namespace) -> int:
     """Notes for the tasks that have none, by a model given as package.module:function."""
     spark = get_session("enrich")
-    tasks = spark.read.json(args.tasks)
+    tasks = jsonl.read_jsonl(spark, args.tasks, jsonl.TASK)
     before = lambda name: storage.committed(spark, args.out, name, "task_id string")
     store = answers.AnswerStore(spark, f"{args.out}/answers")
     try:
@@ -100,7 +100,7 @@ def enrich(args: argparse.Namespace) -> int:
 def evaluate(args: argparse.Namespace) -> int:
     """Metrics of a model, given as package.module:function, over references; answers are kept for the next run."""
     spark = get_session("evaluate")
-    references = selection.first(spark.read.json(args.references), args.limit, "task_id")
+    references = selection.first(jsonl.read_jsonl(spark, args.references, jsonl.REFERENCE), args.limit, "task_id")
     store = answers.AnswerStore(spark, f"{args.out}/answers")
     rows = evaluation.evaluate(references, service(args.model), model=args.name, store=store)
     if args.judge:

@@ -18,7 +18,7 @@ from quillspark.operators import batches, chunking, discovery, enrichment, evalu
 from quillspark.plans import duck as D
 from quillspark.session import table
 from quillspark.sources import documents as DOC
-from quillspark.sources import files, pdf, speech
+from quillspark.sources import files, jsonl, pdf, speech
 from quillspark.sources import manifest as M
 from quillspark.sources import sections as S
 
@@ -1079,6 +1079,15 @@ def first_rows(spark, sf_dir):
     return selection.first(rows, 25, F.desc("n_chars"), "doc_id").select("doc_id")
 
 
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang FROM documents ORDER BY doc_id % 5, doc_id DESC LIMIT 40)")
+def first_lines(spark, sf_dir):
+    """The first lines of a folder of JSON files, in the order of files and lines; the limit is the operator."""
+    path = storage.new_path(spark, "lines")
+    rows = documents(spark, sf_dir, "doc_id", "lang", "text").withColumn("part", F.col("doc_id") % 5)
+    rows.repartition("part").sortWithinPartitions("part", F.desc("doc_id")).write.partitionBy("part").json(path)
+    return selection.first(jsonl.read_jsonl(spark, path, "doc_id long, lang string, text string"), 40, "ord").select("doc_id", "lang")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 1")
 def files_to_fetch(spark, sf_dir):
     """Rows without a whole file: of four, one is there, one is empty, one is partial."""

@@ -180,3 +180,31 @@ def test_command_line_fetches_and_transcribes(spark, tmp_path, capsys):
 @pytest.mark.parametrize("uri, own", [("s3a://b/x", "s3://b/x"), ("s3n://b", "s3://b"), ("s3://b/x", "s3://b/x"), ("file:/tmp/x", "file:///tmp/x"), ("file:///tmp/x", "file:///tmp/x"), ("hdfs://h:1/x", "hdfs://h:1/x"), ("gs://b/s3a:x", "gs://b/s3a:x")])
 def test_paths_of_hadoop_as_arrow_names_them(uri, own):
     assert storage.arrow_uri(uri) == own
+
+
+def test_lines_keep_their_order_without_a_column_for_it(spark, tmp_path):
+    """Files of many blocks, read by many tasks, with blank lines between."""
+    from quillspark.sources import jsonl
+
+    want = []
+    for name, n in (("b.json", 4000), ("a.json", 3000), ("c.json", 10)):
+        ids = [f"{name[0]}{(k * 7919) % n}" for k in range(n)]
+        (tmp_path / name).write_text("\n\n".join(json.dumps({"task_id": i, "other": 1}) for i in ids) + "\n")
+        want += [(name, ids)]
+    ordered = [i for _, ids in sorted(want) for i in ids]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = jsonl.read_jsonl(spark, str(tmp_path), "task_id string")
+        assert rows.rdd.getNumPartitions() > 5
+        assert [r["task_id"] for r in selection.first(rows, 3500, "ord").collect()] == ordered[:3500]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_broken_line_is_an_error(spark, tmp_path):
+    from quillspark.sources import jsonl
+
+    (tmp_path / "x.json").write_text('{"task_id": "a"}\n{"task_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        jsonl.read_jsonl(spark, str(tmp_path), "task_id string").collect()
