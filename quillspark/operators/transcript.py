@@ -54,6 +54,17 @@ def appended(before: str, after: str) -> str:
     return f"{before} {rest}" if rest else before
 
 
+def joined_to(last: list, text: str, start: float | None, end: float | None, most_words: int, most_seconds: float, most_gap: float) -> list | None:
+    """The segment `last` (text, start, end) with the next one, or None if that opens a new one."""
+    before, began, ended = last
+    gap = start - ended if start is not None and ended is not None else 0.0
+    length = end - began if end is not None and began is not None else 0.0
+    if gap > most_gap or length > most_seconds:
+        return None
+    both = appended(before, text)
+    return [both, began, end] if len(both.split()) <= most_words else None
+
+
 def merge_runs(texts: list, starts: list, ends: list, most_words: int = 100, most_seconds: float = 60.0, most_gap: float = 8.0) -> list[list]:
     """[text, start, end] of the merged segments of one document. Segments without a start keep their text."""
     merged: list[list] = []
@@ -61,16 +72,11 @@ def merge_runs(texts: list, starts: list, ends: list, most_words: int = 100, mos
         text = (text or "").strip()
         if not text:
             continue
-        if merged:
-            before, began, ended = merged[-1]
-            gap = start - ended if start is not None and ended is not None else 0.0
-            length = end - began if end is not None and began is not None else 0.0
-            if gap <= most_gap and length <= most_seconds:
-                joined = appended(before, text)
-                if len(joined.split()) <= most_words:
-                    merged[-1] = [joined, began, end]
-                    continue
-        merged.append([text, start, end])
+        both = joined_to(merged[-1], text, start, end, most_words, most_seconds, most_gap) if merged else None
+        if both:
+            merged[-1] = both
+        else:
+            merged.append([text, start, end])
     return merged
 
 
