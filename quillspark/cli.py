@@ -43,7 +43,7 @@ def audit(args: argparse.Namespace) -> int:
     small = pack.audit(tasks, args.least)
     total = small.agg(F.coalesce(F.sum("flagged"), F.lit(0))).first()[0]
     print(f"{total} of {tasks.count()} tasks have fewer than {args.least} words")
-    small.show(1000, truncate=False)
+    shown(small)
     pack.audit_preview(tasks, args.least).show(20, truncate=False)
     return int(total > 0)
 
@@ -77,12 +77,20 @@ def discover(args: argparse.Namespace) -> int:
     known = own.select(F.explode("sources").alias("s")).select("s.original_url", "s.source_id")
     fresh = selection.first(discovery.new_candidates(discovery.merge_candidates(every), known), args.limit, "group", "ord")
     rows = storage.materialise(discovery.apply_candidates(fresh, args.first_priority), "new-sources")
-    rows.select("source_id", "original_url", "priority").show(1000, truncate=False)
+    shown(rows.select("source_id", "original_url", "priority"))
     if args.out:
         manifest.write_manifest(manifest.append_sources(own, rows), args.out)
     return 0
 
 
+def shown(rows, most: int = 1000) -> None:
+    """Print rows, and how many there are if that is more."""
+    total = rows.count()
+    rows.show(most, truncate=False)
+    if total > most:
+        print(f"the first {most} of {total} rows")
+
+
 def enrich(args: argparse.Namespace) -> int:
     """Notes for the tasks that have none, by a model given as package.module:function."""
     spark = get_session("enrich")

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in ranges of the columns that there are, each range in order; files are named in the order of the ranges."""
+    order = [c for c in columns if c in df.columns]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+
+
 def write_pack(manifest: DataFrame, documents: DataFrame, tasks: DataFrame, index: DataFrame, path: str) -> list[str]:
     """The four artifacts of a source pack below `path`; tasks keep the order of priority and id."""
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest_normalized")
+    ordered(manifest, "priority", "source_id").write.mode("overwrite").json(f"{path}/manifest_normalized")
     spread = ["source", *[c for c in ("document_id", "local_path", "path") if c in documents.columns][:1]]
     documents.withColumn("source", F.col("source_id")).repartitionByRange(*spread).write.mode("overwrite").partitionBy("source").json(f"{path}/documents")
-    order = [c for c in ("priority", "source_id", "chunk_index") if c in tasks.columns]
-    tasks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}/study_note_tasks")
-    index.coalesce(1).write.mode("overwrite").json(f"{path}/source_pack")
+    ordered(tasks, "priority", "source_id", "chunk_index").write.mode("overwrite").json(f"{path}/study_note_tasks")
+    ordered(index, "source_id").write.mode("overwrite").json(f"{path}/source_pack")
     return [f"{path}/{n}" for n in ("manifest_normalized", "documents", "study_note_tasks", "source_pack")]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.chunking import SECTION
 from quillspark.sources.sections import section
+from quillspark.storage import materialise
 
 EMPTY = {f.split(": ")[0]: None for f in SECTION[len("struct<") : -1].split(", ")}
 
@@ -113,7 +114,22 @@ def captions_or_speech(captions: DataFrame, speech: DataFrame) -> DataFrame:
 
 
 def gap_sessions(rows: DataFrame, by: str, order: list[str], start: Column, end: Column, most_gap: float) -> DataFrame:
-    """`rows` with `session`, from 0: a new one begins after each gap of more than `most_gap`."""
-    own = Window.partitionBy(by).orderBy(*order)
-    opens = F.coalesce((start - F.lag(end).over(own) > most_gap).cast("int"), F.lit(0))
-    return rows.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(own)).drop("_opens")
+    """`rows` with `session`, from 0: a new one begins after each gap of more than `most_gap`.
+
+    Rows are dealt to ranges of the whole order, so a key that holds many of them
+    is cut; sessions are counted in each range, and what the ranges before hold of
+    a key is added from one row for each key and range.
+    """
+    dealt = rows.withColumns({"_start": start, "_end": end}).repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt, "session-rows")
+    own = Window.partitionBy("_range", by).orderBy(*order)
+    opens = F.coalesce((F.col("_start") - F.lag("_end").over(own) > most_gap).cast("int"), F.lit(0))
+    counted = dealt.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(own))
+    place = F.struct(*order)
+    edges = counted.groupBy("_range", by).agg(F.min_by("_start", place).alias("_first"), F.max_by("_end", place).alias("_last"), F.sum("_opens").alias("_within"))
+    before = Window.partitionBy(by).orderBy("_range")
+    between = F.coalesce((F.col("_first") - F.lag("_last").over(before) > most_gap).cast("int"), F.lit(0))
+    edges = edges.withColumn("_between", between).withColumn("_base", F.sum(F.col("_within") + F.col("_between")).over(before) - F.col("_within"))
+    known = edges.select(F.col("_range").alias("_r"), F.col(by).alias("_by"), "_base")
+    joined = counted.join(known, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn("session", F.col("_session") + F.col("_base")).drop("_r", "_by", "_base", "_session", "_opens", "_range", "_start", "_end")

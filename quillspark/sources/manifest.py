@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import humanize, resource_type
 from quillspark.order import ordinal
+from quillspark.storage import materialise
 
 VERSION = "1.0"
 #: Kinds of resource and splits that a manifest may name.
@@ -120,7 +121,10 @@ def folder_sources(files: DataFrame, buckets: list[str], split: str = "unassigne
     base = base.withColumn("base", F.when(F.col("base") == "", "file").otherwise(F.col("base")))
     order = F.split("path", "/")
     placed = ordinal(base, [order], "_ordinal").withColumn("priority", (F.col("_ordinal") + 1).cast("int"))
-    rows = placed.withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("priority")))
+    # A name such as `index` may be that of very many files: its first holder is found by a sum, and joined by its place.
+    placed = materialise(placed, "placed-files")
+    firsts = placed.groupBy("base").agg(F.min("priority").alias("priority")).select("priority", F.lit(1).alias("_n"))
+    rows = placed.join(firsts, "priority", "left").withColumn("_n", F.coalesce("_n", F.lit(2)))
     digits = F.substring(F.sha2("path", 256), 1, 4)
     rows = rows.withColumns({"_digits": digits, "source_id": F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), digits))})
     for size in (4, 4, 16):  # those that clash hash again, and should that not be enough, to more digits
@@ -142,10 +146,12 @@ def append_sources(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("priority").cast("long"), F.lit(100)) if "priority" in given else F.lit(100)
     own = F.struct(*[c.alias(f.name) for c, f in zip(fields, kind.fields, strict=True)])
     made = rows.select(order.alias("o"), F.col("source_id").alias("k"), own.alias("s"))
-    added = made.orderBy("o", "k").select(F.to_json("s").alias("j"))
-    sources = [r["j"] for r in added.collect()]  # a manifest is one row, so its sources fit the driver
-    parsed = F.from_json(F.lit("[" + ",".join(sources) + "]"), F.lit(f"array<{SOURCE}>"))
-    return manifest.withColumn("sources", F.concat(F.coalesce("sources", F.array().cast(f"array<{SOURCE}>")), parsed))
+    listed = F.sort_array(F.collect_list(F.struct("o", "k", F.to_json("s").alias("j"))))
+    added = made.agg(F.from_json(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]")), f"array<{SOURCE}>").alias("_added"))
+    # Both sides are one row, as a manifest is.
+    both = manifest.withColumn("_one", F.lit(1)).join(added.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    none = F.array().cast(f"array<{SOURCE}>")
+    return both.withColumn("sources", F.concat(F.coalesce("sources", none), F.coalesce("_added", none))).drop("_added")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -398,3 +398,34 @@ def test_an_index_of_sitemaps_gives_their_union(spark, tmp_path):
     got = [r["loc"] for r in discovery.read_sitemaps(spark, [f"file://{tmp_path}/index.xml"], local).collect()]
     assert sorted(got) == ["https://x/a", "https://x/b&c", "https://x/d"]
     assert discovery.read_sitemaps(spark, [f"file://{tmp_path}/one.xml"]).count() == 2
+
+
+def test_sessions_of_a_hot_key_are_counted_across_ranges(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for user, n in (("hot", 3000), ("b", 40), (None, 60), ("one", 1)):
+        at = 0
+        for k in range(n):
+            at += rng.choice([1, 2, 30])
+            rows.append((user, k, at))
+    rng.shuffle(rows)
+    want, last = {}, {}
+    for user, k, at in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        session = last[user][1] + (at - last[user][0] > 10) if user in last else 0
+        want[user, k] = session
+        last[user] = (at, session)
+    df = spark.createDataFrame(rows, "user string, k int, at int").repartition(5)
+    got = transcript.gap_sessions(df, "user", ["k"], F.col("at"), F.col("at"), 10.0)
+    assert {(r["user"], r["k"]): r["session"] for r in got.collect()} == want and got.columns == ["user", "k", "at", "session"]
+
+
+def test_files_that_share_a_name_get_ids_without_a_task_for_them_all(spark):
+    paths = [f"{i % 50}/{i}/readme.md" for i in range(2000)] + ["readme.md", "a/other.md"]
+    rows = manifest.folder_sources(spark.createDataFrame([(p,) for p in paths], "path string"), ["x"])
+    got = {r["local_path"]: r for r in rows.collect()}
+    assert len({r["source_id"] for r in got.values()}) == 2002
+    first = min(paths[:-1], key=lambda p: p.split("/"))
+    assert got[first]["source_id"] == "readme" and got["a/other.md"]["source_id"] == "other"
+    assert sorted(r["priority"] for r in got.values()) == list(range(1, 2003))
