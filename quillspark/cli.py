@@ -181,7 +181,7 @@ def main(argv: list[str] | None = None) -> int:
     own.add_argument("tasks")
     own.add_argument("notes")
     own.add_argument("out")
-    own.add_argument("--system-prompt", default="")
+    own.add_argument("--system-prompt", default=export.SYSTEM_PROMPT)
     own.add_argument("--valid-fraction", type=float, default=0.05)
     own.set_defaults(run=export_pairs)
     own = commands.add_parser("discover", help=discover.__doc__)

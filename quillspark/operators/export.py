@@ -11,6 +11,12 @@ REFERENCE_SPLITS = ("eval", "holdout")
 UNENRICHED, OTHER = "skipped_unenriched", "skipped_other_split"
 BUCKETS = ("train", "valid", *REFERENCE_SPLITS, UNENRICHED, OTHER)
 
+#: What a trained model is told, unless a pack brings its own: pairs and served models must hold the same words.
+SYSTEM_PROMPT = (
+    "You turn one excerpt of a document into a study note. Use only what the excerpt says; leave out what it does not. "
+    "Keep names of features, tools and parameters as they are written. Answer with a single JSON object of the agreed fields and nothing around it."
+)
+
 
 class ExportError(ValueError):
     """No training pairs."""

@@ -119,3 +119,36 @@ def test_the_breaker_opens_above_its_share(spark, tmp_path, rejects, fails):
 def test_models_and_parsers_stand_once_in_a_plan(spark, name, most):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= most
+
+
+def test_a_client_waits_longer_each_time_and_gives_up():
+    from quillspark.operators.clients import Reply, Unavailable, persistent
+
+    waits, calls = [], []
+
+    def send(prompt):
+        calls.append(prompt)
+        if prompt == "bad":
+            raise KeyError("no such model")
+        if prompt == "busy" or len(calls) < 3:
+            raise Unavailable("slow down")
+        return Reply(prompt.upper(), 3, 4)
+
+    ask = persistent(send, attempts=4, wait=1.0, most_wait=3.0, sleep=waits.append)
+    assert ask("hello") == ("HELLO", None, 3, 4) and len(waits) == 2 and 1 <= waits[0] <= 1.25 and 2 <= waits[1] <= 2.5
+    assert ask("bad") == (None, "KeyError: 'no such model'", None, None) and len(waits) == 2
+    assert ask("busy")[1].startswith("gave up after 4 attempts: Unavailable") and max(waits) <= 3.75
+
+
+def test_a_client_is_a_model(spark, tasks):
+    from quillspark.operators.clients import Reply, asking
+
+    def send(prompt):
+        if prompt.endswith("7"):
+            raise ValueError("refused")
+        return Reply(prompt[::-1], len(prompt))
+
+    got = AnswerStore(spark).ask(tasks.unionByName(spark.createDataFrame([("t99", None, "")], tasks.schema)), "m", F.col("prompt"), asking(send)).select("task_id", "answer.*").collect()
+    by_id = {r["task_id"]: r for r in got}
+    assert by_id["t3"]["text"] == "3 tpmorp" and by_id["t3"]["input_tokens"] == 8 and by_id["t3"]["output_tokens"] is None
+    assert by_id["t7"]["error"] == "ValueError: refused" and by_id["t99"]["error"] == "no prompt" and len(got) == 13
