@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.text import MEDIA_SUFFIXES
 from quillspark.operators.chunking import SECTION
+from quillspark.sources import datasource
 from quillspark.sources import sections as S
 from quillspark.storage import arrow_filesystem, materialise
 
@@ -147,8 +148,21 @@ def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFram
     unread = rows.filter(kind.isNull()).first()
     if unread:
         route(unread["path"])
+    return parsed(contents(spark, folder, rows.filter(kind != "registered")), contents(spark, folder, rows.filter(kind == "registered")))
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """As `read_documents`, for all files below `folder` that have a reader, by the data source: many small files share a task."""
+    own = datasource.files_of(spark, root_of(spark, folder))
+    of = lambda suffixes: own.filter(F.col("suffix").isin(*suffixes)).select("path", "content")
+    return parsed(of(NATIVE), of(_readers) if _readers else of(["."]))
+
+
+def parsed(native: DataFrame, registered: DataFrame) -> DataFrame:
+    """Documents of files (path, content): those that expressions parse, and those that have a registered reader."""
+    kind = reader_of(F.col("path"))
     suffix = suffix_of(F.col("path")).alias("suffix")
-    text = contents(spark, folder, rows.filter(kind != "registered")).select("path", suffix, kind.alias("kind"), decoded(F.col("content")).alias("text"))
+    text = native.select("path", suffix, kind.alias("kind"), decoded(F.col("content")).alias("text"))
     stem = T.humanize(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1))
     is_kind = lambda k: F.col("kind") == k
     own = F.when(is_kind("text"), S.text_sections(F.col("text"))).when(is_kind("markdown"), S.markdown_sections(F.col("text"))).otherwise(S.vtt_sections(F.col("text")))
@@ -172,5 +186,4 @@ def read_documents(spark: SparkSession, folder: str, paths: list[str] | DataFram
             if made:
                 yield pd.DataFrame(made, columns=["path", "suffix", "title", "sections", "error"])
 
-    other = contents(spark, folder, rows.filter(kind == "registered"))
-    return out.unionByName(other.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>, error string"))
+    return out.unionByName(registered.mapInPandas(run, f"path string, suffix string, title string, sections array<{SECTION}>, error string"))
