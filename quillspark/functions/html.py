@@ -11,36 +11,34 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import clean_markdown, word_count
+from quillspark.functions.text import clean_markdown, let, word_count
 
 #: What is hidden up to its end, or to the end of the page if it has none; so no part of a page is searched twice.
 HIDDEN = r"(?is)<script\b[^>]*(?:\z|>.*?(?:</script\s*>|\z))|<style\b[^>]*(?:\z|>.*?(?:</style\s*>|\z))|<!--.*?(?:-->|\z)"
-#: Names of elements that end a line.
-BLOCK = r"(?i)\A/?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b"
+#: Tags of elements that end a line, and any tags.
+BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>"
+TAG = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
-def without_tags(text: Column, named: Callable[[Column], Column], made: str) -> Column:
-    """`made` for each tag: from the first `<` whose following text is `named`, to the next `>`.
+def replace_tags(text: Column, tag: str, made: str) -> Column:
+    """`made` for each match of a tag's pattern, which begins with `<` and ends at the next `>`.
 
-    The text is cut behind each `>` and each part at `<`, which reads it once,
-    while a pattern reads on to the end at every `<` that nothing closes.
+    Only the text up to its last `>` is searched: there, every `<` has an end, so
+    no part is read twice, while behind it a pattern would read on to the end of
+    the text at every `<`.
     """
 
-    def kept(part: Column) -> Column:
-        pieces = F.split(part, "<")
-        at = F.array_position(F.transform(pieces, lambda x, k: (k > 0) & named(x)), True).cast("int")
-        head = F.concat(F.array_join(F.slice(pieces, F.lit(1), at - 1), "<"), F.lit(made))
-        return F.when(part.endswith(">") & (at > 0), head).otherwise(part)
+    def searched(whole: Column) -> Column:
+        return let(F.substring_index(whole, ">", -1), lambda rest: F.concat(F.regexp_replace(F.left(whole, F.length(whole) - F.length(rest)), tag, made), rest))
 
-    return F.array_join(F.transform(F.split(text, "(?<=>)"), kept), "")
+    return let(text, searched)
 
 
 def html_text(html: Column) -> Column:
     """Text with a line for each block."""
     text = F.regexp_replace(html, HIDDEN, "\n")
-    text = without_tags(text, lambda x: x.rlike(BLOCK), "\n")
-    text = without_tags(text, lambda x: F.lit(True), "")
+    text = replace_tags(replace_tags(text, BLOCK, "\n"), TAG, "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
@@ -87,8 +85,7 @@ def markdown(html: Column) -> Column:
     own = elements(own, "code", _around("`", "`"))
     own = elements(own, "(?:b|strong)", _around("**", "**"))
     own = elements(own, "a", _link)
-    own = without_tags(own, lambda x: x.rlike(r"(?i)\Ali\b"), "\n- ")
-    own = without_tags(own, lambda x: x.rlike(r"(?i)\A/p\s*>"), "\n\n")
+    own = replace_tags(replace_tags(own, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)</p\s*>", "\n\n")
     return clean_markdown(html_text(own))
 
 

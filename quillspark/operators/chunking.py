@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.text import let
 
 SECTION = (
     "struct<index: int, text: string, raw_text: string, heading: string, page_number: int, slide_number: int, "
@@ -75,11 +76,6 @@ class ChunkConfig:
             raise ValueError("sizes must satisfy 0 < target <= most, least >= 0 and overlap >= 0")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
