@@ -1085,7 +1085,9 @@ def first_lines(spark, sf_dir):
     """The first lines of a folder of JSON files, in the order of files and lines; the limit is the operator."""
     path = storage.new_path(spark, "lines")
     rows = documents(spark, sf_dir, "doc_id", "lang", "text").withColumn("part", F.col("doc_id") % 5)
-    rows.repartition("part").sortWithinPartitions("part", F.desc("doc_id")).write.partitionBy("part").json(path)
+    # In ranges of the whole order, so a folder is written by as many tasks as its size takes, and its files follow each other.
+    order = ["part", F.desc("doc_id")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").json(path)
     return selection.first(jsonl.read_jsonl(spark, path, "doc_id long, lang string, text string"), 40, "ord").select("doc_id", "lang")
 
 

@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
+from quillspark import storage
 from quillspark.operators import transcript
 from quillspark.plans import catalogue
 
@@ -51,3 +54,20 @@ def test_overlap_reads_both_whole_halves(spark, tmp_path):
     rows = [(45 + k, " ".join([*words, *words[300 - k :], *[f"x{i}" for i in range(300 - k)]])) for k in (0, 7, 30)]
     folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
     assert {tuple(r) for r in catalogue.QUERIES["overlap_words"](spark, folder).collect()} == {(45, 0), (52, 7), (75, 30)}
+
+
+def test_a_folder_of_lines_is_written_by_many_tasks(spark, tmp_path):
+    """A tenth of the tasks would otherwise write all lines of the five folders; files and lines keep their order."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("word "), 40).alias("text"))
+    rows.write.parquet(f"{tmp_path}/in/documents.parquet")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r["doc_id"] for r in catalogue.QUERIES["first_lines"](spark, f"{tmp_path}/in").collect()]
+        files = spark.read.text(storage._written[-1]).groupBy(F.input_file_name()).count().collect()
+    finally:
+        for setting, value in before.items():
+            spark.conf.set(setting, value) if value is not None else spark.conf.unset(setting)
+    assert got == list(range(3995, 3795, -5))
+    assert len(files) >= 40 and max(r["count"] for r in files) < 400
