@@ -16,7 +16,7 @@ from quillspark.functions import text as T
 from quillspark import storage
 from quillspark.operators import batches, chunking, discovery, enrichment, evaluation, export, pack, selection, sinks, transcript, validation
 from quillspark.plans import duck as D
-from quillspark.session import table
+from quillspark.session import small_batches, table
 from quillspark.sources import documents as DOC
 from quillspark.sources import files, jsonl, pdf, speech
 from quillspark.sources import manifest as M
@@ -534,6 +534,7 @@ SELECT doc_id, (part - 1)::INT AS part, arg_max(begins, i)::DOUBLE AS start_s, m
 
 @query(MERGED)
 def transcript_merge(spark, sf_dir):
+    small_batches(spark)
     own = timed(spark, sf_dir).withColumn("sections", transcript.merge_transcript(F.col("sections")))
     # explode() would filter by its size first, which merges twice and splits the text anew for each segment
     flat = own.select("doc_id", F.explode_outer("sections").alias("section")).filter("section is not null").select("doc_id", "section.*")
@@ -884,6 +885,7 @@ SELECT doc_id, page::INT AS page_number, (row_number() OVER (PARTITION BY doc_id
 FROM c WHERE n > 0 AND NOT ((n - hidden) * 10 < n * 9 OR alnum * 2 < solid)""")
 def pdf_pages(spark, sf_dir):
     """Documents as PDF files, a page for each line, read again."""
+    small_batches(spark)
     clean = F.regexp_replace("text", r"[^\n -~\u00A0-\u00FF]", " ")
     page = lambda x, i: F.concat(
         (i * 2 + 10).cast("string"), F.lit(" 0 obj\n<</Type /Page /Contents "), (i * 2 + 11).cast("string"), F.lit(" 0 R>>\nendobj\n"),
@@ -914,6 +916,7 @@ WITH t AS (SELECT conv_id, turn, {D.squeeze('text')} AS t FROM (SELECT DISTINCT
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) - 1)::INT AS section_index, (turn * 3.5)::DOUBLE AS start_s, sha256(t) AS text_sha256 FROM t WHERE t <> ''""")
 def speech_sections(spark, sf_dir):
     """Turns as segments that a recognizer heard."""
+    small_batches(spark)
     turns_ = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text").distinct()
     heard = turns_.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", T.squeeze(F.col("text")).alias("text")))).alias("heard"))
 

@@ -71,3 +71,19 @@ def test_a_folder_of_lines_is_written_by_many_tasks(spark, tmp_path):
             spark.conf.set(setting, value) if value is not None else spark.conf.unset(setting)
     assert got == list(range(3995, 3795, -5))
     assert len(files) >= 40 and max(r["count"] for r in files) < 400
+
+
+def test_transcripts_go_to_python_in_small_batches(spark, tmp_path):
+    """Of thousands of short transcripts no more than a thousand are in Python at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = F.pandas_udf(lambda own: own * 0 + len(own), "long")
+    try:
+        merged = catalogue.QUERIES["transcript_merge"](spark, str(tmp_path))
+        assert merged.count() == 5000
+        assert rows.coalesce(1).select(F.max(sizes("doc_id"))).first()[0] <= 1000
+    finally:
+        spark.conf.set(setting, before)
