@@ -17,7 +17,8 @@ def write_pack(manifest: DataFrame, documents: DataFrame, tasks: DataFrame, inde
     ordered(manifest, "priority", "source_id").write.mode("overwrite").json(f"{path}/manifest_normalized")
     spread = ["source", *[c for c in ("document_id", "local_path", "path") if c in documents.columns][:1]]
     documents.withColumn("source", F.col("source_id")).repartitionByRange(*spread).write.mode("overwrite").partitionBy("source").json(f"{path}/documents")
-    ordered(tasks, "priority", "source_id", "chunk_index").write.mode("overwrite").json(f"{path}/study_note_tasks")
+    # The id parts the many tasks of a source that share an index, most of all the first.
+    ordered(tasks, "priority", "source_id", "chunk_index", "task_id").write.mode("overwrite").json(f"{path}/study_note_tasks")
     ordered(index, "source_id").write.mode("overwrite").json(f"{path}/source_pack")
     return [f"{path}/{n}" for n in ("manifest_normalized", "documents", "study_note_tasks", "source_pack")]
 

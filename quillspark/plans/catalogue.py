@@ -226,11 +226,11 @@ def pack_sources(spark, sf_dir):
     return indexed(spark, sf_dir).select("source_id", "section_count", "word_count", "chunk_count", "low_quality_chunk_count")
 
 
-def indexed(spark, sf_dir) -> DataFrame:
+def indexed(spark, sf_dir, chunks: DataFrame | None = None) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     sections = docs.select(F.col("source").alias("source_id"), T.word_count(F.col("text")).alias("word_count"))
     sources = docs.select(F.col("source").alias("source_id"), (F.col("source") == SKIPPED).alias("skipped")).distinct()
-    return pack.index_sources(sources, sections, packed(spark, sf_dir))
+    return pack.index_sources(sources, sections, packed(spark, sf_dir) if chunks is None else chunks)
 
 
 @query(f"""{PACKED}, s AS (SELECT source AS source_id, count(*) AS n, sum({D.word_count('text')}) AS w FROM documents GROUP BY 1), c AS (SELECT source_id, count(*) AS k FROM tasks GROUP BY 1)
@@ -1049,7 +1049,9 @@ def pack_files(spark, sf_dir):
     """The artifacts of a pack, written, with a report of what is there."""
     path = storage.new_path(spark, "pack")
     docs = documents(spark, sf_dir, "doc_id", "source").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("document_id"))
-    written = sinks.write_pack(small_manifests(spark, sf_dir).filter("pack_id = '1'"), docs, packed(spark, sf_dir), indexed(spark, sf_dir), path)
+    # Chunks are made once: the tasks' ranges are sampled before they are written, and the index counts them again.
+    tasks = storage.materialise(packed(spark, sf_dir), "pack-tasks")
+    written = sinks.write_pack(small_manifests(spark, sf_dir).filter("pack_id = '1'"), docs, tasks, indexed(spark, sf_dir, tasks), path)
     names = dict(zip(("manifest", "documents", "tasks", "index"), written, strict=True)) | {"gone": f"{path}/gone"}
     report = sinks.artifact_report(spark, {k: v for k, v in names.items() if k != "manifest"})
     return report.select("name", F.col("exists").alias("there"), "lines")

@@ -87,3 +87,28 @@ def test_transcripts_go_to_python_in_small_batches(spark, tmp_path):
         assert rows.coalesce(1).select(F.max(sizes("doc_id"))).first()[0] <= 1000
     finally:
         spark.conf.set(setting, before)
+
+
+def test_a_pack_chunks_once_and_spreads_its_first_chunks(spark, tmp_path, monkeypatch):
+    """Chunks are written before they are ranged and counted, and documents of one source and one chunk share no task."""
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 30).alias("text"), F.lit("src1").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    chunked, written = [], []
+    own, write_pack = catalogue.packed, catalogue.sinks.write_pack
+    monkeypatch.setattr(catalogue, "packed", lambda *a: chunked.append(a) or own(*a))
+
+    def watched(manifest, documents, tasks, index, path):
+        assert not any("aggregate(" in df._jdf.queryExecution().optimizedPlan().toString() for df in (tasks, index))
+        written.append(path)
+        return write_pack(manifest, documents, tasks, index, path)
+
+    monkeypatch.setattr(catalogue.sinks, "write_pack", watched)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["name"]: (r["there"], r["lines"]) for r in catalogue.QUERIES["pack_files"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before) if before is not None else spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {"documents": (True, 2000), "tasks": (True, 2000), "index": (True, 1), "gone": (False, 0)} and len(chunked) == 1
+    sizes = [r["count"] for r in spark.read.text(f"{written[0]}/study_note_tasks").groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 1000
