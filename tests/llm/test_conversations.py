@@ -139,3 +139,17 @@ def test_arrivals_before_due_timers_are_rejected(spark):
         ("release", 1, 0, 0, "user|a", None, None), ("close", 1, -1, 3, "", 0, 0), ("reject", 1, 1, 4, "user|late", None, None),
         ("release", 2, 5, 0, "user|b", None, None), ("release", 2, 6, 3, "user|in time", None, None), ("close", 2, -1, 5, "8", 1, 1),
     ], key=str)
+
+
+def test_checkpoint_files_have_no_second_file(spark):
+    """Each part of the state writes one file a start; files that begin with a dot are the local file system's own."""
+    from pathlib import Path
+
+    from quillspark import storage
+    from quillspark.llm import reassembly
+
+    rows = spark.createDataFrame([(1, 0, "user", "a", 0), (2, 0, "user", "b", 0)], "conv_id long, turn long, role string, text string, batch int")
+    assert reassembly.reassemble(rows, batches=1).count() == 4
+    root = next(p for p in reversed(storage._written) if "/reassembly-" in p)
+    names = [f.name for f in Path(root.removeprefix("file://")).glob("checkpoint/state/**/*")]
+    assert any(n.endswith(".changelog") for n in names) and not [n for n in names if n.endswith(".crc") and not n.startswith(".")]
