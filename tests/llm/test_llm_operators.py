@@ -54,6 +54,17 @@ def test_url_verdicts_come_from_mined_rules(spark):
         assert sorted(map(tuple, got)) == want
 
 
+def test_tables_too_large_to_broadcast_are_not_broadcast_for_their_small_files(spark):
+    left = spark.range(2000).select((F.col("id") % 300).alias("k"), "id")
+    right = materialise(spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = common.sized_join(left, right, ["k"], how, [F.col("id")], rows=100)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    blocked = spark.createDataFrame([("x" * 950,), ("",), (None,), ("ab",)], "url string")
+    assert common.sized_rows(blocked, F.col("url")) == 13 and common.sized_rows(blocked.limit(0), F.col("url")) == 0
+
+
 def test_decontamination_beyond_its_bounds(spark, messy):
     docs, items = spark.read.parquet(f"{messy}/documents.parquet"), spark.read.parquet(f"{messy}/benchmark.parquet")
     tables = (docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
