@@ -45,6 +45,41 @@ def test_few_rows_teach_no_rule_and_long_urls_no_flood(spark):
     assert mined.filter("confidence < 0.6 or lift < 1.5").isEmpty()
 
 
+def test_rules_of_long_urls_are_the_shortest_of_brute_force(spark):
+    rng = np.random.default_rng(3)
+    names = [f"path:{x}" for x in "abcdefg"]
+    rows = []
+    for _ in range(300):
+        own = [t for t, p in zip(names, (0.9, 0.7, 0.5, 0.5, 0.4, 0.3, 0.3)) if rng.random() < p]
+        own += ["host:d"] * ("path:d" in own) + ["host:all"]  # one that goes without saying beside d, one beside anything
+        rows.append((own, bool(({"path:c", "path:d"} <= set(own) and rng.random() < 0.8) or ({"path:b", "path:e", "path:f"} <= set(own)) or rng.random() < 0.1)))
+    base = sum(b for _, b in rows) / len(rows)
+    every = {}
+    for k in range(1, 10):
+        for some in combinations([*names, "host:d", "host:all"], k):
+            fits = [b for t, b in rows if set(some) <= set(t)]
+            if fits and sum(fits) >= max(5, 0.01 * len(rows)) and sum(fits) / len(fits) >= max(0.6, 1.2 * base):
+                every[frozenset(some)] = (sum(fits) / len(fits), sum(fits) / len(rows))
+    want = {k: v for k, v in every.items() if not any(x < k for x in every)}
+    table = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    got = url_filter.mine_rules(table, 0.01, 0.6, 1.2, 5, max_items=3).collect()
+    assert {frozenset(r["antecedent"]) for r in got} == set(want) and len(got) == len(want) < len(every) and max(map(len, want)) > 2
+    assert all(abs(r[c] - want[frozenset(r["antecedent"])][i]) < 1e-9 for r in got for i, c in enumerate(("confidence", "support")))
+    listed = url_filter.mine_rules(table, 0.01, 0.6, 1.2, 5, max_items=9).collect()
+    assert {frozenset(r["antecedent"]) for r in listed} == set(every)
+    counts = {t: sum(t in own for own, _ in rows) for t in [*names, "host:d", "host:all"]}
+    assert all(r["token"] == min(r["antecedent"], key=lambda t: (counts[t], t)) for r in got)
+
+
+def test_every_frequent_token_of_a_long_url_is_combined(spark):
+    long = [f"path:t{i}" for i in range(40)]  # all more telling than x and y, and none a rule
+    rows = [([*long, "path:x", "path:y"], True)] * 20 + [(long, True)] * 30 + [(long, False)] * 50 + [(["path:x"], False), (["path:y"], False)] * 40
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    assert {tuple(sorted(r["antecedent"])) for r in mined.collect()} == {("path:x", "path:y")} | {(t, x) for t in long for x in ("path:x", "path:y")}
+    pages = spark.createDataFrame([("http://h/x/y",), ("http://h/x/z",), ("http://h/y/t39",), ("http://h/" + "/".join(f"t{i}" for i in range(40)),)], "url string")
+    assert sorted(r["url"] for r in url_filter.match_rules(pages, mined).collect()) == ["http://h/x/y", "http://h/y/t39"]
+
+
 def test_url_verdicts_come_from_mined_rules(spark):
     mined = spark.createDataFrame([(["path:spam", "query:q"], 0.9, 3.0, 0.1, "path:spam")], "antecedent array<string>, confidence double, lift double, support double, token string")
     pages = spark.createDataFrame([(1, "http://h/spam?q=1"), (2, "http://h/spam"), (3, "http://h.ok/spam?q=1"), (4, None), (1, "http://h/spam?q=1"), (5, "http://h/" + "spam/" * 20000 + "?q")], "id long, url string")
